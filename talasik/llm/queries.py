@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from talasik.llm import canonical, encode, packing
+from talasik.llm import canonical, encode, formdups, packing
 from talasik.session import table
 
 QUERIES = {
+    "p4_found": lambda s, d: formdups.found_copies(table(s, d, "scan_blotter")),
+    "p4_collapsed": lambda s, d: formdups.collapsed(table(s, d, "scan_blotter")),
     "p8_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
     "p9_containers": lambda s, d: packing.containers_of_documents(table(s, d, "documents")),
     "p10_found": lambda s, d: canonical.found_kinds(table(s, d, "documents")),
