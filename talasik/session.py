@@ -24,8 +24,18 @@ def get_session(app: str = "talasik", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    have = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in have:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, have)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
