@@ -44,7 +44,7 @@ def field_order_free(column: Column, labels: tuple[str, ...] = FIELD_LABELS) ->
 
     A label is one of `labels` in any case that a colon, dash or equals sign follows.
     """
-    label = rf"(?iu)(?<![\p{{L}}\p{{N}}])({'|'.join(labels)})(?=\s*[:=\-–—])"
+    label = rf"(?iU)(?<![\p{{L}}\p{{N}}])({'|'.join(labels)})(?=\s*[:=\-–—])"
     parts = F.transform(F.split(F.regexp_replace(column, label, "\u0001$1"), "\u0001"), bare)
     return F.concat_ws("|", F.slice(parts, 1, 1), F.array_sort(F.slice(parts, 2, F.size(parts))))
 
@@ -132,20 +132,19 @@ def possible_repeats(df: DataFrame, h: str, rows: int) -> DataFrame:
     known = {r["shard"]: bytes(r["bitmap"]) for r in maps.collect()}
     shared = df.sparkSession.sparkContext.broadcast(known)
 
-    def maybe_repeated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def maybe_repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         opened = {s: _unpack(b, bits) for s, b in shared.value.items()}
-        for values in batches:
-            v = values.to_numpy().view(np.uint64)
+        for pdf in batches:
+            v = pdf[h].to_numpy().view(np.uint64)
             hit = np.zeros(len(v), dtype=bool)
             with np.errstate(over="ignore"):
                 shard, at = _shard_of(v, shards), _positions(v, bits)
             for s, bitmap in opened.items():
                 here = shard == s
                 hit[here] = bitmap[at[:, here]].all(axis=0)
-            yield pd.Series(hit)
+            yield pdf[hit]
 
-    maybe = F.pandas_udf(maybe_repeated, "boolean")
-    return df.filter(maybe(F.col(h)))
+    return df.mapInPandas(maybe_repeated, df.schema)
 
 
 def collapse(df: DataFrame, id_col: str, keys: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from talasik.llm import canonical, encode, formdups, packing
+from talasik.llm import canonical, consensus, encode, formdups, mapping, packing
 from talasik.session import table
 
+
+
+def _t(s, d, *names):
+    return [table(s, d, n) for n in names]
+
+
+LABELS = ("scan_blotter", "encoder_label", "incident_type_ref")
+
 QUERIES = {
+    "p2_found": lambda s, d: mapping.found_entries(*_t(s, d, "scan_blotter", "place_ref", "status_ref")),
+    "p7_found": lambda s, d: consensus.found_types(*_t(s, d, *LABELS)),
+    "p7_reliability": lambda s, d: consensus.reliability(*_t(s, d, *LABELS)),
+    "p7_alpha": lambda s, d: consensus.alpha(consensus.votes_of(*_t(s, d, *LABELS[:2]))),
     "p4_found": lambda s, d: formdups.found_copies(table(s, d, "scan_blotter")),
     "p4_collapsed": lambda s, d: formdups.collapsed(table(s, d, "scan_blotter")),
     "p8_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
