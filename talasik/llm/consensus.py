@@ -3,7 +3,9 @@
 Iteratively reweighted voting: every record's labels vote with the log-odds of their annotators'
 accuracy; every annotator's accuracy is then measured against the consensus of the others on the same
 records, corrected for the chance that this consensus is wrong, and smoothed. The two alternate until
-no accuracy moves. How sure a label was said to be shifts its weight by what such labels turn out to be worth.
+no accuracy moves. An annotator's accuracy for the label said is smoothed by the annotator's own, so one
+who swaps two types or always says the same is worth nothing just there. How sure a label was said to be
+shifts its weight by what such labels turn out to be worth.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ ROUNDS = 15
 TOLERANCE = 1e-3
 #: Pseudo-labels at the mean accuracy that smooth an annotator's own.
 SMOOTHING = 8.0
+#: Pseudo-labels at the annotator's accuracy that smooth the accuracy for one label said.
+LABEL_SMOOTHING = 4.0
 UNKNOWN = "?"
+SEP = "\u0001"
 #: Annotators and confidence words whose accuracies the driver holds; more than this is an error, not a cut.
 MAX_SOURCES = 2_000_000
 
@@ -68,12 +73,13 @@ def leader(total: dict[str, float], kinds: int) -> tuple[str, float]:
 
 
 def _weights(state: dict, kinds: int):
-    who, how, mean = state["annotator"], state["sure"], state["mean"]
+    who, how, said, mean = state["annotator"], state["sure"], state["said"], state["mean"]
     base = odds(mean, kinds)
 
-    def weight(annotator: str, sure: str) -> float:
+    def weight(annotator: str, label: str, sure: str) -> float:
         shift = odds(how.get(sure, mean), kinds) - base if sure != "none" else 0.0
-        return max(odds(who.get(annotator, mean), kinds) + shift, 0.05)
+        own = odds(said.get(annotator + SEP + label, who.get(annotator, mean)), kinds)
+        return max(own + shift, 0.0)
 
     return weight
 
@@ -84,18 +90,18 @@ def _measure(state: dict, kinds: int):
         tally: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
         for pdf in batches:
             for votes in pdf["votes"]:
-                own = [(v["annotator"], v["label"], v["sure"], weight(v["annotator"], v["sure"])) for v in votes]
+                own = [(v["annotator"], v["label"], v["sure"], weight(v["annotator"], v["label"], v["sure"])) for v in votes]
                 total = scores([(label, w) for _, label, _, w in own])
                 for annotator, label, sure, w in own:
                     others = dict(total)
                     others[label] -= w
-                    if others[label] <= 1e-9:
+                    if sum(x[1] == label for x in own) == 1:
                         del others[label]
                     if not others:
                         continue
                     best, sureness = leader(others, kinds)
                     chance = (1 - sureness) / max(kinds - 1, 1)
-                    for key in (("annotator", annotator), ("sure", sure)):
+                    for key in (("annotator", annotator), ("sure", sure), ("said", annotator + SEP + label)):
                         t = tally[key]
                         t[0] += label == best
                         t[1] += chance
@@ -108,7 +114,7 @@ def _measure(state: dict, kinds: int):
 
 def fit(records: DataFrame, kinds: int, rounds: int = ROUNDS) -> tuple[dict, int]:
     """Accuracies by annotator and by confidence word, and the rounds taken. `records`: record_id, votes."""
-    state = {"annotator": {}, "sure": {}, "mean": 0.7, "n": {}}
+    state = {"annotator": {}, "sure": {}, "said": {}, "mean": 0.7, "n": {}}
     for k in range(1, rounds + 1):
         rows = (
             records.mapInPandas(_measure(state, kinds), "kind string, name string, agreed double, chance double, span double, n double")
@@ -121,10 +127,13 @@ def fit(records: DataFrame, kinds: int, rounds: int = ROUNDS) -> tuple[dict, int
             return state, k
         span = sum(r["span"] for r in mine)
         mean = min(max(sum(r["agreed"] - r["chance"] for r in mine) / max(span, 1e-9), 0.05), 0.98)
-        new = {"annotator": {}, "sure": {}, "mean": mean, "n": {r["name"]: int(r["n"]) for r in mine}}
-        for r in rows:
+        new = {"annotator": {}, "sure": {}, "said": {}, "mean": mean, "n": {r["name"]: int(r["n"]) for r in mine}}
+        for r in sorted(rows, key=lambda r: r["kind"]):
             per = r["span"] / r["n"]
-            new[r["kind"]][r["name"]] = min(max((r["agreed"] - r["chance"] + SMOOTHING * per * mean) / (r["span"] + SMOOTHING * per), 0.02), 0.98)
+            own = r["kind"] == "said"
+            prior = new["annotator"][r["name"].split(SEP)[0]] if own else mean
+            pseudo = (LABEL_SMOOTHING if own else SMOOTHING) * per
+            new[r["kind"]][r["name"]] = min(max((r["agreed"] - r["chance"] + pseudo * prior) / (r["span"] + pseudo), 0.02), 0.98)
         moved = max(abs(a - state["annotator"].get(x, state["mean"])) for x, a in new["annotator"].items())
         state = new
         if moved < TOLERANCE:
@@ -155,7 +164,7 @@ def consensus(votes: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]
             out = []
             for rid, votes in zip(pdf["record_id"], pdf["votes"]):
                 labels = [v["label"] for v in votes]
-                best, sureness = leader(scores([(v["label"], weight(v["annotator"], v["sure"])) for v in votes]), kinds)
+                best, sureness = leader(scores([(v["label"], weight(v["annotator"], v["label"], v["sure"])) for v in votes]), kinds)
                 n = len(labels)
                 pairs = sum(labels.count(x) * (labels.count(x) - 1) for x in set(labels))
                 out.append((rid, names.get(best, best), n, len(set(labels)), pairs / (n * (n - 1)) if n > 1 else None, sureness))
