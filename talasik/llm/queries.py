@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talasik.llm import canonical, consensus, encode, formdups, mapping, packing
+from talasik.llm import canonical, consensus, encode, formdups, mapping, packing, pii
 from talasik.session import table
 
 
@@ -15,6 +15,8 @@ LABELS = ("scan_blotter", "encoder_label", "incident_type_ref")
 
 QUERIES = {
     "p2_found": lambda s, d: mapping.found_entries(*_t(s, d, "scan_blotter", "place_ref", "status_ref")),
+    "p5_found": lambda s, d: pii.found_details(table(s, d, "scan_blotter")),
+    "p5_redacted": lambda s, d: pii.redacted(table(s, d, "scan_blotter")),
     "p7_found": lambda s, d: consensus.found_types(*_t(s, d, *LABELS)),
     "p7_reliability": lambda s, d: consensus.reliability(*_t(s, d, *LABELS)),
     "p7_alpha": lambda s, d: consensus.alpha(consensus.votes_of(*_t(s, d, *LABELS[:2]))),
