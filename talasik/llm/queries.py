@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talasik.llm import canonical, consensus, encode, formdups, mapping, packing, pii
+from talasik.llm import canonical, consensus, encode, formdups, langid, mapping, packing, pii, scanrepair
 from talasik.session import table
 
 
@@ -20,6 +20,10 @@ QUERIES = {
     "p7_found": lambda s, d: consensus.found_types(*_t(s, d, *LABELS)),
     "p7_reliability": lambda s, d: consensus.reliability(*_t(s, d, *LABELS)),
     "p7_alpha": lambda s, d: consensus.alpha(consensus.votes_of(*_t(s, d, *LABELS[:2]))),
+    "p3_found": lambda s, d: langid.found_languages(*_t(s, d, "scan_blotter", "documents")),
+    "p3_languages": lambda s, d: langid.languages(*_t(s, d, "scan_blotter", "documents")),
+    "p6_found": lambda s, d: scanrepair.found_noise(*_t(s, d, "scan_blotter", "ocr_calibration")),
+    "p6_repaired": lambda s, d: scanrepair.repaired(*_t(s, d, "scan_blotter", "ocr_calibration")),
     "p4_found": lambda s, d: formdups.found_copies(table(s, d, "scan_blotter")),
     "p4_collapsed": lambda s, d: formdups.collapsed(table(s, d, "scan_blotter")),
     "p8_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
