@@ -133,7 +133,9 @@ def fit(records: DataFrame, kinds: int, rounds: int = ROUNDS) -> tuple[dict, int
             own = r["kind"] == "said"
             prior = new["annotator"][r["name"].split(SEP)[0]] if own else mean
             pseudo = (LABEL_SMOOTHING if own else SMOOTHING) * per
-            new[r["kind"]][r["name"]] = min(max((r["agreed"] - r["chance"] + pseudo * prior) / (r["span"] + pseudo), 0.02), 0.98)
+            # others without any weight (a span of nothing) say nothing about an annotator
+            known = r["span"] + pseudo
+            new[r["kind"]][r["name"]] = min(max((r["agreed"] - r["chance"] + pseudo * prior) / known, 0.02), 0.98) if known > 1e-9 else prior
         moved = max(abs(a - state["annotator"].get(x, state["mean"])) for x, a in new["annotator"].items())
         state = new
         if moved < TOLERANCE:
