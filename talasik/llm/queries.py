@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talasik.llm import canonical, consensus, encode, formdups, langid, mapping, packing, pii, scanrepair
+from talasik.llm import canonical, consensus, encode, formdups, langid, mapping, names, packing, pii, scanrepair
 from talasik.session import table
 
 
@@ -14,6 +14,8 @@ def _t(s, d, *names):
 LABELS = ("scan_blotter", "encoder_label", "incident_type_ref")
 
 QUERIES = {
+    "p1_found": lambda s, d: names.found_pairs(table(s, d, "scan_blotter")),
+    "p1_clusters": lambda s, d: names.clusters_of(table(s, d, "scan_blotter")),
     "p2_found": lambda s, d: mapping.found_entries(*_t(s, d, "scan_blotter", "place_ref", "status_ref")),
     "p5_found": lambda s, d: pii.found_details(table(s, d, "scan_blotter")),
     "p5_redacted": lambda s, d: pii.redacted(table(s, d, "scan_blotter")),
