@@ -9,7 +9,7 @@ path through the stretches, with a price on every change, gives the segments.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talasik.llm.formdups import FIELD_LABELS
-from talasik.llm.scanrepair import Headers, is_page_number, learn_headers
+from talasik.llm.scanrepair import Headers, _word_counts, is_page_number, learn_headers
 from talasik.session import spread
 
 LANGUAGES = ("tl", "en", "ceb", "pam")
@@ -39,9 +39,12 @@ CHANGE, CHANGE_INSIDE = 5.0, 10.0
 #: Labels of the field that holds the narrative proper (fixed values).
 STORY = ("salaysay", "facts", "salese", "sugilanon")
 
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
+_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _ADDRESS = regex.compile(r"(?i)\S+\s?(?:@|\(at\)|\sat\s(?=\S+\sdot\s))\s?\S+(?:\sdot\s\S+)*")
-_SENTENCE = regex.compile(r"(?<=[.!?;])[\"'”)]*\s+|\s*(?://|\|)\s*")
+_SENTENCE = re.compile(r"[.!?;][\"'”)]*\s+|\s*(?://|\|)\s*")
+#: A form's text begins with one of its labels.
+_FORM = re.compile(rf"(?i)\W*(?:{'|'.join(FIELD_LABELS)})\s*[:=\-–—]")
+_CUT_WORD = re.compile(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])")
 _LABEL = regex.compile(rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(FIELD_LABELS)})\s*[:=\-–—]")
 
 
@@ -82,8 +85,7 @@ def inverse_frequency(texts: DataFrame) -> np.ndarray:
 
     Words are counted first, so each distinct word is cut into n-grams once.
     """
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}[\p{L}\p{M}'’-]*)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    counts = texts.select("text").mapInPandas(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}'’-]*$"))
     rows = counts.mapInPandas(_gram_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(FEATURES)
     for r in rows:
@@ -172,22 +174,21 @@ def calibrate(model: Model, units: list[tuple[list[str], int]]) -> float:
 
 def story(text: str, headers: Headers) -> str:
     """The text without page furniture, form fields but the story's, and breaks within words."""
-    lines = text.split("\n")
-    if len(lines) > 1:
-        lines = [x for x in lines if not is_page_number(x.strip("\f")) and not headers.match(x)]
-    text = regex.sub(r"(?<=\p{L})-\n\s*(?=\p{L})", "", "\n".join(lines))
-    marks = list(_LABEL.finditer(text))
+    if "\n" in text:
+        lines = [x for x in text.split("\n") if not is_page_number(x.strip("\f")) and not headers.match(x)]
+        text = _CUT_WORD.sub("", "\n".join(lines))
+    marks = list(_LABEL.finditer(text)) if _FORM.match(text) else []
     if len({m[1].lower() for m in marks}) > 1:
         told = [text[m.end() : (marks[i + 1].start() if i + 1 < len(marks) else len(text))] for i, m in enumerate(marks) if m[1].lower() in STORY]
         text = " ".join(told) or text
-    return _ADDRESS.sub(" ", text)
+    return _ADDRESS.sub(" ", text) if "@" in text or "(at)" in text or " dot " in text else text
 
 
 def stretches(text: str) -> list[tuple[list[str], bool]]:
     """Consecutive stretches of words, and whether each begins a sentence."""
     out = []
-    for sentence in _SENTENCE.split(text):
-        words = [w.lower() for w in _WORD.findall(sentence)]
+    for sentence in _SENTENCE.split(text.lower()):
+        words = _WORD.findall(sentence)
         if not words:
             continue
         parts = max(1, round(len(words) / STRETCH))
@@ -199,38 +200,82 @@ def stretches(text: str) -> list[tuple[list[str], bool]]:
     return out
 
 
-def segments(model: Model, units: list[tuple[list[str], bool]]) -> list[tuple[int, float]]:
-    """(language, confidence) of each longest run: the best path over the stretches."""
+class Scorer:
+    """Log-probabilities of many stretches at once, with a row of weights for every word seen."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.ids: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGUAGES)))
+
+    def _id(self, word: str) -> int:
+        i = len(self.ids)
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        at, v = self.model.features(word)
+        self.rows[i] = v @ self.model.weights[at]
+        self.ids[word] = i
+        return i
+
+    def log_probabilities(self, units: list[list[str]]) -> np.ndarray:
+        if len(self.ids) > 500_000:
+            self.ids.clear()
+        ids = self.ids
+        at = np.array([ids[w] if w in ids else self._id(w) for words in units for w in words], dtype=np.int64)
+        sizes = np.array([len(words) for words in units])
+        sums = np.add.reduceat(self.rows[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        z = (self.model.bias + sums / np.sqrt(sizes)[:, None]) / self.model.temperature
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z * np.minimum(1.0, sizes / 3)[:, None]
+
+
+def best_path(logp: list[list[float]], begins: list[bool]) -> list[int]:
+    """Languages of consecutive stretches with the best sum of log-probabilities less the price of changes."""
+    score, back = list(logp[0]), []
+    for own, begin in zip(logp[1:], begins[1:]):
+        best = max(range(len(score)), key=score.__getitem__)
+        floor = score[best] - (CHANGE if begin else CHANGE_INSIDE)
+        back.append([k if s >= floor else best for k, s in enumerate(score)])
+        score = [max(s, floor) + p for s, p in zip(score, own)]
+    path = [max(range(len(score)), key=score.__getitem__)]
+    for b in reversed(back):
+        path.append(b[path[-1]])
+    return path[::-1]
+
+
+def segments(scorer: Scorer, texts: list[list[tuple[list[str], bool]]]) -> list[list[tuple[int, float]]]:
+    """For each text, (language, confidence) of its longest runs: the best path over its stretches."""
+    units = [words for own in texts for words, _ in own]
     if not units:
-        return []
-    k = len(LANGUAGES)
-    logp = np.array([model.log_probabilities(words) * min(1.0, len(words) / 3) for words, _ in units])
-    score, back = logp[0].copy(), np.zeros((len(units), k), dtype=int)
-    for i in range(1, len(units)):
-        price = CHANGE if units[i][1] else CHANGE_INSIDE
-        best = int(score.argmax())
-        stay = score >= score[best] - price
-        back[i] = np.where(stay, np.arange(k), best)
-        score = np.where(stay, score, score[best] - price) + logp[i]
-    path = [int(score.argmax())]
-    for i in range(len(units) - 1, 0, -1):
-        path.append(int(back[i][path[-1]]))
-    path.reverse()
-    out: list[list] = []
-    for i, lang in enumerate(path):
-        n = len(units[i][0])
-        if out and out[-1][0] == lang:
-            out[-1][1] += n * math.exp(logp[i][lang])
-            out[-1][2] += n
-        else:
-            out.append([lang, n * math.exp(logp[i][lang]), n])
-    return [(lang, p / n) for lang, p, n in out]
+        return [[] for _ in texts]
+    logp = scorer.log_probabilities(units)
+    top = logp.argmax(axis=1).tolist()
+    listed, size = logp.tolist(), [len(u) for u in units]
+    out, at = [], 0
+    for own in texts:
+        n = len(own)
+        mine = range(at, at + n)
+        path = top[at : at + n] if len(set(top[at : at + n])) < 2 else best_path(listed[at : at + n], [b for _, b in own])
+        runs: list[list] = []
+        for i, lang in zip(mine, path):
+            p = size[i] * math.exp(listed[i][lang])
+            if runs and runs[-1][0] == lang:
+                runs[-1][1] += p
+                runs[-1][2] += size[i]
+            else:
+                runs.append([lang, p, size[i]])
+        out.append([(lang, p / k) for lang, p, k in runs])
+        at += n
+    return out
 
 
 def _sample(df: DataFrame, key: str, text: str, label: str) -> list[tuple[str, str, int]]:
     """The labelled rows with the smallest hashes: (text, language, hash)."""
-    rows = df.filter(F.length(text) > 0).select(F.col(text).alias("text"), declared(F.col(label)).alias("lang"), F.xxhash64(key).alias("h")).filter("lang IS NOT NULL")
-    return [(r["text"], r["lang"], r["h"]) for r in rows.orderBy("h").limit(SAMPLE_ROWS).collect()]
+    named = df.select(F.col(text).alias("text"), declared(F.col(label)).alias("lang"), F.xxhash64(key).alias("h")).filter("lang IS NOT NULL AND length(text) > 0")
+    last = named.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    rows = named.filter(F.col("h") <= last).collect() if last is not None else []
+    return [(r["text"], r["lang"], r["h"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))[:SAMPLE_ROWS]]
 
 
 def learn(narratives: DataFrame, documents: DataFrame, headers: Headers) -> Model | None:
@@ -272,12 +317,11 @@ def identified(narratives: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms, weights = shared.value
         headers = Headers(forms)
-        own = Model(*weights) if weights else None
+        scorer = Scorer(Model(*weights)) if weights else None
         for pdf in batches:
-            found = []
-            for text in pdf["text"]:
-                runs = segments(own, stretches(story(text, headers))) if own else []
-                found.append([(i, LANGUAGES[lang], float(p)) for i, (lang, p) in enumerate(runs, 1)])
+            cut_up = [stretches(story(text, headers)) for text in pdf["text"]]
+            runs = segments(scorer, cut_up) if scorer else [[] for _ in cut_up]
+            found = [[(i, LANGUAGES[lang], float(p)) for i, (lang, p) in enumerate(own, 1)] for own in runs]
             yield pd.DataFrame({"record_id": pdf["record_id"], "declared": pdf["declared"], "segments": found})
 
     rows = spread(some.select("record_id", "text", declared(F.col("lang")).alias("declared")))
