@@ -41,7 +41,7 @@ STORY = ("salaysay", "facts", "salese", "sugilanon")
 
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 _ADDRESS = regex.compile(r"(?i)\S+\s?(?:@|\(at\)|\sat\s(?=\S+\sdot\s))\s?\S+(?:\sdot\s\S+)*")
-_SENTENCE = re.compile(r"[.!?;][\"'”)]*\s+|\s*(?://|\|)\s*")
+_SENTENCE = re.compile(r"[.!?;][\"'”)]*\s+|//|\|")
 #: A form's text begins with one of its labels.
 _FORM = re.compile(rf"(?i)\W*(?:{'|'.join(FIELD_LABELS)})\s*[:=\-–—]")
 _CUT_WORD = re.compile(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])")
@@ -55,29 +55,33 @@ def declared(column: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def grams(word: str) -> np.ndarray:
-    """Hashed character n-grams (1 to 4) of a word with its boundaries."""
-    codes = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    out = []
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word index, hashed character n-gram (1 to 4, with the word's boundaries) and count, in that order."""
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
+    keys = []
     with np.errstate(over="ignore"):
         for n in range(1, 5):
-            if len(codes) < n:
-                break
-            h = np.full(len(codes) - n + 1, 0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+            at = np.flatnonzero(left >= n)
+            h = np.full(len(at), 0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
             for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ codes[at + k]) * np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(29)
-            out.append((h >> np.uint64(20)) % np.uint64(FEATURES))
-    return np.concatenate(out).astype(np.int64)
+            keys.append(word[at] * FEATURES + ((h >> np.uint64(20)) % np.uint64(FEATURES)).astype(np.int64))
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return key // FEATURES, key % FEATURES, n
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(FEATURES, dtype=np.int64)
+    total = np.zeros(FEATURES)
     for pdf in batches:
-        for word, n in zip(pdf["word"], pdf["n"]):
-            total[np.unique(grams(word))] += n
+        if len(pdf):
+            word, gram, _ = grams(pdf["word"].tolist())
+            total += np.bincount(gram, weights=pdf["n"].to_numpy()[word], minlength=FEATURES)
     at = np.flatnonzero(total)
-    yield pd.DataFrame({"gram": at, "n": total[at]})
+    yield pd.DataFrame({"gram": at, "n": total[at].astype(np.int64)})
 
 
 def inverse_frequency(texts: DataFrame) -> np.ndarray:
@@ -105,7 +109,7 @@ class Model:
     cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     def features(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = np.unique(grams(word), return_counts=True)
+        _, at, n = grams([word])
         v = n * self.idf[at]
         return at, v / (np.linalg.norm(v) or 1)
 
@@ -205,24 +209,45 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
+        #: Row of a token as written; 0 for one without a word.
         self.ids: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(LANGUAGES)))
-
-    def _id(self, word: str) -> int:
-        i = len(self.ids)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        at, v = self.model.features(word)
-        self.rows[i] = v @ self.model.weights[at]
-        self.ids[word] = i
-        return i
-
-    def log_probabilities(self, units: list[list[str]]) -> np.ndarray:
+        self.rows = np.zeros((1, len(LANGUAGES)))
+
+    def prepare(self, texts: list[str]) -> None:
+        """Give every token of `texts` its row."""
         if len(self.ids) > 500_000:
             self.ids.clear()
-        ids = self.ids
-        at = np.array([ids[w] if w in ids else self._id(w) for words in units for w in words], dtype=np.int64)
-        sizes = np.array([len(words) for words in units])
+            self.rows = self.rows[:1]
+        fresh = {t for text in texts for t in text.split()} - self.ids.keys()
+        words: dict[str, int] = {}
+        for t in fresh:
+            found = _WORD.search(t.lower())
+            self.ids[t] = words.setdefault(found[0], len(self.rows) + len(words)) if found else 0
+        if words:
+            word, gram, n = grams(list(words))
+            v = n * self.model.idf[gram]
+            norm = np.sqrt(np.bincount(word, weights=v * v, minlength=len(words)))
+            own = np.stack([np.bincount(word, weights=v * w, minlength=len(words)) for w in self.model.weights[gram].T], axis=1)
+            self.rows = np.concatenate([self.rows, own / np.maximum(norm, 1e-12)[:, None]])
+
+    def cut(self, text: str) -> list[tuple[list[int], bool]]:
+        """As `stretches`, with the rows of the words."""
+        out = []
+        for sentence in _SENTENCE.split(text):
+            own = [i for i in map(self.ids.__getitem__, sentence.split()) if i]
+            n = len(own)
+            if n <= STRETCH * 3 // 2:
+                if n:
+                    out.append((own, True))
+                continue
+            parts = round(n / STRETCH)
+            ends = [round(n * k / parts) for k in range(parts + 1)]
+            out += [(own[a:b], a == 0) for a, b in zip(ends, ends[1:])]
+        return out
+
+    def log_probabilities(self, units: list[list[int]]) -> np.ndarray:
+        sizes = np.array([len(u) for u in units])
+        at = np.array([i for u in units for i in u], dtype=np.int64)
         sums = np.add.reduceat(self.rows[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         z = (self.model.bias + sums / np.sqrt(sizes)[:, None]) / self.model.temperature
         z -= z.max(axis=1, keepdims=True)
@@ -244,7 +269,7 @@ def best_path(logp: list[list[float]], begins: list[bool]) -> list[int]:
     return path[::-1]
 
 
-def segments(scorer: Scorer, texts: list[list[tuple[list[str], bool]]]) -> list[list[tuple[int, float]]]:
+def segments(scorer: Scorer, texts: list[list[tuple[list[int], bool]]]) -> list[list[tuple[int, float]]]:
     """For each text, (language, confidence) of its longest runs: the best path over its stretches."""
     units = [words for own in texts for words, _ in own]
     if not units:
@@ -319,8 +344,11 @@ def identified(narratives: DataFrame, documents: DataFrame) -> DataFrame:
         headers = Headers(forms)
         scorer = Scorer(Model(*weights)) if weights else None
         for pdf in batches:
-            cut_up = [stretches(story(text, headers)) for text in pdf["text"]]
-            runs = segments(scorer, cut_up) if scorer else [[] for _ in cut_up]
+            runs = [[] for _ in range(len(pdf))]
+            if scorer:
+                told = [story(text, headers) for text in pdf["text"]]
+                scorer.prepare(told)
+                runs = segments(scorer, [scorer.cut(t) for t in told])
             found = [[(i, LANGUAGES[lang], float(p)) for i, (lang, p) in enumerate(own, 1)] for own in runs]
             yield pd.DataFrame({"record_id": pdf["record_id"], "declared": pdf["declared"], "segments": found})
 
