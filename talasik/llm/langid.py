@@ -40,7 +40,7 @@ CHANGE, CHANGE_INSIDE = 5.0, 10.0
 STORY = ("salaysay", "facts", "salese", "sugilanon")
 
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
-_ADDRESS = regex.compile(r"(?i)\S+\s?(?:@|\(at\)|\sat\s(?=\S+\sdot\s))\s?\S+(?:\sdot\s\S+)*")
+_ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]+(?:\s?@\s?[\w.-]+|\(at\)[\w.-]+|\sat\s(?:[\w-]+\sdot\s)+\w+)")
 _SENTENCE = re.compile(r"[.!?;][\"'”)]*\s+|//|\|")
 #: A form's text begins with one of its labels.
 _FORM = re.compile(rf"(?i)\W*(?:{'|'.join(FIELD_LABELS)})\s*[:=\-–—]")
@@ -213,12 +213,12 @@ class Scorer:
         self.ids: dict[str, int] = {}
         self.rows = np.zeros((1, len(LANGUAGES)))
 
-    def prepare(self, texts: list[str]) -> None:
-        """Give every token of `texts` its row."""
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Give every token of `texts`, lists of sentences, its row."""
         if len(self.ids) > 500_000:
             self.ids.clear()
             self.rows = self.rows[:1]
-        fresh = {t for text in texts for t in text.split()} - self.ids.keys()
+        fresh = {t for text in texts for sentence in text for t in sentence.split()} - self.ids.keys()
         words: dict[str, int] = {}
         for t in fresh:
             found = _WORD.search(t.lower())
@@ -230,10 +230,10 @@ class Scorer:
             own = np.stack([np.bincount(word, weights=v * w, minlength=len(words)) for w in self.model.weights[gram].T], axis=1)
             self.rows = np.concatenate([self.rows, own / np.maximum(norm, 1e-12)[:, None]])
 
-    def cut(self, text: str) -> list[tuple[list[int], bool]]:
+    def cut(self, sentences: list[str]) -> list[tuple[list[int], bool]]:
         """As `stretches`, with the rows of the words."""
         out = []
-        for sentence in _SENTENCE.split(text):
+        for sentence in sentences:
             own = [i for i in map(self.ids.__getitem__, sentence.split()) if i]
             n = len(own)
             if n <= STRETCH * 3 // 2:
@@ -346,7 +346,7 @@ def identified(narratives: DataFrame, documents: DataFrame) -> DataFrame:
         for pdf in batches:
             runs = [[] for _ in range(len(pdf))]
             if scorer:
-                told = [story(text, headers) for text in pdf["text"]]
+                told = [_SENTENCE.split(story(text, headers)) for text in pdf["text"]]
                 scorer.prepare(told)
                 runs = segments(scorer, [scorer.cut(t) for t in told])
             found = [[(i, LANGUAGES[lang], float(p)) for i, (lang, p) in enumerate(own, 1)] for own in runs]
