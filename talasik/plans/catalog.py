@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from talasik.plans import analytics
+from talasik.plans import analytics, evaluation, matching, normalise
 
-QUERIES = {**analytics.QUERIES}
-SQL = {**analytics.SQL}
+_PLANS = (analytics, normalise, matching, evaluation)
+QUERIES = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _PLANS for k, v in m.SQL.items()}
