@@ -14,7 +14,6 @@ NO_DATE = ("", "not indicated", "n/a", "na", "unknown", "unspecified")
 FORMATS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "M/d/yy", "M-d-yy", "MMM-d-yyyy", "MMMM-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
 
 
-@F.pandas_udf("string")
 def _parsed(text: pd.Series) -> pd.Series:
     def one(t):
         d = pd.to_datetime(t, errors="coerce") if t else pd.NaT
@@ -34,7 +33,7 @@ def normalize_date(column: Column, fallback: bool = False) -> Column:
     swapped = F.try_to_timestamp(F.regexp_replace(told, r"^(1[3-9]|2\d|3[01])([-/])(\d{1,2})([-/]\d{4})$", "$3$2$1$4"), F.lit("M/d/yyyy"))
     swapped = F.coalesce(swapped, F.try_to_timestamp(F.regexp_replace(told, r"^(1[3-9]|2\d|3[01])-(\d{1,2})-(\d{4})$", "$2-$1-$3"), F.lit("M-d-yyyy")))
     native = F.date_format(F.coalesce(read, swapped), "yyyy-MM-dd")
-    return F.coalesce(native, _parsed(told)) if fallback else native
+    return F.coalesce(native, F.pandas_udf(_parsed, "string")(told)) if fallback else native
 
 
 def normalize_time(column: Column) -> Column:

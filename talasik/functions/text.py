@@ -85,12 +85,15 @@ def _folded(text: str | None) -> str:
     return " ".join(regex.sub(r"[^A-Z0-9ÑÜ]+", " ", text).split())
 
 
-@F.pandas_udf("string")
-def folded(text: pd.Series) -> pd.Series:
-    """Compatibility form in upper case with only A-Z, digits, Ñ and Ü; '' for NULL."""
+def _folded_all(text: pd.Series) -> pd.Series:
     return text.map(_folded)
 
 
+def folded(column: Column) -> Column:
+    """Compatibility form in upper case with only A-Z, digits, Ñ and Ü; '' for NULL."""
+    return F.pandas_udf(_folded_all, "string")(column)
+
+
 def character_error(read: Column, gold: Column) -> Column:
     """Edit distance over the gold's length; an empty gold counts 1 unless nothing was read."""
     return F.when(F.length(gold) == 0, F.when(F.length(read) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(read, gold) / F.length(gold))
@@ -106,9 +109,7 @@ def _word_distance(a: list[str], b: list[str]) -> int:
     return last[-1]
 
 
-@F.pandas_udf("double")
-def word_error(read: pd.Series, gold: pd.Series) -> pd.Series:
-    """Word edit distance over the gold's words; an empty gold counts 1 unless nothing was read."""
+def _word_errors(read: pd.Series, gold: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(read, gold):
         x, y = (a or "").split(), (b or "").split()
@@ -116,6 +117,11 @@ def word_error(read: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def word_error(read: str, gold: str) -> Column:
+    """Word edit distance over the gold's words; an empty gold counts 1 unless nothing was read."""
+    return F.pandas_udf(_word_errors, "double")(read, gold)
+
+
 def match_case(source: Column, replacement: Column) -> Column:
     """The replacement in the source's case: mostly upper, capitalised, else lower."""
     upper = F.length(F.regexp_replace(source, r"[^\p{Lu}]", "")) * 2 > F.length(F.regexp_replace(source, r"[^\p{L}]", ""))

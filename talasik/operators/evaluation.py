@@ -33,10 +33,7 @@ def discordance(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(a & b).alias("both"), F.count_if(~a & ~b).alias("neither"))
 
 
-@F.pandas_udf("double")
-def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.Series:
-    """Two-sided exact binomial p of b against c discordant pairs; 1 for none."""
-
+def _exact(b: pd.Series, c: pd.Series) -> pd.Series:
     def one(x: int, y: int) -> float:
         n = x + y
         if not n:
@@ -47,7 +44,11 @@ def mcnemar_exact(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([one(int(x), int(y)) for x, y in zip(b, c)])
 
 
-@F.pandas_udf("double")
+def mcnemar_exact(b: str, c: str) -> Column:
+    """Two-sided exact binomial p of b against c discordant pairs; 1 for none."""
+    return F.pandas_udf(_exact, "double")(b, c)
+
+
 def _erfc_root_half(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
 
@@ -55,7 +56,7 @@ def _erfc_root_half(x: pd.Series) -> pd.Series:
 def mcnemar_corrected(b: Column, c: Column) -> tuple[Column, Column]:
     """Continuity-corrected statistic and its p."""
     chi = F.when(b + c > 0, F.pow(F.abs(b - c) - 1, F.lit(2)) / (b + c)).otherwise(0.0)
-    return chi, _erfc_root_half(chi)
+    return chi, F.pandas_udf(_erfc_root_half, "double")(chi)
 
 
 def holm(df: DataFrame, p: str, order: str) -> DataFrame:

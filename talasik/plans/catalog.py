@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from talasik.plans import analytics, evaluation, matching, normalise
+from talasik.plans import analytics, evaluation, matching, normalise, textops
 
-_PLANS = (analytics, normalise, matching, evaluation)
+_PLANS = (analytics, normalise, matching, evaluation, textops)
 QUERIES = {k: v for m in _PLANS for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _PLANS for k, v in m.SQL.items()}
