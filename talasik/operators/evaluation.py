@@ -150,7 +150,8 @@ def bootstrap(df: DataFrame, value: str, resamples: int = 10_000, seed: int = 20
     Resampling n outcomes of which k are 1 gives a binomial number of ones, so only k and n are needed, at any size.
     """
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, n = int(pdf["k"].iloc[0] or 0), int(pdf["n"].iloc[0])
+        n = int(pdf["n"].iloc[0])
+        k = int(pdf["k"].iloc[0]) if n else 0
         if not n:
             return pd.DataFrame({"mean": [None], "low": [None], "high": [None]})
         means = np.random.default_rng(seed).binomial(n, k / n, resamples) / n

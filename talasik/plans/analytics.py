@@ -69,7 +69,6 @@ FROM incident_record r LEFT JOIN incident_type_ref t ON incident_type_primary =
 _add("trend_monthly", lambda s, d: A.trend(_b(s, d), "incident_date"), "SELECT incident_date[1:7] AS period, count(*) AS n FROM scan_blotter WHERE incident_date <> '' GROUP BY 1")
 _add("trend_yearly", lambda s, d: A.trend(_placed_orders(s, d), "day", "year"), f"SELECT day[1:4] AS period, count(*) AS n FROM {_PLACED} GROUP BY 1")
 _add("distinct_dropdown", lambda s, d: A.choices(table(s, d, "part"), "p_type"), "SELECT DISTINCT p_type AS value FROM part WHERE p_type <> ''")
-_CAT, _PLACE, _MONTH = A.filled("category", "Uncategorized"), A.filled("place", "Unknown"), F.substring("day", 1, 7)
 _add("crosstab_cat_place", lambda s, d: A.cross_tab(_placed_orders(s, d), A.filled("category", "Uncategorized"), A.filled("place", "Unknown")), f"SELECT category AS row, place AS col, count(*) AS n FROM {_PLACED} GROUP BY ALL")
 _add("crosstab_cat_month", lambda s, d: A.cross_tab(_b(s, d).filter(A.blank("incident_date").isNotNull()), A.filled("incident_type", "Uncategorized"), F.substring("incident_date", 1, 7)), """
 SELECT coalesce(nullif(incident_type, ''), 'Uncategorized') AS row, incident_date[1:7] AS col, count(*) AS n FROM scan_blotter WHERE incident_date <> '' GROUP BY ALL""")

@@ -22,7 +22,6 @@ def _labels(s, d):
 
 
 _L = "(SELECT record_id, lower(trim(incident_type)) AS gold, lower(trim(second_encoder_label)) AS pred, label_confidence, qa_mean_conf, fold, encoded_by FROM scan_blotter WHERE incident_type IS NOT NULL)"
-_RIGHT = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
 _WILSON = """round(greatest(((k / n) + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 0.0), 9) AS low,
 round(least(((k / n) + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt((k / n) * (1 - k / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n), 1.0), 9) AS high"""
 _right = lambda: F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
