@@ -65,7 +65,8 @@ def corrections(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
             by_length.setdefault(len(w), []).append(w)
         for pdf in batches:
             found = [(t, c) for t in pdf["token"] if (c := correct_word(t, own, by_length))]
-            yield pd.DataFrame(found, columns=["token", "correction"])
+            if found:
+                yield pd.DataFrame(found, columns=["token", "correction"])
 
     return unknown.mapInPandas(run, "token string, correction string")
 
@@ -125,7 +126,8 @@ def confusions(df: DataFrame, read: str, gold: str, least: int = 2) -> DataFrame
                         for op, i, j, k, n in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
                             if op == "replace" and j - i == n - k:
                                 found[x[i:j], y[k:n]] += 1
-            yield pd.DataFrame([(s, m, n) for (s, m), n in found.items()], columns=["seen", "meant", "n"])
+            if found:
+                yield pd.DataFrame([(s, m, n) for (s, m), n in found.items()], columns=["seen", "meant", "n"])
 
     pairs = df.filter(F.col(read).isNotNull() & F.col(gold).isNotNull()).select(read, gold)
     return pairs.mapInPandas(run, "seen string, meant string, n bigint").groupBy("seen", "meant").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)

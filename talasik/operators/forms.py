@@ -82,6 +82,7 @@ def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, i, *[f[s] for s in SLOTS]) for k, t in zip(pdf[key], pdf[text]) for i, f in enumerate(read_forms(t), 1)]
-            yield pd.DataFrame(rows, columns=[key, "entry_no", *SLOTS])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "entry_no", *SLOTS])
 
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, entry_no int, {', '.join(f'{s} string' for s in SLOTS)}")
