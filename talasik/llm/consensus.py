@@ -107,7 +107,8 @@ def _measure(state: dict, kinds: int):
                         t[1] += chance
                         t[2] += sureness - chance
                         t[3] += 1
-        yield pd.DataFrame([(*k, *t) for k, t in tally.items()], columns=["kind", "name", "agreed", "chance", "span", "n"])
+        if tally:
+            yield pd.DataFrame([(*k, *t) for k, t in tally.items()], columns=["kind", "name", "agreed", "chance", "span", "n"])
 
     return run
 

@@ -52,26 +52,36 @@ MARKS = frozenset({"mga", "kapitbahay", "ng", "villa", "new"})
 SHORT = {"fco": "francisco", "ma": "maria", "jos": "jose"}
 
 
+_TWO_LETTERS = regex.compile(r"\p{L}{2}")
+_LEAD_IN = regex.compile(r"(?i)(?:[\s,;:/(<\-]|\b(?:of|taga|tel|cp|no|id|id#|nakatira|sa)\b\.?|#)+$")
+_LETTERS = regex.compile(r"\p{L}+")
+_QUOTED = regex.compile(r'"([^"]+)"')
+_TOKENS = regex.compile(r"\p{L}[\p{L}'’]*(?:-\p{L}+)*")
+_DOUBLE = regex.compile(r"(.)\1+")
+_ALIKE = str.maketrans("cqfvz", "kkpbs")
+
+
 def plain_name(cell: str) -> str:
     """The cell without contact details, in lower case without accents; '' if it names nobody."""
     spans = find(cell, True)
     at = spans[0].start if spans else len(cell)
     text = cell[:at]
-    if spans and not regex.search(r"\p{L}{2}", text):
+    if spans and not _TWO_LETTERS.search(text):
         text = " ".join(cell[a:b] for a, b in zip([0] + [s.end for s in spans], [s.start for s in spans] + [len(cell)]))
     if spans:
-        text = regex.sub(r"(?i)(?:[\s,;:/(<\-]|\b(?:of|taga|tel|cp|no|id|id#|nakatira|sa)\b\.?|#)+$", "", text)
+        text = _LEAD_IN.sub("", text)
     text = unicodedata.normalize("NFKD", text)
     text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
-    text = regex.sub(r"[“”]", '"', text)
+    text = text.replace("“", '"').replace("”", '"')
     text = " ".join(text.split())
-    bare = " ".join(regex.findall(r"\p{L}+", text))
+    bare = " ".join(_LETTERS.findall(text))
     return "" if not bare or bare in NOBODY else text
 
 
+@lru_cache(maxsize=50_000)
 def fold(token: str) -> str:
     """Letters that sound alike become one, double letters single."""
-    return regex.sub(r"(.)\1+", r"\1", token.translate(str.maketrans("cqfvz", "kkpbs")))
+    return _DOUBLE.sub(r"\1", token.translate(_ALIKE))
 
 
 @dataclass(frozen=True)
@@ -90,15 +100,15 @@ class Name:
         return bool(self.kinds) or "kapitbahay" in self.marks
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def parse(text: str) -> Name:
     nick = ""
-    m = regex.search(r'"([^"]+)"', text)
+    m = _QUOTED.search(text) if '"' in text else None
     if m:
-        nick, text = "".join(regex.findall(r"\p{L}+", m[1])), f"{text[: m.start()]} {text[m.end() :]}"
+        nick, text = "".join(_LETTERS.findall(m[1])), f"{text[: m.start()]} {text[m.end() :]}"
     comma = "," in text
     suffix, words, kinds, marks = "", [], [], []
-    tokens = regex.findall(r"\p{L}[\p{L}'’]*(?:-\p{L}+)*", text)
+    tokens = _TOKENS.findall(text)
     while len(tokens) > 1 and tokens[0] in TITLES:
         tokens = tokens[1:]
     organisation = any(t in KINDS and t not in ("co", "trans", "rice", "water") for t in tokens) or "kapitbahay" in tokens
@@ -122,7 +132,8 @@ def same_word(a: str, b: str) -> float:
     if x == y:
         return 0.95
     n = min(len(x), len(y))
-    if n < 4:
+    # two edits change at most four of the letters used
+    if n < 4 or abs(len(x) - len(y)) > 2 or len(set(x) ^ set(y)) > 4:
         return 0.0
     d = distance(x, y)
     return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.0
@@ -271,7 +282,7 @@ def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE) ->
     threshold: two vectors that reach it share one of these. The full cosine is computed for those pairs.
     """
     n = max(names.count(), 1)
-    rows = cut(names.mapInPandas(_gram_rows(givens.lists()), "id bigint, gram string"))
+    rows = cut(spread(names).mapInPandas(_gram_rows(givens.lists()), "id bigint, gram string"))
     df = rows.groupBy("gram").agg(F.count("*").alias("df"))
     weighted = rows.join(df, "gram").withColumn("w", F.log(F.lit(n + 1.0) / F.col("df")))
     own = Window.partitionBy("id")
@@ -325,7 +336,8 @@ def learn_givens(names: DataFrame) -> Givens:
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(w, p.nick if k < 3 else "") for n in pdf["name"] for p in [parse(n)] if not p.organisation for k, w in enumerate(p.words) if len(w) > 1]
-            yield pd.DataFrame(rows, columns=["word", "nick"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "nick"])
 
     words = cut(names.mapInPandas(tokens, "word string, nick string"))
     total = max(words.count(), 1)
@@ -351,7 +363,7 @@ def party_clusters(cells: DataFrame) -> DataFrame:
             yield pd.DataFrame({"cell": pdf["cell"], "name": [plain_name(c) for c in pdf["cell"]]})
 
     named = cut(spread(cells.filter("cell IS NOT NULL").distinct()).mapInPandas(clean, "cell string, name string").filter("name <> ''"))
-    names = cut(named.groupBy("name").agg(F.min("cell").alias("one")).select(F.xxhash64("name").alias("id"), "name"))
+    names = cut(named.select("name").distinct().select(F.xxhash64("name").alias("id"), "name"))
     givens = learn_givens(names)
     shared = cells.sparkSession.sparkContext.broadcast(givens.lists())
 
@@ -363,7 +375,9 @@ def party_clusters(cells: DataFrame) -> DataFrame:
 
     pairs = cosine_pairs(names, givens)
     spelt = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb")
-    links = cut(spelt.mapInPandas(check, "a bigint, b bigint, score double"))
+    # a pair is a few bytes but takes a while: small partitions must not be put together
+    tasks = cells.sparkSession.sparkContext.defaultParallelism * 4
+    links = cut(spelt.repartition(tasks, "a", "b").mapInPandas(check, "a bigint, b bigint, score double"))
     linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     grouped = average_linkage(linked, links)
     own = names.join(grouped, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"))

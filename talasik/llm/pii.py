@@ -25,6 +25,7 @@ TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 _EMAIL = regex.compile(
     r"(?i)[a-z0-9][\w.+-]*?\s?(?:@|\(at\)|\[at\]|\sat\s)\s?(?:[a-z0-9-]+(?:\.|\sdot\s|\(dot\)))+[a-z]{2,}\b(?:\.[a-z]{2,}\b)*"
 )
+_SPELT_DOT = regex.compile(r"(?i)\sdot\s|\(dot\)")
 _PHONE = regex.compile(
     r"(?<![\w.-])(?:(?:\+?63[\s.-]?|0)9\d{2}[\s.-]?\d{3}[\s.-]?\d{2}\s?\d{2}|\(0\d{1,3}\)\s?\d{3,4}[\s-]\d{4})(?![\w-]|\.\d)"
 )
@@ -152,7 +153,7 @@ def propose(text: str, party: bool) -> Iterator[Span]:
     """Every candidate span with its score."""
     for m in _EMAIL.finditer(text):
         plain = "@" in m.group() or "(at)" in m.group().lower() or "[at]" in m.group().lower()
-        yield Span(m.start(), m.end(), "EMAIL", 0.95 if plain else 0.7 if regex.search(r"(?i)\sdot\s|\(dot\)", m.group()) else 0.2)
+        yield Span(m.start(), m.end(), "EMAIL", 0.95 if plain else 0.7 if _SPELT_DOT.search(m.group()) else 0.2)
     for m in _PHONE.finditer(text):
         score = 0.75 + 0.2 * _near(_PHONE_WORDS, text, m.start(), m.end()) - 0.6 * bool(_AMOUNT.search(text[max(0, m.start() - 5) : m.start()]))
         yield Span(m.start(), m.end(), "PHONE", score)
