@@ -176,3 +176,17 @@ def stratified_split(df: DataFrame, key: str, stratum: str, share: float = 0.2,
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     held = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < share * 10_000
     return df.join(F.broadcast(sizes), stratum, "left").withColumn("split", F.when(held & (F.col("_n") > 1), "holdout").otherwise("dev")).drop("_n")
+
+
+def group_probabilities(df: DataFrame, key: str, probabilities: str, members: DataFrame) -> DataFrame:
+    """key, group and the sum of the probabilities of the group's types; `members` has index (0-based) and group."""
+    cells = df.select(key, F.posexplode(probabilities).alias("index", "_p"))
+    return cells.join(F.broadcast(members), "index").groupBy(key, "group").agg(F.sum("_p").alias("p"))
+
+
+def token_account(df: DataFrame, key: str, said: str, gold: str) -> DataFrame:
+    """key, exact and absent: how many of the gold's words (three letters or more) stand in the other text."""
+    words = lambda c: F.regexp_extract_all(F.upper(c), F.lit(r"([\p{L}\d]{3,})"), F.lit(1))
+    rows = df.select(key, words(F.col(gold)).alias("_g"), words(F.col(said)).alias("_s"))
+    exact = F.size(F.filter("_g", lambda w: F.array_contains("_s", w)))
+    return rows.select(key, exact.alias("exact"), (F.size("_g") - exact).alias("absent"))

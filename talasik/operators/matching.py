@@ -84,3 +84,54 @@ def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
 def enrich_skewed(df: DataFrame, dimension: DataFrame, on: list[str]) -> DataFrame:
     """Left join of rows whose keys may be very unevenly spread with one row per key."""
     return skew_join(df, dimension, on, "left")
+
+
+def upsert(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The table with changed rows replaced and new ones added; of several changes of a key the last by all columns counts."""
+    others = [c for c in df.columns if c != key]
+    latest = changes.groupBy(key).agg(F.max(F.struct(*others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns)
+    return df.join(latest.select(key), key, "left_anti").select(*df.columns).unionByName(latest)
+
+
+def fixed_up(df: DataFrame, fixes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`df` with values overridden where `fixes` has one; the word NONE clears a value."""
+    side = fixes.select(key, *[F.col(c).alias(f"_fix_{c}") for c in columns])
+    joined = df.join(broadcast_if_small(side), key, "left")
+    value = lambda c: F.when(F.upper(F.trim(f"_fix_{c}")) == "NONE", F.lit("")).otherwise(F.coalesce(F.nullif(F.trim(f"_fix_{c}"), F.lit("")), F.col(c)))
+    return joined.select(*[value(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def evolved(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """`df` with every column of the schema: missing ones NULL, others cast where possible; running it again changes nothing."""
+    have = set(df.columns)
+    return df.select(*[F.col(c).try_cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in schema.items()], *[F.col(c) for c in df.columns if c not in schema])
+
+
+def sample_by_hash(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """`n` rows with the smallest hashes of seed and key: the same rows on every run and cluster."""
+    return df.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(n).drop("_h")
+
+
+def reading_order(boxes: DataFrame, page: str) -> DataFrame:
+    """`boxes` (page, x, y, height, text) with line_no and word_no in reading order.
+
+    A box joins the line above it if its middle lies within half a height of that line's running middle. The lines
+    of a page depend on one another, so a page is read in one task; pages are small and many.
+    """
+    import pandas as pd
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.assign(_m=pdf["y"] + pdf["height"] / 2).sort_values(["_m", "x"], kind="stable")
+        lines, middle, count, no = [], None, 0, 0
+        for m, h in zip(rows["_m"], rows["height"]):
+            if middle is None or abs(m - middle) > h / 2:
+                no, middle, count = no + 1, m, 1
+            else:
+                count += 1
+                middle += (m - middle) / count
+            lines.append(no)
+        rows = rows.assign(line_no=lines).drop(columns="_m").sort_values(["line_no", "x"], kind="stable")
+        return rows.assign(word_no=rows.groupby("line_no").cumcount() + 1)
+
+    schema = ", ".join(f"{c} {t}" for c, t in boxes.dtypes)
+    return boxes.groupBy(page).applyInPandas(order, f"{schema}, line_no int, word_no int")

@@ -140,3 +140,21 @@ def test_fidelity_and_recall(spark):
     assert [tuple(r[0]) for r in df.select(correction.fidelity("a", "b")).collect()] == [(0, 2, 1), (0, 0, 0)]
     got = spark.createDataFrame([("NAG5ADYA DITO", "NAGSADYA DITO")], "a string, b string").select(correction.recall("a", "b")).first()[0]
     assert tuple(got) == (0.5, 1.0, 2)
+
+
+def test_reading_order(spark):
+    boxes = spark.createDataFrame([("p", 50.0, 11.0, 10.0, "two"), ("p", 0.0, 10.0, 10.0, "one"), ("p", 0.0, 30.0, 10.0, "three"), ("q", 0.0, 0.0, 5.0, "x")], "page string, x double, y double, height double, text string")
+    got = {r.text: (r.line_no, r.word_no) for r in matching.reading_order(boxes, "page").collect()}
+    assert got == {"one": (1, 1), "two": (1, 2), "three": (2, 1), "x": (1, 1)}
+
+
+def test_evolving_twice(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, extra string")
+    once = matching.evolved(df, {"a": "bigint", "b": "string"})
+    assert matching.evolved(once, {"a": "bigint", "b": "string"}).collect() == once.collect() and once.columns == ["a", "b", "extra"]
+
+
+def test_brier(spark):
+    df = spark.createDataFrame([([0.5, 0.5], 0), ([0.0, 1.0], 1)], "p array<double>, y int")
+    r = evaluation.brier(df, "p", "y").first()
+    assert r["brier"] == 0.25 and r["mean_p"] == 0.75 and math.isclose(r["log_loss"], math.log(2) / 2)
