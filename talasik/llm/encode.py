@@ -108,7 +108,7 @@ def _encode_rows(name: str, folder: str):
             ids = enc.encode_ordinary_batch(chunks, num_threads=1)
             tail_chars, tail_tokens = [], []
             for c in chunks:
-                last = open_pieces(c, [m.span() for m in pat.finditer(c)])
+                last = open_pieces(c, [m.span() for m in pat.finditer(c, last_starts(c))])
                 tail_chars.append(len(c) - last[0][0])
                 tail_tokens.append(sum(len(piece(c[a:b])) for a, b in last))
             yield pd.DataFrame({"chunk": chunks, "ids": ids, "tail_chars": tail_chars, "tail_tokens": tail_tokens})
@@ -116,6 +116,21 @@ def _encode_rows(name: str, folder: str):
     return run
 
 
+def last_starts(text: str, least: int = 3) -> int:
+    """A place near the end where a pre-token surely starts, with at least `least` words after it, or 0.
+
+    White space after anything else always starts one: no pre-token goes on from a visible character into white space.
+    """
+    at = len(text)
+    while least and at > 0:
+        at = text.rfind(" ", 0, at)
+        if at <= 0:
+            return 0
+        if not text[at - 1].isspace():
+            least -= 1
+    return max(at, 0)
+
+
 def open_pieces(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The last pre-tokens, which text that follows can still change.
 

@@ -101,3 +101,12 @@ def test_plan_covers_the_histogram(counts):
         k = next((k for k, used in enumerate(first_fit) if used + s <= 20), None)
         first_fit = [*first_fit, s] if k is None else [u + s * (i == k) for i, u in enumerate(first_fit)]
     assert sum(b for _, b in plan) <= len(first_fit) + 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab c'  \n\t12,.é r  ")), min_size=1, max_size=60))
+def test_tails_found_from_the_end(text):
+    pat = encode._pattern()
+    whole = [m.span() for m in pat.finditer(text)]
+    near = [m.span() for m in pat.finditer(text, encode.last_starts(text))]
+    assert near == whole[len(whole) - len(near) :] and encode.open_pieces(text, near) == encode.open_pieces(text, whole)
