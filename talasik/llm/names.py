@@ -26,7 +26,7 @@ GRAM = 3
 #: A word in this share of all words of names is a given name.
 GIVEN_SHARE = 0.0025
 #: Pairs below this cosine aren't looked at.
-COSINE = 0.3
+COSINE = 0.2
 #: Clusters merge while the mean score of their pairs is at least this.
 LINKAGE = 0.5
 MAX_ROUNDS = 40
@@ -136,7 +136,7 @@ def same_word(a: str, b: str) -> float:
     if n < 4 or abs(len(x) - len(y)) > 2 or len(set(x) ^ set(y)) > 4:
         return 0.0
     d = distance(x, y)
-    return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.0
+    return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.6 if d <= 2 and n >= 8 else 0.0
 
 
 class Givens:
@@ -180,6 +180,8 @@ class Givens:
             return 1.0
         if len(a) == 1:
             return 0.7 if b[0] == a or any(g[0] == a for g in self.nicks.get(b, ())) else 0.0
+        if a in self.known and b in self.known:
+            return 0.0  # two given names, however alike
         if SHORT.get(a) == b or len(a) >= 3 and b.startswith(a):
             return 0.9
         if b in self.nicks.get(a, ()) or a in self.nicks.get(b, ()):

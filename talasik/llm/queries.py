@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from talasik.llm import canonical, consensus, encode, formdups, langid, mapping, names, packing, pii, scanrepair
+from talasik.llm.sql import SQL
 from talasik.session import table
 
+__all__ = ["QUERIES", "SQL"]
 
 
 def _t(s, d, *names):
@@ -33,5 +35,3 @@ QUERIES = {
     "p10_found": lambda s, d: canonical.found_kinds(table(s, d, "documents")),
     "p10_canonical": lambda s, d: canonical.canonical_forms(table(s, d, "documents")),
 }
-
-SQL: dict[str, str] = {}
