@@ -44,9 +44,12 @@ def field_order_free(column: Column, labels: tuple[str, ...] = FIELD_LABELS) ->
 
     A label is one of `labels` in any case that a colon, dash or equals sign follows.
     """
-    label = rf"(?iU)(?<![\p{{L}}\p{{N}}])({'|'.join(labels)})(?=\s*[:=\-–—])"
+    names = "|".join(labels)
+    label = rf"(?iU)(?<![\p{{L}}\p{{N}}])({names})(?=\s*[:=\-–—])"
     parts = F.transform(F.split(F.regexp_replace(column, label, "\u0001$1"), "\u0001"), bare)
-    return F.concat_ws("|", F.slice(parts, 1, 1), F.array_sort(F.slice(parts, 2, F.size(parts))))
+    ordered = F.concat_ws("|", F.slice(parts, 1, 1), F.array_sort(F.slice(parts, 2, F.size(parts))))
+    # most texts hold no label, which a plainer pattern can tell
+    return F.when(column.rlike(rf"(?i)(?:{names})[\s\p{{Z}}]*[:=\-–—]"), ordered).otherwise(bare(column))
 
 
 def part_order_free(column: Column) -> Column:
@@ -169,7 +172,7 @@ def collapse(df: DataFrame, id_col: str, keys: list[Column]) -> tuple[DataFrame,
 def blotter_keys() -> list[Column]:
     said = F.col("narrative_summary")
     return [
-        F.when(F.length(bare(said)) > 0, field_order_free(said)),
+        F.when(said.rlike(r"[\p{L}\p{N}\p{M}]"), field_order_free(said)),
         part_order_free(F.col("source_file_page")),
     ]
 
