@@ -7,6 +7,7 @@ so no row is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,11 @@ CONTEXT = 48
 TYPES = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
 _EMAIL = regex.compile(
-    r"(?i)[a-z0-9][\w.+-]*?\s?(?:@|\(at\)|\[at\]|\sat\s)\s?(?:[a-z0-9-]+(?:\.|\sdot\s|\(dot\)))+[a-z]{2,}\b(?:\.[a-z]{2,}\b)*"
+    r"(?i)(?<![\w.+-])[a-z0-9][\w.+-]{0,63}?\s?(?:@|\(at\)|\[at\]|\sat\s)\s?(?:[a-z0-9-]+(?:\.|\sdot\s|\(dot\)))+[a-z]{2,}\b(?:\.[a-z]{2,}\b)*"
 )
+#: What every phone and identity number, and every address, holds.
+_LONG_NUMBER = re.compile(r"\d[\d\s().-]{5,}\d")
+_STREET_WORD = re.compile(r"\b(?:st|street|ave|avenue|road|rd|lane|ln|ext|extension|drive|dr|blvd|boulevard|alley|kalye)\b")
 _SPELT_DOT = regex.compile(r"(?i)\sdot\s|\(dot\)")
 _PHONE = regex.compile(
     r"(?<![\w.-])(?:(?:\+?63[\s.-]?|0)9\d{2}[\s.-]?\d{3}[\s.-]?\d{2}\s?\d{2}|\(0\d{1,3}\)\s?\d{3,4}[\s-]\d{4})(?![\w-]|\.\d)"
@@ -151,18 +155,20 @@ def names(text: str) -> Iterator[Span]:
 
 def propose(text: str, party: bool) -> Iterator[Span]:
     """Every candidate span with its score."""
-    for m in _EMAIL.finditer(text):
+    low = text.lower()
+    for m in _EMAIL.finditer(text) if "@" in text or "(at)" in low or "[at]" in low or " dot" in low else ():
         plain = "@" in m.group() or "(at)" in m.group().lower() or "[at]" in m.group().lower()
         yield Span(m.start(), m.end(), "EMAIL", 0.95 if plain else 0.7 if _SPELT_DOT.search(m.group()) else 0.2)
-    for m in _PHONE.finditer(text):
+    numbered = bool(_LONG_NUMBER.search(text))
+    for m in _PHONE.finditer(text) if numbered else ():
         score = 0.75 + 0.2 * _near(_PHONE_WORDS, text, m.start(), m.end()) - 0.6 * bool(_AMOUNT.search(text[max(0, m.start() - 5) : m.start()]))
         yield Span(m.start(), m.end(), "PHONE", score)
     for pattern, base in _IDS:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if numbered else ():
             digits = "".join(c for c in m.group() if c.isdigit())
             score = base + 0.35 * _near(_ID_WORDS, text, m.start(), m.end()) + 0.15 * confirmed(digits) + 0.25 * party
             yield Span(m.start(), m.end(), "ID", min(score, 0.94))
-    for m in _ADDRESS.finditer(text):
+    for m in _ADDRESS.finditer(text) if _STREET_WORD.search(low) else ():
         yield Span(m.start(), m.end(), "ADDRESS", 0.9)
     if not party:
         yield from names(text)
