@@ -30,6 +30,8 @@ COSINE = 0.2
 #: Clusters merge while the mean score of their pairs is at least this.
 LINKAGE = 0.5
 MAX_ROUNDS = 40
+#: Longer words are no names; they are only compared for equality.
+LONGEST_WORD = 64
 
 #: Cells that name nobody (fixed values).
 NOBODY = frozenset(
@@ -133,7 +135,7 @@ def same_word(a: str, b: str) -> float:
         return 0.95
     n = min(len(x), len(y))
     # two edits change at most four of the letters used
-    if n < 4 or abs(len(x) - len(y)) > 2 or len(set(x) ^ set(y)) > 4:
+    if n < 4 or n > LONGEST_WORD or abs(len(x) - len(y)) > 2 or len(set(x) ^ set(y)) > 4:
         return 0.0
     d = distance(x, y)
     return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.6 if d <= 2 and n >= 8 else 0.0
