@@ -95,7 +95,7 @@ def test_page():
     page = scanrepair.read_page(text, scanrepair.Headers(["TANGGAPAN NG BARANGAY"]), lexicon())
     found = {(i + 1, k): v for (i, k), v in page.found.items()}
     assert found == {(1, 0): "header", (2, 2): "misread", (2, 3): "misread", (2, 5): "hyphen_break", (3, 4): "hyphen_break", (4, 0): "header", (5, 0): "page_number", (8, 4): "misread"}
-    assert scanrepair.reflow(page, lexicon()) == "hindi siya nakita sa sari-sari store upang pinalakihin hindi siya nakita\n\nhindi siya nakita 3:4o"
+    assert scanrepair.reflow(page, lexicon()) == "hindi siya nakita sa sari-sari store upang pinalakihin hindi siya nakita\n\nhindi siya nakita 3:40"
 
 
 @pytest.mark.parametrize("line", ["[133]", "— 182 —", "- 222 -", "171", "pg 199", "Page 171 of 177", "p. 181", "Pahina blg. 50", "Pah1na 12"])
