@@ -168,7 +168,7 @@ class Givens:
         """First letters of the given names the word may stand for."""
         hit = self.letters.get(word)
         if hit is None:
-            hit = sorted({g[0] for g in self.given if len(word) > 1 and self.same(word, g)} | {g[0] for g in self.nicks.get(word, ())}) or [word[0]]
+            hit = sorted({g[0] for g in self.given if len(word) > 1 and self.same(word, g)} | {g[0] for g in self.nicks.get(word, ())} | ({SHORT[word][0]} if word in SHORT else set())) or [word[0]]
             if len(self.letters) > 300_000:
                 self.letters.clear()
             self.letters[word] = hit
@@ -176,6 +176,7 @@ class Givens:
 
     def same(self, a: str, b: str) -> float:
         """As `same_word`, with initials, abbreviations and nicknames."""
+        a, b = SHORT.get(a, a), SHORT.get(b, b)
         if len(a) > len(b):
             a, b = b, a
         if a == b:
@@ -184,7 +185,7 @@ class Givens:
             return 0.7 if b[0] == a or any(g[0] == a for g in self.nicks.get(b, ())) else 0.0
         if a in self.known and b in self.known:
             return 0.0  # two given names, however alike
-        if SHORT.get(a) == b or len(a) >= 3 and b.startswith(a):
+        if len(a) >= 3 and b.startswith(a):
             return 0.9
         if b in self.nicks.get(a, ()) or a in self.nicks.get(b, ()):
             return 0.9
