@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "talasik", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,6 +57,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row_ids(df: DataFrame, name: str = "uid") -> DataFrame:
+    """`df` with an id of its own for every row, the same wherever the result is used.
+
+    Ids follow partitions and places in them. Those of a scan are fixed; behind an exchange they may turn out
+    differently when computed again, so such rows are cut first.
+    """
+    numbered = df.withColumn(name, F.monotonically_increasing_id())
+    fixed = "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    return numbered if fixed else cut(numbered)
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Enough partitions to keep every core busy in a Python-heavy stage.
 

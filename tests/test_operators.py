@@ -158,3 +158,11 @@ def test_brier(spark):
     df = spark.createDataFrame([([0.5, 0.5], 0), ([0.0, 1.0], 1)], "p array<double>, y int")
     r = evaluation.brier(df, "p", "y").first()
     assert r["brier"] == 0.25 and r["mean_p"] == 0.75 and math.isclose(r["log_loss"], math.log(2) / 2)
+
+
+def test_row_ids_behind_an_exchange(spark):
+    from talasik.session import with_row_ids
+
+    df = with_row_ids(spark.range(500).repartition(3).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n")))
+    both = df.alias("a").join(df.filter("k % 2 = 0").alias("b"), "uid")
+    assert df.select("uid").distinct().count() == 50 and both.filter("a.k <> b.k").count() == 0 and both.count() == 25
