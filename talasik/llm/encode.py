@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talasik.operators.skew import skew_join
-from talasik.session import spread
+from talasik.session import spread, with_row_ids
 
 TOKENIZERS = os.environ.get("TALASIK_TOKENIZERS", "/opt/tokenizers")
 #: The splitting pattern that belongs to the rank files (fixed value).
@@ -214,7 +214,7 @@ def encode_corpus(
     average. A chunk that occurs in a large share of the documents is joined with salt.
     """
     folder = folder or TOKENIZERS
-    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    rows = with_row_ids(df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")))
     some = rows.filter(F.length("text") > 0)
     chunks = spread(some.select("uid", "text")).mapInPandas(_chunk_rows(bits), "uid bigint, seq int, chunk string")
     encoded = chunks.select("chunk").distinct().mapInPandas(_encode_rows(tokenizer, folder), ENCODED)
