@@ -32,6 +32,8 @@ CODES = {
 FEATURES = 1 << 15
 #: The classifier is fitted on at most so many labelled rows of each table, those with the smallest hash of their key.
 SAMPLE_ROWS = 3000
+#: Of a sampled row the classifier sees at most so many stretches, and so many stretches in all.
+ROW_STRETCHES, SAMPLE_STRETCHES = 40, 40_000
 #: Words that make up one stretch at most.
 STRETCH = 8
 #: Price of a change of language between sentences and within one.
@@ -131,23 +133,32 @@ class Model:
         return z - math.log(np.exp(z).sum())
 
 
-def train(units: list[tuple[list[str], int]], idf: np.ndarray, epochs: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
-    """FTRL-proximal with elastic net on units (words, language), in the order given."""
+Prepared = list[tuple[np.ndarray, np.ndarray, int]]
+
+
+def prepare(units: list[tuple[list[str], int]], idf: np.ndarray) -> Prepared:
+    """Features (the last is the bias), their values and the language of every unit (words, language)."""
+    model = Model(idf, np.zeros((FEATURES, len(LANGUAGES))), np.zeros(len(LANGUAGES)))
+    cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    out = []
+    for words, label in units:
+        for x in words:
+            if x not in cache:
+                cache[x] = model.features(x)
+        at = np.concatenate([cache[x][0] for x in words] + [[FEATURES]])
+        v = np.concatenate([cache[x][1] for x in words] + [[math.sqrt(len(words))]]) / math.sqrt(len(words))
+        at, back = np.unique(at, return_inverse=True)
+        out.append((at.astype(np.int32), np.bincount(back, weights=v), label))
+    return out
+
+
+def train(units: Prepared, idf: np.ndarray, epochs: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02) -> Model:
+    """FTRL-proximal with elastic net on prepared units, in the order given."""
     k = len(LANGUAGES)
     z, n, w = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
     model = Model(idf, w[:-1], w[-1])
-    cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for _ in range(epochs):
-        for words, label in units:
-            if not words:
-                continue
-            for x in words:
-                if x not in cache:
-                    cache[x] = model.features(x)
-            at = np.concatenate([cache[x][0] for x in words] + [[FEATURES]])
-            v = np.concatenate([cache[x][1] for x in words] + [[math.sqrt(len(words))]]) / math.sqrt(len(words))
-            at, back = np.unique(at, return_inverse=True)
-            v = np.bincount(back, weights=v)
+        for at, v, label in units:
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
             s = v @ wi
@@ -310,16 +321,17 @@ def learn(narratives: DataFrame, documents: DataFrame, headers: Headers) -> Mode
     rows = _sample(narratives, "record_id", "text", "lang") + _sample(documents, "doc_id", "text", "lang")
     units, held = [], []
     for text, lang, h in sorted(rows, key=lambda r: r[2]):
-        own = stretches(story(text, headers))[:40]
+        own = stretches(story(text, headers))[:ROW_STRETCHES]
         (held if h % 5 == 0 else units).extend((words, LANGUAGES.index(lang)) for words, _ in own if len(words) > 2)
     if not units:
         return None
     order = np.random.default_rng(5).permutation(len(units))
-    units = [units[i] for i in order[:40_000]]
-    rough = train(units, idf, epochs=1)
+    units = [units[i] for i in order[:SAMPLE_STRETCHES]]
+    ready = prepare(units, idf)
+    rough = train(ready, idf, epochs=1)
     # labels are partly wrong: what the first model finds implausible doesn't teach the second
-    sure = [(w, y) for w, y in units if rough.log_probabilities(w)[y] > math.log(0.25)]
-    model = train(sure or units, idf)
+    sure = [x for x, (w, y) in zip(ready, units) if rough.log_probabilities(w)[y] > math.log(0.25)]
+    model = train(sure or ready, idf)
     held = [(w, y) for w, y in held if rough.log_probabilities(w)[y] > math.log(0.25)]
     if held:
         model.temperature = calibrate(model, held)
