@@ -14,7 +14,7 @@ def values(spark, column, inputs, schema="x string"):
 
 
 @pytest.mark.parametrize("column, pairs", [
-    (text.fix_mojibake, {"MalabaÃ±as": "Malabañas", "Malabañas": "Malabañas", "plain": "plain", "₱5": "₱5", None: None, "": ""}),
+    (text.fix_mojibake, {"PiÃ±ahan": "Piñahan", "Piñahan": "Piñahan", "plain": "plain", "₱5": "₱5", None: None, "": ""}),
     (text.strip_citations, {"Cash Collection[cite: 19, 20]": "Cash Collection", "a  [CITE:1] b": "a b", None: None}),
     (text.strip, {"\t a b \n": "a b", "": "", None: None}),
     (text.clean, {"Loud Music at NIGHT!!": "loud music night", None: "", "ang sa": ""}),
