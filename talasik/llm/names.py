@@ -29,7 +29,6 @@ GIVEN_SHARE = 0.0025
 COSINE = 0.2
 #: Clusters merge while the mean score of their pairs is at least this.
 LINKAGE = 0.5
-MAX_ROUNDS = 40
 #: Longer words are no names; they are only compared for equality.
 LONGEST_WORD = 64
 
@@ -244,6 +243,19 @@ def _rest(a: list[str], b: list[str], nick_a: str, nick_b: str, givens: Givens)
     return total * 0.88 ** (len(long_) - len(short))
 
 
+def alike_key(name: Name, givens: Givens) -> str | None:
+    """What `score` and `features` read of a spelling: spellings of one key score 1 with each other and the same with all others.
+
+    None for a name of one word, which matches nothing, not even itself.
+    """
+    if name.organisation and name.words:
+        return "|".join(["o", *(" ".join(p) for p in (name.words, sorted(name.kinds), sorted(name.marks))), name.suffix])
+    if len(name.words) < 2:
+        return None
+    i = givens.surname_at(name)
+    return "|".join(["p", name.words[i], " ".join(w for k, w in enumerate(name.words) if k != i), name.suffix, name.nick])
+
+
 def features(text: str, givens: Givens) -> set[str]:
     """Character n-grams of the surname, each with the initial a given name may have; of an organisation, of its words.
 
@@ -270,26 +282,34 @@ def _gram_rows(lists: tuple[list[str], dict[str, list[str]]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         givens = Givens(*lists)
         for pdf in batches:
-            ids, grams = [], []
-            for i, name in zip(pdf["id"], pdf["name"]):
+            ids, sizes, grams = [], [], []
+            for i, n, name in zip(pdf["id"], pdf["n"], pdf["name"]):
                 own = sorted(features(name, givens))
                 ids += [i] * len(own)
+                sizes += [n] * len(own)
                 grams += own
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "gram": pd.Series(grams, dtype="object")})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "n": pd.Series(sizes, dtype="int64"), "gram": pd.Series(grams, dtype="object")})
 
     return run
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("bigint"))
+
+
 def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE) -> DataFrame:
     """Pairs (a, b, cosine), a < b, of `names` (id, name) whose n-gram vectors reach the threshold; none is missed.
 
+    With a column n a row counts as n names.
+
     Of each vector only its rarest n-grams are joined, as many as leave a rest whose length is below the
     threshold: two vectors that reach it share one of these. The full cosine is computed for those pairs.
     """
-    n = max(names.count(), 1)
-    rows = cut(spread(names).mapInPandas(_gram_rows(givens.lists()), "id bigint, gram string"))
-    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
-    weighted = rows.join(df, "gram").withColumn("w", F.log(F.lit(n + 1.0) / F.col("df")))
+    names = _sized(names)
+    n = max(names.agg(F.sum("n")).first()[0] or 0, 1)
+    rows = cut(spread(names.select("id", "n", "name")).mapInPandas(_gram_rows(givens.lists()), "id bigint, n bigint, gram string"))
+    df = rows.groupBy("gram").agg(F.sum("n").alias("df"))
+    weighted = rows.drop("n").join(df, "gram").withColumn("w", F.log(F.lit(n + 1.0) / F.col("df")))
     own = Window.partitionBy("id")
     rarest = own.orderBy(F.desc("w"), "gram")
     unit = cut(
@@ -307,32 +327,41 @@ def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE) ->
     )
 
 
+def _cut_anew(df: DataFrame) -> DataFrame:
+    """As `cut`, without the size estimate and constraints that a checkpoint inherits: carried on from round to round they grow without bound."""
+    spark, done = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
 def average_linkage(nodes: DataFrame, links: DataFrame, threshold: float = LINKAGE) -> DataFrame:
     """(id, cluster) of every node of `nodes` (id) under average linkage of `links` (a, b, score).
 
-    Pairs without a link count as 0. Average linkage is reducible, so merging all pairs of clusters that are
-    each other's best in every round gives the same clusters as merging one pair at a time; ties go to the
-    smaller ids. No component is gathered anywhere.
+    With a column n a node stands for n that are merged already. Pairs without a link count as 0. Average linkage
+    is reducible, so merging all pairs of clusters that are each other's best in every round gives the same
+    clusters as merging one pair at a time, until none is left. Ties go by a hash of the pair: by the smallest id,
+    a tied group would merge one pair a round, so it takes rounds by the logarithm of its size. No component is
+    gathered anywhere.
     """
-    member = nodes.select("id", F.col("id").alias("cluster"))
-    edges = cut(links.select("a", "b", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")))
-    for _ in range(MAX_ROUNDS):
+    member = _sized(nodes).select("id", F.col("id").alias("cluster"), "n")
+    of = lambda end: member.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"))
+    edges = _cut_anew(links.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("score") * F.col("na") * F.col("nb")).alias("total"), "na", "nb"))
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "total", F.col("nb").alias("na"), F.col("na").alias("nb"))).withColumn("mean", F.round(F.col("total") / (F.col("na") * F.col("nb")), 9))
         # links that can never reach the threshold again are kept: they still pull a mean up
-        best = both.filter(F.col("mean") >= threshold).groupBy("a").agg(F.min_by("b", F.struct(-F.col("mean"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
-        merge = cut(best.alias("x").join(best.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")) & (F.col("x.a") < F.col("x.b"))).select(F.col("x.a").alias("keep"), F.col("x.b").alias("gone")))
+        best = both.filter(F.col("mean") >= threshold).groupBy("a").agg(F.min_by("b", F.struct(-F.col("mean"), F.xxhash64(F.least("a", "b"), F.greatest("a", "b")), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+        merge = _cut_anew(best.alias("x").join(best.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a")) & (F.col("x.a") < F.col("x.b"))).select(F.col("x.a").alias("keep"), F.col("x.b").alias("gone")))
         if merge.isEmpty():
             break
-        member = cut(member.join(merge.withColumnRenamed("gone", "cluster"), "cluster", "left").select("id", F.coalesce("keep", "cluster").alias("cluster")))
-        sizes = member.groupBy("cluster").agg(F.count("*").alias("n"))
+        member = _cut_anew(member.join(merge.withColumnRenamed("gone", "cluster"), "cluster", "left").select("id", F.coalesce("keep", "cluster").alias("cluster"), "n"))
+        sizes = member.groupBy("cluster").agg(F.sum("n").alias("n"))
         to = merge.select("gone", "keep")
         moved = (
             edges.join(to.select(F.col("gone").alias("a"), F.col("keep").alias("ka")), "a", "left").join(to.select(F.col("gone").alias("b"), F.col("keep").alias("kb")), "b", "left")
             .select(F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b"), "total").filter("a <> b")
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total"))
         )
-        edges = cut(moved.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b"))
-    return member
+        edges = _cut_anew(moved.join(sizes.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b"))
+    return member.select("id", "cluster")
 
 
 def learn_givens(names: DataFrame) -> Givens:
@@ -360,7 +389,7 @@ def party_clusters(cells: DataFrame) -> DataFrame:
     """(cell, cluster) of every distinct cell of `cells` (cell) that names somebody.
 
     NULLs, blanks and placeholders are left out. Cells that differ in case, contact details or spacing only
-    share a spelling; spellings are clustered.
+    share a spelling; spellings with the same parts (`alike_key`) are one node, nodes are clustered.
     """
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,14 +407,22 @@ def party_clusters(cells: DataFrame) -> DataFrame:
             pdf["score"] = [score(parse(x), parse(y), own) for x, y in zip(pdf["na"], pdf["nb"])]
             yield pdf.loc[pdf["score"] > 0, ["a", "b", "score"]]
 
-    pairs = cosine_pairs(names, givens)
-    spelt = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb")
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Givens(*shared.value)
+        for pdf in batches:
+            pdf["key"] = [alike_key(parse(n), own) or f"={n}" for n in pdf["name"]]
+            yield pdf
+
+    keyed = cut(spread(names).mapInPandas(keys, "id bigint, name string, key string"))
+    nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.count("*").alias("n")))
+    pairs = cosine_pairs(nodes, givens)
+    spelt = pairs.join(nodes.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb")
     # a pair is a few bytes but takes a while: small partitions must not be put together
     tasks = cells.sparkSession.sparkContext.defaultParallelism * 4
     links = cut(spelt.repartition(tasks, "a", "b").mapInPandas(check, "a bigint, b bigint, score double"))
     linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    grouped = average_linkage(linked, links)
-    own = names.join(grouped, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"))
+    grouped = average_linkage(nodes.join(linked, "id").select("id", "n"), links)
+    own = keyed.select("name", "key").join(nodes.select("key", "id"), "key").join(grouped, "id", "left").select("name", F.coalesce("cluster", "id").alias("cluster"))
     return named.join(own, "name").select("cell", "cluster")
 
 

@@ -145,3 +145,24 @@ def test_parties(frame):
     got = {(r.name_a, r.name_b) for r in names.found_pairs(df).collect()}
     assert got == {(a, b) for a in same for b in same if a < b}
     assert names.found_pairs(df.limit(0)).count() == 0
+
+
+def test_tied_links_all_merge(frame):
+    n = 60
+    nodes, links = frame([(i,) for i in range(n)], "id bigint"), frame([(i, j, 0.9) for i in range(n) for j in range(i + 1, n)], "a bigint, b bigint, score double")
+    assert len({r.cluster for r in names.average_linkage(nodes, links).collect()}) == 1
+
+
+def test_merged_nodes_count_by_size(frame):
+    links = frame([(1, 2, 0.9), (2, 3, 0.8)], "a bigint, b bigint, score double")
+    one = names.average_linkage(frame([(1, 1), (2, 1), (3, 1)], "id bigint, n bigint"), links, 0.5).collect()
+    two = names.average_linkage(frame([(1, 1), (2, 3), (3, 1)], "id bigint, n bigint"), links, 0.5).collect()
+    assert len({r.cluster for r in one}) == 2 and len({r.cluster for r in two}) == 1
+
+
+def test_party_of_many_spellings(frame):
+    given = ["Maria", "Jose", "Francisco", "Ofelia", "Nestor"]
+    filler = [(f"{g} {s}", None) for g in given for s in ("Bagong", "Wokulat", "Rimasug", "Dofelak", "Tungolas", "Peyarat", "Sikumol", "Vanidor")]
+    same = [f"{t} {n}" for t in sorted(names.TITLES)[:25] for n in ("Francisco V. Lapasedin", "Lapasedin, Francisco V")]
+    got = {(r.name_a, r.name_b) for r in names.found_pairs(frame(filler + [(a, None) for a in same], "reporting_party string, respondent string")).collect()}
+    assert got == {(a, b) for a in same for b in same if a < b}
