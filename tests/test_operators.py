@@ -166,3 +166,10 @@ def test_row_ids_behind_an_exchange(spark):
     df = with_row_ids(spark.range(500).repartition(3).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n")))
     both = df.alias("a").join(df.filter("k % 2 = 0").alias("b"), "uid")
     assert df.select("uid").distinct().count() == 50 and both.filter("a.k <> b.k").count() == 0 and both.count() == 25
+
+
+def test_confusions_behind_a_header(spark):
+    gold = "ang bata ay nagpunta sa malaking bahay"
+    rows = [("BARANGAY HALL Page 1 ang b@ta ay nagpunta sa ma1aking bahay", gold), ("HEADER ang b@ta ay sa ma1aking bahay x", gold), (None, gold)]
+    got = {(r.seen, r.meant): r.n for r in correction.confusions(spark.createDataFrame(rows, "r string, g string"), "r", "g").collect()}
+    assert got == {("@", "a"): 2, ("1", "l"): 2}
