@@ -18,7 +18,7 @@ def _add(name, query, sql=None):
 
 
 def _remarks(s, d):
-    return table(s, d, "scan_blotter").select("record_id", "narrative_summary", F.concat(F.lit("Complainant: "), "reporting_party", F.lit("; Respondent: "), "respondent").alias("remarks"))
+    return table(s, d, "scan_blotter").select("record_id", "narrative_summary", F.concat_ws("; ", F.concat(F.lit("Complainant: "), "reporting_party"), F.concat(F.lit("Respondent: "), "respondent")).alias("remarks"))
 
 
 _add("names_in_remarks", lambda s, d: _remarks(s, d).select("record_id", F.explode(privacy.names_in(F.col("remarks"))).alias("name")))

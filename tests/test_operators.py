@@ -173,3 +173,13 @@ def test_confusions_behind_a_header(spark):
     rows = [("BARANGAY HALL Page 1 ang b@ta ay nagpunta sa ma1aking bahay", gold), ("HEADER ang b@ta ay sa ma1aking bahay x", gold), (None, gold)]
     got = {(r.seen, r.meant): r.n for r in correction.confusions(spark.createDataFrame(rows, "r string, g string"), "r", "g").collect()}
     assert got == {("@", "a"): 2, ("1", "l"): 2}
+
+
+def test_remarks_of_one_party(spark, tmp_path):
+    from talasik.plans import textops
+
+    rows = [(1, "si Ana Cruz at Ben Diaz", "Ana Cruz", None), (2, "si Ana Cruz at Ben Diaz", None, "Ben Diaz"), (3, "si Ana Cruz", None, None), (4, "si Ana Cruz at Ben Diaz", "Ana Cruz", "Ben Diaz")]
+    spark.createDataFrame(rows, "record_id bigint, narrative_summary string, reporting_party string, respondent string").write.parquet(str(tmp_path / "scan_blotter.parquet"))
+    assert sorted(map(tuple, textops.QUERIES["names_in_remarks"](spark, str(tmp_path)).collect())) == [(1, "Ana Cruz"), (2, "Ben Diaz"), (4, "Ana Cruz"), (4, "Ben Diaz")]
+    got = {r.record_id: r.text for r in textops.QUERIES["mask_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {1: "si [PERSON] at Ben Diaz", 2: "si Ana Cruz at [PERSON]", 3: "si Ana Cruz", 4: "si [PERSON] at [PERSON]"}
