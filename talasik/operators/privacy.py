@@ -80,3 +80,38 @@ def decrypted(text: Column, key: bytes, column: str) -> Column:
     """The inverse; text without the mark passes, a wrong key, column or byte raises."""
     opened = F.aes_decrypt(F.unbase64(F.substring(text, len(PREFIX) + 1, 1 << 30)), F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.lit(column.encode()))
     return F.when(text.startswith(PREFIX), opened.cast("string")).otherwise(text)
+
+
+#: Lines of a form, old or new, whose value is a name, a contact or an address (fixed values).
+NAME_LINES = ("COMPLAINANT", "RESPONDENT", "A. PANGALAN NG NAG-BLO-BLOTTER/NAGREREKLAMO", "B. PANGALAN NG INIREREKLAMO", "PANGALAN NG SUMULAT NG SALAYSAY", "PANGALAN")
+CONTACT_LINES, ADDRESS_LINES = ("CONTACT NO.",), ("TIRAHAN",)
+_LINE = regex.compile(rf"(?m)^(\s*({'|'.join(map(regex.escape, NAME_LINES + CONTACT_LINES + ADDRESS_LINES))})\s*: ?)(.*)$")
+
+
+def _names(value: str) -> list[str]:
+    """As `names_in`, of one value that stands after a label."""
+    parts = regex.split(r"(?i),| and | & |/", value.split(";")[0])
+    bare = [regex.sub(r"^\.+|\.+$", "", regex.sub(r"\(.*?\)", "", p).strip()) for p in parts]
+    return [b for b in bare if b and len(b.split()) <= 4 and (len(b.split()) > 1 or len(b) > 2 and b.lower() not in NOT_NAMES)]
+
+
+def _redact(text: str | None, blank: str, placeholder: str) -> str:
+    if not text:
+        return ""
+    hits = [(m[2], v) for m in _LINE.finditer(text) if (v := m[3].strip()) and v != blank]
+    out = _mask(_LINE.sub(lambda m: m[1] + placeholder, text), [n for label, v in hits if label in NAME_LINES for n in _names(v)], placeholder)
+    for contact in sorted({v for label, v in hits if label in CONTACT_LINES}, key=lambda v: (-len(v), v)):
+        out = regex.sub(rf"(?i){regex.escape(contact)}", lambda _: placeholder, out)
+    return out
+
+
+def redact_names(text: Column, placeholder: str = "[REDACTED]") -> Column:
+    """A rendered form with the values of its name, contact and address lines masked, and wherever else they stand
+    the names, every word of one and the contacts, longest first; '' for NULL."""
+    from talasik.operators.forms import BLANK
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return pd.Series([_redact(x, BLANK, placeholder) for x in t], dtype=object)
+
+    return run(text)

@@ -23,6 +23,8 @@ def _remarks(s, d):
 
 _add("names_in_remarks", lambda s, d: _remarks(s, d).select("record_id", F.explode(privacy.names_in(F.col("remarks"))).alias("name")))
 _add("mask_tokens", lambda s, d: _remarks(s, d).select("record_id", privacy.masked(F.col("narrative_summary"), privacy.names_in(F.col("remarks"))).alias("text")))
+_FORM = {"reporting_party": "reporting_party", "respondent": "respondent", "date": "incident_date", "time": "incident_time", "location_purok": "location_purok", "status": "status", "incident_summary": "narrative_summary", "action_taken": "action_taken"}
+_add("redacted_forms", lambda s, d: table(s, d, "scan_blotter").select("record_id", privacy.redact_names(forms.rendered({k: F.col(c) for k, c in _FORM.items()})).alias("shown")))
 _add("digests", lambda s, d: table(s, d, "scan_blotter").select("record_id", privacy.digest(F.col("narrative_summary"), b"k" * 32).alias("digest")))
 _KEY = b"0123456789abcdef0123456789abcdef"
 

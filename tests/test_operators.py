@@ -183,3 +183,12 @@ def test_remarks_of_one_party(spark, tmp_path):
     assert sorted(map(tuple, textops.QUERIES["names_in_remarks"](spark, str(tmp_path)).collect())) == [(1, "Ana Cruz"), (2, "Ben Diaz"), (4, "Ana Cruz"), (4, "Ben Diaz")]
     got = {r.record_id: r.text for r in textops.QUERIES["mask_tokens"](spark, str(tmp_path)).collect()}
     assert got == {1: "si [PERSON] at Ben Diaz", 2: "si Ana Cruz at [PERSON]", 3: "si Ana Cruz", 4: "si [PERSON] at [PERSON]"}
+
+
+def test_redacted_form(spark):
+    slots = {"reporting_party": "Ana Cruz", "respondent": "Ben Diaz Jr.", "complainant_contact": "0917 555 1234", "complainant_address": "12 Mabini", "incident_summary": "Si ANA CRUZ at si Diaz, tawag sa 0917 555 1234. Umalis si Ben.", "action_taken": "Kinausap"}
+    df = spark.range(1).select(privacy.redact_names(forms.rendered({k: F.lit(v) for k, v in slots.items()})).alias("t"), privacy.redact_names(F.lit(None).cast("string")).alias("none"), privacy.redact_names(F.lit("COMPLAINANT: Ana Cruz\nNARRATIVE: Cruz came")).alias("old"))
+    got = df.first()
+    assert "Si [REDACTED] at si [REDACTED], tawag sa [REDACTED]. Umalis si [REDACTED]." in got.t and "TIRAHAN : [REDACTED]" in got.t and "Kinausap" in got.t
+    assert not any(x in got.t for x in ("Ana", "Cruz", "Ben", "Diaz", "0917", "Mabini"))
+    assert (got.none, got.old) == ("", "COMPLAINANT: [REDACTED]\nNARRATIVE: [REDACTED] came")
