@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talasik.operators.matching import unseen
 
 
 def without_replays(stream: DataFrame, key: list[str], ts: str, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """First of the rows with a key within `seconds`; state goes once the watermark has passed."""
-    stamped = stream.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_slot", F.window(ts, f"{seconds} seconds")["start"])
-    return stamped.withWatermark(ts, late).dropDuplicatesWithinWatermark([*key, "_slot"]).drop("_slot")
+    """Rows with no row of the key within `seconds` before them, as `replays` marks them; state goes once the watermark has passed.
+
+    A key's state is the spans its rows cover, so it stays small however often the key comes. A row that comes after
+    one later than itself by up to `seconds` is a replay too. Rows later than `late` are dropped, rows without a time pass.
+    """
+    gap = seconds * 1_000_000
+    stamped = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    columns = stamped.columns
+    timed = stamped.withWatermark(ts, late).withColumn("_t", F.unix_micros(ts))
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
+        spans = [list(x) for x in zip(*state.get)] if state.exists else []
+        fresh, ends = [], []
+        for t in rows["_t"].tolist():
+            if t != t or t is None:
+                fresh.append(True)
+                continue
+            t = int(t)
+            near = [x for x in spans if x[0] - gap <= t <= x[1] + gap]
+            fresh.append(not near)
+            spans = [x for x in spans if x not in near] + [[min([t, *(x[0] for x in near)]), max([t, *(x[1] for x in near)])]]
+        mark = state.getCurrentWatermarkMs()
+        spans = sorted(x for x in spans if (x[1] + gap) // 1000 >= mark)
+        if spans:
+            state.update(tuple(map(list, zip(*spans))))
+            state.setTimeoutTimestamp(max(mark, (max(x[1] for x in spans) + gap) // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield rows[fresh][columns]
+
+    return timed.groupBy(*key).applyInPandasWithState(run, stamped.schema, "lo array<bigint>, hi array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trend(stream: DataFrame, ts: str, unit: str = "month") -> DataFrame:

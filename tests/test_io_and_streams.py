@@ -59,3 +59,15 @@ def test_models(spark, tmp_path):
     assert table.count() == 2 and table.agg(F.max("macro_f1")).first()[0] == 1.0
     models.save(best, str(tmp_path / "m"))
     assert models.load(str(tmp_path / "m")) is not None and models.load(str(tmp_path / "none")) is None
+
+
+def test_replays_across_slot_edges_and_batches(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    batches = [[("a", at(59)), ("a", at(60)), ("b", at(0)), ("a", at(400))], [("a", at(430)), ("a", at(115)), ("b", at(61))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, ts timestamp").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+        query = jobs.without_replays(stream, ["k"], "ts").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted((r.k, r.s) for r in spark.read.parquet(str(tmp_path / "out")).selectExpr("k", "unix_seconds(ts) - unix_seconds(timestamp'2024-01-01') AS s").collect())
+    assert got == [("a", 59), ("a", 400), ("b", 0), ("b", 61)]
