@@ -121,3 +121,11 @@ def test_skip_gram_neighbours():
     import numpy as np
 
     assert np.isfinite(scanrepair.glyph_distance("nakita", "riakita")) and scanrepair.glyph_distance("nakita", "bakita") == float("inf")
+
+
+def test_lookalikes_in_other_scripts(frame):
+    pure, odd = "\u043f\u0435\u0440\u0435\u0446", "\u043f\u0065\u0070\u0435\u0446"
+    rows = [(1, pure), (2, f"a {odd}"), (3, "p\u0435ace"), (4, "peace"), (5, "x\u0434y")]
+    got = {r.doc_id: (r.canonical_text, list(r.kinds), list(r.unattested)) for r in canonical.canonical_forms(frame(rows, "doc_id int, text string")).collect()}
+    assert got[2] == (f"a {pure}", ["lookalike"], []) and got[3] == ("peace", ["lookalike"], [])
+    assert got[5] == ("x\u0434y", ["lookalike"], ["x\u0434y"]) and got[1] == (pure, [], [])
