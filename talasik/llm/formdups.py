@@ -3,13 +3,14 @@
 Every row gets a canonical hash. Each partition builds Bloom filters of the hashes it saw once
 and of those it saw again; merged, a bit of the repeat filter is set if a partition saw a hash
 twice or two partitions set the bit. Rows that miss the repeat filter are singletons and are
-never shuffled; the others are grouped by their exact canonical text.
+never shuffled; the others are grouped by the SHA-256 of their canonical text.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,10 @@ BITS_PER_ROW = 12
 PROBES = 4
 #: One shard of the filter has so many bits (1 MiB).
 SHARD_BITS = 1 << 23
-#: Filters up to so many shards (64 MiB before compression) are broadcast.
-BROADCAST_SHARDS = 64
+#: So many shards (64 MiB) are broadcast at a time.
+WAVE_SHARDS = 64
+#: Hashes a partition holds before it hands their bits on.
+FLUSH_ROWS = 2_000_000
 
 _INK = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -64,90 +67,130 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(PROBES)])
 
 
-def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    mixed = (hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return (mixed % np.uint64(shards)).astype(np.int64)
+def _test(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits `at` are set in a packed bitmap."""
+    at = at.astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _fold(state: dict[int, tuple[np.ndarray, np.ndarray]], hashes: np.ndarray, shards: int, bits: int) -> None:
-    shard = _shard_of(hashes, shards)
-    for s in np.unique(shard).tolist():
-        once, again = state.setdefault(s, (np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)))
-        own, counts = np.unique(hashes[shard == s], return_counts=True)
-        at = _positions(own, bits)
-        seen = once[at].all(axis=0) | (counts > 1)
-        again[at[:, seen].ravel()] = True
-        once[at.ravel()] = True
+def _pack(at: np.ndarray, bits: int) -> bytes:
+    """The set bits `at` (sorted, each once): their gaps while they are few, else the packed bitmap."""
+    if at.size * 32 < bits:
+        return b"s" + zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1)
+    flags = np.zeros(bits, dtype=bool)
+    flags[at] = True
+    return b"d" + zlib.compress(np.packbits(flags).tobytes(), 1)
 
 
-def _pack(bits: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+def _set_bits(data: bytes, bits: int) -> np.ndarray:
+    """The positions that `_pack` was given."""
+    raw = zlib.decompress(data[1:])
+    if data[:1] == b"s":
+        return np.cumsum(np.frombuffer(raw, dtype=np.uint32).astype(np.int64))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=bits))
 
 
-def _unpack(data: bytes, bits: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(data), dtype=np.uint8), count=bits).astype(bool)
+def _bitmap(data: bytes, bits: int) -> np.ndarray:
+    """The packed bitmap of `_pack`'s result, one bit a bit."""
+    if data[:1] == b"d":
+        return np.frombuffer(zlib.decompress(data[1:]), dtype=np.uint8)
+    flags = np.zeros(bits, dtype=bool)
+    flags[_set_bits(data, bits)] = True
+    return np.packbits(flags)
+
+
+def filter_shape(rows: int) -> tuple[int, int]:
+    """(shards, bits of a shard) of the filters of so many rows."""
+    need = max(1 << 10, rows * BITS_PER_ROW)
+    shards = -(-need // SHARD_BITS)
+    return shards, SHARD_BITS if shards > 1 else need
+
+
+def _sharded(df: DataFrame, h: str, shards: int) -> DataFrame:
+    return df.withColumn("_shard", F.pmod(F.xxhash64(h), F.lit(shards)).cast("int"))
 
 
 def repeat_filter(hashes: DataFrame, rows: int) -> tuple[DataFrame, int, int]:
     """(shard, bitmap) of the hashes that occur more than once, with the shards and bits of one.
 
-    `hashes` has one bigint column h. No hash that repeats is missed.
+    `hashes` has one bigint column h. No hash that repeats is missed. A partition holds back FLUSH_ROWS hashes,
+    sorts them by shard and hands on the few bits that each shard got, so its memory and what it hands on don't
+    depend on the number of shards. A shard holds SHARD_BITS / BITS_PER_ROW rows whatever the input.
     """
-    need = max(1 << 10, rows * BITS_PER_ROW)
-    shards = -(-need // SHARD_BITS)
-    bits = SHARD_BITS if shards > 1 else need
+    shards, bits = filter_shape(rows)
+
+    def bits_of(shard: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+        pairs, counts = np.unique(np.stack([shard.astype(np.int64), h.view(np.int64)]), axis=1, return_counts=True)
+        starts = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+        with np.errstate(over="ignore"):
+            at = _positions(np.ascontiguousarray(pairs[1]).view(np.uint64), bits).astype(np.int64)
+        out = []
+        for a, b in zip(starts, [*starts[1:], pairs.shape[1]]):
+            out.append((int(pairs[0, a]), _pack(np.unique(at[:, a:b]), bits), _pack(np.unique(at[:, a:b][:, counts[a:b] > 1]), bits)))
+        return pd.DataFrame(out, columns=["shard", "once", "again"])
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[pd.DataFrame] = []
+        n = 0
         for pdf in batches:
-            with np.errstate(over="ignore"):
-                _fold(state, pdf["h"].to_numpy().view(np.uint64), shards, bits)
-            while len(state) > 16:  # many shards: hand the filters on rather than hold them all
-                s = next(iter(state))
-                once, again = state.pop(s)
-                yield pd.DataFrame({"shard": [s], "once": [_pack(once)], "again": [_pack(again)]})
-        for s, (once, again) in state.items():
-            yield pd.DataFrame({"shard": [s], "once": [_pack(once)], "again": [_pack(again)]})
-
-    def merge(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= FLUSH_ROWS:
+                yield bits_of(*(np.concatenate([p[c].to_numpy() for p in held]) for c in ("_shard", "h")))
+                held, n = [], 0
+        if n:
+            yield bits_of(*(np.concatenate([p[c].to_numpy() for p in held]) for c in ("_shard", "h")))
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         once, again = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
-        for pdf in batches:
-            for o, a in zip(pdf["once"], pdf["again"]):
-                o = _unpack(o, bits)
-                again |= _unpack(a, bits) | (once & o)
-                once |= o
-        yield pd.DataFrame({"shard": [key[0]], "bitmap": [_pack(again)]})
-
-    built = hashes.mapInPandas(build, "shard bigint, once binary, again binary")
+        for o, a in zip(pdf["once"], pdf["again"]):
+            o = _set_bits(o, bits)
+            again[o[once[o]]] = True
+            again[_set_bits(a, bits)] = True
+            once[o] = True
+        return pd.DataFrame({"shard": [key[0]], "bitmap": [_pack(np.flatnonzero(again), bits)]})
 
-    def merge_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(merge(key, iter([pdf])))
-
-    return built.groupBy("shard").applyInPandas(merge_group, "shard bigint, bitmap binary"), shards, bits
+    built = _sharded(hashes, "h", shards).mapInPandas(build, "shard int, once binary, again binary")
+    return built.groupBy("shard").applyInPandas(merge, "shard int, bitmap binary"), shards, bits
 
 
 def possible_repeats(df: DataFrame, h: str, rows: int) -> DataFrame:
-    """Rows of `df` whose hash may occur more than once; no such row is missed."""
+    """Rows of `df` whose hash may occur more than once; no such row is missed.
+
+    The filters of WAVE_SHARDS shards at a time are broadcast (64 MiB at most), and the rows of those shards are
+    tested against them: however many rows there are, only possible repeats leave their partition. A filter takes
+    BITS_PER_ROW bits a row, so that a wave serves about 45 million rows; `df` is read once a wave.
+    """
     maps, shards, bits = repeat_filter(df.select(F.col(h).alias("h")), rows)
-    if shards > BROADCAST_SHARDS:
-        again = df.groupBy(h).agg(F.count("*").alias("_n")).filter("_n > 1").select(h)
-        return skew_join(df, again, [h])
-    known = {r["shard"]: bytes(r["bitmap"]) for r in maps.collect()}
-    shared = df.sparkSession.sparkContext.broadcast(known)
-
-    def maybe_repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened = {s: _unpack(b, bits) for s, b in shared.value.items()}
+    maps = cut(maps) if shards > WAVE_SHARDS else maps
+    sharded = _sharded(df, h, shards)
+    schema = sharded.schema
+    waves = []
+    for first in range(0, shards, WAVE_SHARDS):
+        here = F.col("shard").between(first, first + WAVE_SHARDS - 1)
+        known = {r["shard"]: bytes(r["bitmap"]) for r in (maps.filter(here) if shards > WAVE_SHARDS else maps).collect()}
+        waves.append(sharded.filter(F.col("_shard").between(first, first + WAVE_SHARDS - 1)).mapInPandas(_maybe_repeated(df.sparkSession.sparkContext.broadcast(known), h, bits), schema))
+        if shards > WAVE_SHARDS:
+            waves[-1] = cut(waves[-1])
+    return reduce(DataFrame.unionByName, waves).drop("_shard")
+
+
+def _maybe_repeated(shared, h: str, bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = {s: _bitmap(b, bits) for s, b in shared.value.items()}
         for pdf in batches:
-            v = pdf[h].to_numpy().view(np.uint64)
+            v, shard = pdf[h].to_numpy().view(np.uint64), pdf["_shard"].to_numpy()
             hit = np.zeros(len(v), dtype=bool)
             with np.errstate(over="ignore"):
-                shard, at = _shard_of(v, shards), _positions(v, bits)
-            for s, bitmap in opened.items():
-                here = shard == s
-                hit[here] = bitmap[at[:, here]].all(axis=0)
+                at = _positions(v, bits)
+            order = np.argsort(shard, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+                bitmap = opened.get(int(shard[own[0]]))
+                if bitmap is not None:
+                    hit[own] = _test(bitmap, at[:, own]).all(axis=0)
             yield pdf[hit]
 
-    return df.mapInPandas(maybe_repeated, df.schema)
+    return run
 
 
 def collapse(df: DataFrame, id_col: str, keys: list[Column]) -> tuple[DataFrame, DataFrame]:
@@ -161,8 +204,8 @@ def collapse(df: DataFrame, id_col: str, keys: list[Column]) -> tuple[DataFrame,
     for i in range(len(keys)):
         keyed = keyed.filter(F.length(f"k{i}") > 0)
     keyed = keyed.select("id", F.concat_ws("\u0001", *[f"k{i}" for i in range(len(keys))]).alias("form")).withColumn("h", F.xxhash64("form"))
-    # what is kept of a row is its id and the 128 bits that stand for its form
-    keyed = cut(keyed.select("id", "h", F.unhex(F.substring(F.sha2("form", 256), 1, 32)).alias("form")))
+    # what is kept of a row is its id and the 256 bits that stand for its form
+    keyed = cut(keyed.select("id", "h", F.unhex(F.sha2("form", 256)).alias("form")))
     some = cut(possible_repeats(keyed, "h", keyed.count()))
     sets = some.groupBy("form").agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
     members = skew_join(some.select("id", "form"), sets, ["form"]).select("id", "first_id", "copies")

@@ -50,12 +50,22 @@ def test_filter_misses_no_repeat(spark, monkeypatch):
     values = [random.randrange(-(2**63), 2**63) for _ in range(4000)]
     repeated = values[:300] + [values[0]] * 500
     df = spark.createDataFrame([(v,) for v in values + repeated], "h bigint").repartition(7)
-    for bits in (formdups.SHARD_BITS, 4096):
+    rows = df.count()
+    for bits, flush in ((formdups.SHARD_BITS, formdups.FLUSH_ROWS), (4096, 100), (512, 1000)):
         monkeypatch.setattr(formdups, "SHARD_BITS", bits)
-        kept = {r.h for r in formdups.possible_repeats(df, "h", df.count()).collect()}
-        assert set(values[:300]) <= kept and len(kept) < 400
-    monkeypatch.setattr(formdups, "BROADCAST_SHARDS", 0)
-    assert {r.h for r in formdups.possible_repeats(df, "h", df.count()).collect()} == set(values[:300])
+        monkeypatch.setattr(formdups, "FLUSH_ROWS", flush)
+        shards, _ = formdups.filter_shape(rows)
+        assert (shards > formdups.WAVE_SHARDS) == (bits == 512)  # the last goes through several waves
+        kept = [r.h for r in formdups.possible_repeats(df, "h", rows).collect()]
+        assert set(values[:300]) <= set(kept) and len(set(kept)) < 500
+        assert kept.count(values[0]) == 502 and kept.count(values[5]) == 2
+
+
+def test_copies_through_many_waves(frame, monkeypatch):
+    df = frame(COPIES, "record_id bigint, narrative_summary string, source_file_page string, h string")
+    monkeypatch.setattr(formdups, "SHARD_BITS", 16)
+    monkeypatch.setattr(formdups, "WAVE_SHARDS", 2)
+    assert sorted(map(tuple, formdups.found_copies(df).collect())) == [(1, 2), (9, 10), (9, 11)]
 
 
 def test_consensus_beats_the_majority(frame):
