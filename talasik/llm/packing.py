@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talasik.llm.encode import encode_corpus
+from talasik.llm.encode import count_corpus
 from talasik.session import cut
 
 CAPACITY = 2048
@@ -26,12 +26,41 @@ BLOCK_ROWS = 200_000
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+def _fits_none(sums: int, above: int, room: int) -> bool:
+    """Whether no reachable sum lies above `above` and within `room`."""
+    return not sums >> (above + 1) & ((1 << max(room - above, 0)) - 1)
+
+
+def _pair_beside(left: dict[int, int], j: int, room: int) -> tuple[int, int] | None:
+    """The two further items a <= b that dominate every set beside j, where at most two more fit; None if nothing is proved.
+
+    b is the largest item that fits beside j, a the largest that fits beside both. Every other feasible pair must have
+    its smaller item at most a: its larger one is at most b, so each item of the pair is covered by one of its own.
+    """
+    items = [s for s in sorted(left) if s != j or left[s] > 1]
+    own = lambda s: left[s] - (s == j)
+    smallest = [s for s in items for _ in range(min(own(s), 3))][:3]
+    if len(smallest) == 3 and sum(smallest) <= room:
+        return None
+    b = max((s for s in items if s <= room), default=0)
+    a = max((s for s in items if s <= room - b and own(s) > (s == b)), default=0)
+    if not a:
+        return None
+    for r in reversed(items):
+        if r <= a:
+            break
+        if own(r) > 1 and 2 * r <= room or any(r < s <= room - r for s in items):
+            return None
+    return min(a, b), max(a, b)
+
+
 def dominance(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
     """Fix the containers that provably dominate every alternative; returns them and what remains.
 
     For the largest item j and the largest k that fits beside it, {j, k} dominates every set with
     j when j + k fills the container, or when no set of further items sums to more than k within
-    the free room (checked on all reachable sums). An item beside which nothing fits stands alone.
+    the free room (checked on all reachable sums). Where at most two items fit beside j, {j, a, b} may
+    dominate (`_pair_beside`). An item beside which nothing fits stands alone.
     Sizes for which nothing can be proved are set aside; fixing smaller ones may free them again.
     """
     left = {s: n for s, n in counts.items() if n > 0 and s > 0}
@@ -41,7 +70,7 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, in
         changed = False
         sums = 1
         for s in sorted(left):
-            for _ in range(capacity // s):
+            for _ in range(min(capacity // s, left[s])):
                 grown = (sums | sums << s) & ((1 << (capacity + 1)) - 1)
                 if grown == sums:
                     break
@@ -53,15 +82,19 @@ def dominance(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, in
             room = capacity - j
             k = max((s for s in left if s <= room and (s != j or n > 1)), default=0)
             if not k:
-                pattern, times = (j,), n
-            elif k == room or not sums >> (k + 1) & ((1 << (room - k)) - 1):
-                pattern, times = (j, k), (n // 2 if k == j else min(n, left[k]))
+                pattern = (j,)
+            elif k == room or _fits_none(sums, k, room):
+                pattern = (j, k)
+            elif pair := _pair_beside(left, j, room):
+                pattern = (j, *reversed(pair))
             else:
                 continue
+            # with fewer items there are fewer alternatives, so the proof holds until one of the pattern's runs out
+            times = min(left[s] // pattern.count(s) for s in set(pattern))
             fixed.append((pattern, times))
             changed = True
-            for s in pattern:
-                left[s] -= times
+            for s in set(pattern):
+                left[s] -= times * pattern.count(s)
                 if not left[s]:
                     del left[s]
     return fixed, left
@@ -108,6 +141,12 @@ def plan_containers(counts: dict[int, int], capacity: int) -> Plan:
     return fixed + best_fit(rest, capacity)
 
 
+def reduction(counts: dict[int, int], capacity: int) -> list[tuple[str, int, int, int]]:
+    """(stage, containers, items, units) that dominance fixed and that best fit placed."""
+    fixed, rest = dominance(counts, capacity)
+    return [(stage, sum(n for _, n in plan), sum(len(p) * n for p, n in plan), sum(sum(p) * n for p, n in plan)) for stage, plan in (("dominance", fixed), ("best fit", best_fit(rest, capacity)))]
+
+
 def slot_table(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each size: first rank of each run of slots, first container, and slots per container."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
@@ -122,6 +161,16 @@ def slot_table(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray
     return {s: tuple(np.array(x, dtype=np.int64) for x in zip(*own)) for s, own in runs.items()}
 
 
+def _pieces(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> tuple[DataFrame, dict[int, int]]:
+    """Items that fit (key, piece_no, n_units), and their number by size."""
+    items = cut(sizes.select(F.col(id_col).alias("key"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("size")))
+    full = F.floor(F.col("size") / capacity)
+    pieces = items.select(
+        "key", F.posexplode(F.concat(F.array_repeat(F.lit(capacity), full.cast("int")), F.when((F.col("size") % capacity > 0) | (F.col("size") == 0), F.array((F.col("size") % capacity).cast("int"))).otherwise(F.array().cast("array<int>")))).alias("piece_no", "n_units")
+    )
+    return pieces, {r["n_units"]: r["n"] for r in pieces.groupBy("n_units").agg(F.count("*").alias("n")).collect()}
+
+
 def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY) -> DataFrame:
     """`id_col`, piece_no, container_id, n_units of every item.
 
@@ -130,12 +179,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     items of their own. Other columns are ignored. The histogram (at most `capacity` rows) is the
     only thing that reaches the driver.
     """
-    items = cut(sizes.select(F.col(id_col).alias("key"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint").alias("size")))
-    full = F.floor(F.col("size") / capacity)
-    pieces = items.select(
-        "key", F.posexplode(F.concat(F.array_repeat(F.lit(capacity), full.cast("int")), F.when((F.col("size") % capacity > 0) | (F.col("size") == 0), F.array((F.col("size") % capacity).cast("int"))).otherwise(F.array().cast("array<int>")))).alias("piece_no", "n_units")
-    )
-    histogram = {r["n_units"]: r["n"] for r in pieces.groupBy("n_units").agg(F.count("*").alias("n")).collect()}
+    pieces, histogram = _pieces(sizes, id_col, size_col, capacity)
     slots = slot_table(plan_containers(histogram, capacity))
     blocks = max(8, sum(histogram.values()) // BLOCK_ROWS)
     blocked = pieces.withColumn("block", F.pmod(F.xxhash64("key", "piece_no"), F.lit(blocks)).cast("int"))
@@ -168,5 +212,11 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
 
 def containers_of_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """doc_id, piece_no, container_id, n_tokens for documents measured in tokens of `tokenizer`."""
-    sizes = encode_corpus(documents, "doc_id", "text", tokenizer, folder).select("doc_id", F.size("ids").alias("size"))
-    return pack(sizes, "doc_id", "size", capacity).withColumnRenamed("n_units", "n_tokens")
+    sizes = count_corpus(documents, "doc_id", "text", tokenizer, folder)
+    return pack(sizes, "doc_id", "n_tokens", capacity).withColumnRenamed("n_units", "n_tokens")
+
+
+def reduction_of_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+    """stage (dominance, best fit) with the containers, pieces and tokens it placed."""
+    _, histogram = _pieces(count_corpus(documents, "doc_id", "text", tokenizer, folder), "doc_id", "n_tokens", capacity)
+    return documents.sparkSession.createDataFrame(reduction(histogram, capacity), "stage string, containers bigint, pieces bigint, n_tokens bigint")

@@ -32,6 +32,7 @@ QUERIES = {
     "p4_collapsed": lambda s, d: formdups.collapsed(table(s, d, "scan_blotter")),
     "p8_ids": lambda s, d: encode.encode_corpus(table(s, d, "documents")),
     "p9_containers": lambda s, d: packing.containers_of_documents(table(s, d, "documents")),
+    "p9_reduction": lambda s, d: packing.reduction_of_documents(table(s, d, "documents")),
     "p10_found": lambda s, d: canonical.found_kinds(table(s, d, "documents")),
     "p10_canonical": lambda s, d: canonical.canonical_forms(table(s, d, "documents")),
 }

@@ -110,3 +110,43 @@ def test_tails_found_from_the_end(text):
     whole = [m.span() for m in pat.finditer(text)]
     near = [m.span() for m in pat.finditer(text, encode.last_starts(text))]
     assert near == whole[len(whole) - len(near) :] and encode.open_pieces(text, near) == encode.open_pieces(text, whole)
+
+
+def fewest(items, capacity, best=None):
+    """Least number of containers, by trying every place for every item, largest first."""
+    items = sorted(items, reverse=True)
+    best = [len(items)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for k, r in {r: k for k, r in enumerate(rooms)}.items():
+            if k >= items[i]:
+                place(i + 1, [x - items[i] if n == r else x for n, x in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.integers(3, 12), st.integers(1, 20)), max_size=9))
+def test_dominance_keeps_the_optimum(items):
+    counts = {s: items.count(s) for s in set(items)}
+    fixed, rest = packing.dominance(counts, 20)
+    left = [s for s, n in rest.items() for _ in range(n)]
+    assert sum(n for _, n in fixed) + fewest(left, 20) == fewest(items, 20)
+
+
+def test_dominance_of_three():
+    fixed, rest = packing.dominance({9: 2, 5: 2, 4: 3, 7: 0}, 19)
+    assert ((9, 5, 4) in [p for p, _ in fixed] or (9, 5, 5) in [p for p, _ in fixed]) and sum(len(p) * n for p, n in fixed) + sum(rest.values()) == 7
+
+
+def test_counts_are_lengths(frame):
+    rows = [(1, None), (2, ""), (3, "Nagtungo sa barangay. " * 90), (4, "x " + "Nagtungo sa barangay. " * 90), (4, "x")]
+    df = frame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, encode.count_corpus(df, bits=5).collect())) == sorted((r.doc_id, len(r.ids)) for r in encode.encode_corpus(df, bits=5).collect())
