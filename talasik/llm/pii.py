@@ -1,7 +1,7 @@
 """Personal details inside free text (problem 5).
 
-Patterns propose spans with a base score, checksums and nearby context words move it, and spans that
-reach THRESHOLD are kept, the better of two that overlap winning. Everything happens inside one row,
+Patterns propose spans with a base score, the checksum of the number's kind and nearby context words move
+it, and spans that reach THRESHOLD are kept, the better of two that overlap winning. Everything happens inside one row,
 so no row is shuffled.
 """
 
@@ -33,14 +33,39 @@ _SPELT_DOT = regex.compile(r"(?i)\sdot\s|\(dot\)")
 _PHONE = regex.compile(
     r"(?<![\w.-])(?:(?:\+?63[\s.-]?|0)9\d{2}[\s.-]?\d{3}[\s.-]?\d{2}\s?\d{2}|\(0\d{1,3}\)\s?\d{3,4}[\s-]\d{4})(?![\w-]|\.\d)"
 )
-#: Shapes of identity numbers with their base scores (fixed values).
+
+
+def luhn(digits: str) -> bool:
+    """Check digit of card numbers."""
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        d *= 1 + i % 2
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def mod97(number: str) -> bool:
+    """Check digits of account numbers that begin with two letters and them (ISO 13616), letters counting from 10."""
+    turned = number[4:] + number[:4]
+    return len(number) > 4 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def mod11(digits: str) -> bool:
+    """Check digit of a 9-digit tax number by weights 9 down to 2."""
+    return len(digits) >= 9 and sum(int(d) * w for d, w in zip(digits, range(9, 1, -1))) % 11 % 10 == int(digits[8])
+
+
+#: Shapes of identity numbers: base score, the checksum such numbers carry if any, and what it adds (fixed values).
 _IDS = [
-    (regex.compile(r"(?<![\w-])" + p + r"(?![\w]|-\d)"), base)
-    for p, base in (
-        (r"\d{2}-\d{7}-\d", 0.6), (r"\d{3}-\d{3}-\d{3}(?:-\d{3,5})?", 0.5), (r"\d{4}-\d{4}-\d{4}-\d{4}", 0.6), (r"(?i:[A-Z])\d{2}-\d{2}-\d{6}", 0.6),
-        (r"(?i:[A-Z]\d{7}[A-Z])", 0.5), (r"(?i:VIN)-\d{4}-\d{4,5}(?:[A-Z0-9]*)", 0.5), (r"\d{2,3}-\d{9}(?:-\d)?", 0.5), (r"\d{12}", 0.3), (r"\d{16}", 0.3),
+    (regex.compile(r"(?<![\w-])" + p + r"(?![\w]|-\d)"), base, check, gain)
+    for p, base, check, gain in (
+        (r"\d{2}-\d{7}-\d", 0.6, None, 0), (r"\d{3}-\d{3}-\d{3}(?:-\d{3,5})?", 0.5, mod11, 0.15), (r"\d{4}-\d{4}-\d{4}-\d{4}", 0.6, luhn, 0.15), (r"(?i:[A-Z])\d{2}-\d{2}-\d{6}", 0.6, None, 0),
+        (r"(?i:[A-Z]\d{7}[A-Z])", 0.5, None, 0), (r"(?i:VIN)-\d{4}-\d{4,5}(?:[A-Z0-9]*)", 0.5, None, 0), (r"\d{2,3}-\d{9}(?:-\d)?", 0.5, None, 0), (r"\d{12}", 0.3, None, 0),
+        (r"\d{4}\s\d{4}\s\d{4}\s\d{4}", 0.3, luhn, 0.3), (r"\d{13,19}", 0.3, luhn, 0.3), (r"[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?", 0.2, mod97, 0.6),
     )
 ]
+#: A bare mobile number with its country code.
+_BARE_MOBILE = re.compile(r"639\d{9}")
 _KIND = r"(?:st|street|ave|avenue|road|rd|lane|ln|ext|extension|drive|dr|blvd|boulevard|alley)"
 _STREET = rf"\p{{L}}[\p{{L}}ñ]*(?:-\p{{L}}+)*(?:\s(?-i:\p{{Lu}})\p{{L}}+(?:-\p{{L}}+)*)?\s+{_KIND}\b"
 _ADDRESS = regex.compile(
@@ -52,7 +77,7 @@ _ADDRESS = regex.compile(
 )
 #: Words before a name in four languages, each with whether several names may follow (fixed values).
 _MARKER = regex.compile(
-    r"(?i)(?<!\w)(?:(?P<many>sina|nina|kina|at\s+that\s+time|sila\s+si|da\s+di|la\s+di)|si|kay|kang|alyas|a\.k\.a\.|ya\s+i|ye\s+i|certain|coordinate\s+with|"
+    r"(?i)(?<!\w)(?:(?P<many>sina|nina|kina|at\s+that\s+time|sila\s+si|da\s+di|la\s+di)|si|kay|kang|alyas|a\.k\.a\.|(?:ya|ye|ne|na|re)\s+i|certain|coordinate\s+with|"
     r"witness\s+was|further\s+details|nangngangalang|named)\s+"
 )
 _TITLE = regex.compile(r"(?i)(?:(?:mrs?|ms|gng|mang|aling|kgwd|kagawad|kap|kapitan|bb|dr|hon|atty|engr|alyas|tatay|nanay|lolo|lola|kuya|ate|ka|g)\.?\s+)+(?=\S)")
@@ -76,28 +101,6 @@ class Span:
     score: float
 
 
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(map(int, reversed(digits))):
-        d *= 1 + i % 2
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
-
-
-def mod97(digits: str) -> bool:
-    return len(digits) > 2 and int(digits) % 97 == 1
-
-
-def mod11(digits: str) -> bool:
-    """Check digit of a 9-digit tax number by weights 9 down to 2."""
-    return len(digits) >= 9 and sum(int(d) * w for d, w in zip(digits, range(9, 1, -1))) % 11 % 10 == int(digits[8])
-
-
-def confirmed(digits: str) -> bool:
-    """Whether a checksum in use for such numbers holds; few random numbers pass any given one."""
-    return luhn(digits) or mod97(digits) or mod11(digits)
-
-
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     """The span without white space and punctuation around it; a sign that belongs to the detail stays."""
     while a < b and (text[a].isspace() or text[a] in "\"'“”‘’.,;:!?<>[]{}-/|") or a < b and text[a] == "(" and ")" not in text[a:b]:
@@ -153,6 +156,18 @@ def names(text: str) -> Iterator[Span]:
             at = join.end()
 
 
+#: A street's kind, shortened, at the end of an address; and a period after it that doesn't end a sentence as well.
+_SHORT_KIND = regex.compile(r"(?i)\b(?:st|ave|rd|ln|ext|dr|blvd)$")
+_GOES_ON = regex.compile(r"\.(?:[.,;:)]|\s+[\p{Ll}\d(+])")
+
+
+def _own_period(text: str, end: int, party: bool) -> bool:
+    """Whether the period after an address belongs to its shortened last word rather than to the sentence."""
+    if text[end : end + 1] != "." or not _SHORT_KIND.search(text, max(0, end - 6), end):
+        return False
+    return party or bool(_GOES_ON.match(text, end))
+
+
 def propose(text: str, party: bool) -> Iterator[Span]:
     """Every candidate span with its score."""
     low = text.lower()
@@ -163,13 +178,15 @@ def propose(text: str, party: bool) -> Iterator[Span]:
     for m in _PHONE.finditer(text) if numbered else ():
         score = 0.75 + 0.2 * _near(_PHONE_WORDS, text, m.start(), m.end()) - 0.6 * bool(_AMOUNT.search(text[max(0, m.start() - 5) : m.start()]))
         yield Span(m.start(), m.end(), "PHONE", score)
-    for pattern, base in _IDS:
+    for pattern, base, check, gain in _IDS:
         for m in pattern.finditer(text) if numbered else ():
-            digits = "".join(c for c in m.group() if c.isdigit())
-            score = base + 0.35 * _near(_ID_WORDS, text, m.start(), m.end()) + 0.15 * confirmed(digits) + 0.25 * party
+            number = "".join(c for c in m.group().upper() if c.isalnum())
+            score = base + 0.35 * _near(_ID_WORDS, text, m.start(), m.end()) + (gain if check and check(number) else 0) + 0.25 * party
+            if _BARE_MOBILE.fullmatch(number):  # also a phone's shape, which says more than a word nearby
+                score = min(score, 0.7)
             yield Span(m.start(), m.end(), "ID", min(score, 0.94))
     for m in _ADDRESS.finditer(text) if _STREET_WORD.search(low) else ():
-        yield Span(m.start(), m.end(), "ADDRESS", 0.9)
+        yield Span(m.start(), m.end() + _own_period(text, m.end(), party), "ADDRESS", 0.9)
     if not party:
         yield from names(text)
 
@@ -181,6 +198,7 @@ def find(text: str, party: bool = False) -> list[Span]:
         if s.score < THRESHOLD:
             continue
         a, b = _trim(text, s.start, s.end)
+        b = s.end if s.kind == "ADDRESS" and text[b : s.end] == "." else b
         if a < b and not any(a < k.end and k.start < b for k in kept):
             kept.append(Span(a, b, s.kind, s.score))
     return sorted(kept, key=lambda s: s.start)

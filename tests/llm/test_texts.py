@@ -41,7 +41,27 @@ def test_details(text, expected):
 
 
 def test_checksums():
-    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod97("3202") and not pii.mod97("3203")
+    assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487") and pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
+
+
+@pytest.mark.parametrize("right, wrong", [("4539578763621486", "4539578763621487"), ("4539 5787 6362 1486", "4539 5787 6362 1487"), ("GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33")])
+def test_checksum_decides(right, wrong):
+    """Without a word that says what the number is, only the checksum tells it from any other."""
+    assert kinds(f"Nakasulat doon ang {right} at wala nang iba.") == [("ID", right)] and kinds(f"Nakasulat doon ang {wrong} at wala nang iba.") == []
+
+
+def test_phone_shape_beats_a_chance_checksum():
+    numbers = [f"639{n:09d}" for n in range(100_000_000, 100_004_000, 2)]
+    assert all(kinds(f"ang kard, tawag sa {n} po") == [("PHONE", n)] for n in numbers)
+
+
+@pytest.mark.parametrize("text, party, expected", [
+    ("Nagpunta sa #313 Banaba St. ngunit walang tao", False, [("ADDRESS", "#313 Banaba St.")]), ("pumunta sa Blk 6 Lot 26, Dapdap St.. Hindi", False, [("ADDRESS", "Blk 6 Lot 26, Dapdap St.")]),
+    ("nakatira sa B15 L27 Banaba St. Misaad ang", False, [("ADDRESS", "B15 L27 Banaba St")]), ("Ana Cruz, No. 371 Dapdap Ext., 0901.555.8724", True, [("ADDRESS", "No. 371 Dapdap Ext."), ("PHONE", "0901.555.8724")]),
+    ("nakatira sa 110-B Dapdap Road.", False, [("ADDRESS", "110-B Dapdap Road")]), ("Tinuru ne i Sita a maki tatalnan", False, [("NAME", "Sita")]),
+])
+def test_ends_of_addresses(text, party, expected):
+    assert kinds(text, party) == expected
 
 
 def test_details_of_rows(frame):
