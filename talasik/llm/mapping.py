@@ -3,7 +3,10 @@
 The list, its shortened spellings and their symmetric deletes form a dictionary. A typed value is
 cleaned, its deletes are looked up, and the candidates within the edit bound are ranked by weighted
 Damerau-Levenshtein distance and then by how often the entry is written correctly in the data. Digits,
-single letters and short words must agree exactly. What no entry fits is reported with id 0.
+single letters and short words must agree exactly. Where a glossary is given, a value that is near no
+spelling is looked up word by word: its words, abbreviations, initials and translations are mapped to
+words of the list in the same way, and the entry with most of them is meant. What no entry fits is
+reported with id 0.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talasik.operators.skew import skew_join
+
 #: Up to so many entries the dictionary is sent to every executor; longer lists are joined by their deletes.
 MAX_BROADCAST_ENTRIES = 20_000
 
@@ -40,19 +45,15 @@ NUMERALS = {
 PLACE_KINDS = frozenset({"sitio", "villa", "subdivision", "compound", "heights", "homes", "public", "site"})
 #: Words around a place that say nothing of which one it is (fixed values).
 PLACE_LEADS = frozenset({"sa", "bandang", "banda", "may", "loob", "tapat"})
-#: Status phrases in other words than the list's (fixed values).
-STATUS_PHRASES = {
-    "Filed": ("file", "for file", "filed recorded", "recorded", "naka file na", "isinampa"),
-    "Settled": ("settled na po", "sttld", "amicably settled", "nagkasundo na", "naayos na", "nagkaayos", "ayos na"),
-    "For Hearing": ("4 hearing", "for hrng", "fr hearing", "hearing sked", "pagdinig", "didinggin pa", "hearing"),
-    "Dismissed": ("ibinasura", "case dismissed"),
-    "Withdrawn": ("iniurong", "withdrew complaint", "w drawn", "withdrew", "binawi"),
-    "Referred to Police": ("endorsed to police stn", "inilipat sa pulis", "referred police", "referred to pnp", "ref to police"),
-    "Ongoing Mediation": ("pinag uusapan pa", "mediation ongoing", "under mediation", "ongoing med", "on going mediation"),
-    "Certified to File Action": ("cfa issued", "certificate to file action", "may cfa na", "cert to file action"),
-    "Closed": ("case closed", "sarado na"),
-    "Archived": ("archive", "naka arkibo"),
-}
+#: Words of Filipino and other English words for the words a status may have (fixed values).
+STATUS_WORDS = {
+    "isinampa": "filed", "naisampa": "filed", "recorded": "filed", "naitala": "filed", "nagkasundo": "settled", "naayos": "settled", "nagkaayos": "settled", "ayos": "settled", "areglado": "settled",
+    "pagdinig": "hearing", "didinggin": "hearing", "dinig": "hearing", "ibinasura": "dismissed", "iniurong": "withdrawn", "binawi": "withdrawn", "withdrew": "withdrawn", "pulis": "police",
+    "pulisya": "police", "pnp": "police", "endorsed": "referred", "inilipat": "referred", "ipinasa": "referred", "uusapan": "mediation", "pamamagitan": "mediation", "sertipikado": "certified",
+    "sarado": "closed", "isinara": "closed", "arkibo": "archived",
+}
+#: Words that say nothing of which entry is meant (fixed values).
+FILLERS = frozenset("na po pa naka pinag may sa ang ng for fr to the of a case kaso complaint reklamo".split())
 
 
 def letters(text: str) -> str:
@@ -71,11 +72,23 @@ def words(text: str) -> list[str]:
     return re.findall(r"[a-z]+|\d+", text)
 
 
+#: The name of the barangay after a place in it.
+OWN = r"[,\s](?:brgy\.?|barangay)\s+(\w+)\W*$"
+
+
+def own_name(typed: DataFrame) -> str:
+    """The barangay that most values (column value) end with after a place; '' if none does. Ties go to the first by name."""
+    said = F.regexp_extract(F.lower("value"), OWN, 1)
+    top = typed.groupBy(said.alias("name")).agg(F.count("*").alias("n")).filter("name <> ''").orderBy(F.desc("n"), "name").first()
+    return letters(top["name"]) if top else ""
+
+
 @lru_cache(maxsize=100_000)
-def place_forms(cell: str) -> tuple[str, ...]:
-    """Cleaned spellings of a typed place, the likeliest first."""
+def place_forms(cell: str, own_place: str = "") -> tuple[str, ...]:
+    """Cleaned spellings of a typed place, the likeliest first. `own_place`: the barangay, which adds nothing to a place in it."""
     text = re.sub(r"\([^)]*\)|\s-\s.*$", " ", letters(cell))
-    text = re.sub(r"[,\s]+(?:brgy\.?|barangay)\s+masigla\s*$", "", text)
+    if own_place:
+        text = re.sub(rf"[,\s]+(?:brgy\.?|barangay)\s+{re.escape(own_place)}\s*$", "", text)
     text = re.sub(r"^\s*\d+\s*(?:/\s*[a-z0-9])?\s+(?=[a-z])", "", text)
     parts = [words(p) for p in text.split(",")]
     turned = [w for p in reversed(parts) for w in p] if len(parts) == 2 else None
@@ -91,7 +104,7 @@ def place_forms(cell: str) -> tuple[str, ...]:
         if own[0] == "purok":
             own = [str(NUMERALS[w]) if w in NUMERALS else w for w in own if w != "no"]
         forms.append(" ".join(own))
-        if len(own) > 1 and own[-1] == "masigla":
+        if len(own) > 1 and own[-1] == own_place:
             forms.append(" ".join(own[:-1]))
     return tuple(dict.fromkeys(forms))
 
@@ -100,6 +113,7 @@ def place_forms(cell: str) -> tuple[str, ...]:
 def status_forms(cell: str) -> tuple[str, ...]:
     """Cleaned spellings of a typed status."""
     text = re.sub(r"\([^)]*\)|\b20\d\d\b", " ", letters(cell))
+    text = re.sub(r"\bw/\s?", "with", text)
     return tuple(dict.fromkeys(f for f in (" ".join(words(text)),) if f))
 
 
@@ -161,6 +175,7 @@ class Dictionary:
 
     spellings: dict[str, int]
     frequency: dict[int, int] = field(default_factory=dict)
+    words: WordList | None = None
     index: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
     longest: int = 0
 
@@ -170,45 +185,94 @@ class Dictionary:
             for d in deletes(s, bound(s)):
                 self.index[d].add(s)
 
+    def near(self, form: str) -> list[tuple[float, str]]:
+        """Spellings within the bound of `form`, with their distances."""
+        if len(form) > self.longest + 2:
+            return []  # longer than any spelling within the bound
+        found = set().union(*(self.index.get(d, ()) for d in deletes(form, bound(form))))
+        return [(cost, s) for s in found if strict(s) == strict(form) and (cost := distance(form, s)) <= bound(form)]
+
     def best(self, forms: tuple[str, ...]) -> tuple[int, float]:
-        """(entry, distance) for the first of the forms that has candidates within the bound, or (0, inf)."""
+        """(entry, distance) of the nearest spelling; ties go to the earlier form, the more frequent entry, the smaller id. (0, inf) for none."""
         ranked = []
         for k, form in enumerate(forms):
-            if len(form) > self.longest + 2:
-                continue  # longer than any spelling within the bound
-            near = set().union(*(self.index.get(d, ()) for d in deletes(form, bound(form))))
-            for s in near:
-                if strict(s) == strict(form) and (cost := distance(form, s)) <= bound(form):
-                    entry = self.spellings[s]
-                    ranked.append((cost, k, -self.frequency.get(entry, 0), entry))
+            for cost, s in self.near(form):
+                entry = self.spellings[s]
+                ranked.append((cost, k, -self.frequency.get(entry, 0), entry))
+        if not ranked and self.words and forms:
+            return self.words.best(forms[0], self.frequency)
         return (min(ranked)[3], min(ranked)[0]) if ranked else (0, float("inf"))
 
 
-def spellings_of(names: dict[int, str], kinds: frozenset[str], phrases: dict[str, tuple[str, ...]]) -> dict[str, int]:
-    """Every spelling that stands for exactly one entry; full names win over shortened ones."""
-    full = {" ".join(words(letters(n))): i for i, n in names.items()}
+def skeleton(word: str) -> str:
+    """The word without vowels but the first letter."""
+    return word[:1] + re.sub(r"[aeiou]", "", word[1:])
+
+
+class WordList:
+    """The words of a list's entries, found by spelling, abbreviation, initials or translation."""
+
+    def __init__(self, names: dict[int, str], glossary: dict[str, str]) -> None:
+        self.entries = {i: tuple(w for w in words(letters(n)) if w not in FILLERS) for i, n in names.items()}
+        own = {w for e in self.entries.values() for w in e}
+        self.meant = {w: w for w in own} | {w: t for w, t in glossary.items() if t in own and w not in own}
+        self.spelt = Dictionary({w: k for k, w in enumerate(sorted(self.meant))})
+        self.listed = sorted(self.meant)
+        self.initials = {"".join(w[0] for w in e): i for i, e in self.entries.items() if len(e) > 2}
+        self.short: dict[str, set[str]] = defaultdict(set)
+        for w in own:
+            self.short[skeleton(w)].add(w)
+            for n in range(3, len(w)):
+                self.short[w[:n]].add(w)
+
+    def word(self, w: str) -> set[str]:
+        """The words of the list that a typed one may stand for: itself or the nearest, and one that it abbreviates."""
+        near = [] if w in self.meant else self.spelt.near(w)
+        own = self.short.get(w, set())
+        return ({self.meant[w]} if w in self.meant else {self.meant[min(near)[1]]} if near else set()) | (own if len(own) == 1 else set())
+
+    def best(self, form: str, frequency: dict[int, int]) -> tuple[int, float]:
+        """(entry, share of typed words that say nothing) of the entry with most of the words, if these are half of all typed."""
+        typed = [w for w in words(form) if w not in FILLERS and not w.isdigit()]
+        for w in typed:
+            if w in self.initials:
+                return self.initials[w], 0.0
+        meant = [self.word(w) for w in typed]
+        for i, both in enumerate(a + b for a, b in zip(typed, typed[1:])):  # a word written as two
+            if both in self.meant:
+                meant[i], meant[i + 1] = ({self.meant[both]} | m for m in meant[i : i + 2])
+        told = set().union(*meant)
+        ranked = [(-len(hit), len(e) - len(hit), -frequency.get(i, 0), i) for i, e in self.entries.items() if (hit := told & set(e))]
+        unsaid = sum(not m for m in meant)
+        return (min(ranked)[3], unsaid / len(typed)) if ranked and unsaid * 2 <= len(typed) else (0, float("inf"))
+
+
+def spellings_of(names: dict[int, str], kinds: frozenset[str]) -> dict[str, int]:
+    """Every spelling that stands for exactly one entry; full names win over shortened ones, smaller ids over equal full names."""
+    full = {" ".join(words(letters(n))): i for i, n in sorted(names.items(), reverse=True)}
     short: dict[str, set[int]] = defaultdict(set)
     for i, n in names.items():
         for s in shortened(n, kinds):
             short[s].add(i)
-        for p in phrases.get(n, ()):
-            short[p].add(i)
     return {s: next(iter(own)) for s, own in short.items() if len(own) == 1} | full
 
 
-def map_values(cells: DataFrame, names: dict[int, str], forms, kinds: frozenset[str] = frozenset(), phrases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def _typed(cells: DataFrame) -> DataFrame:
+    return cells.filter(F.length(F.regexp_replace("value", r"(?U)[\s\p{Z}]+", "")) > 0)
+
+
+def map_values(cells: DataFrame, names: dict[int, str], forms, kinds: frozenset[str] = frozenset(), glossary: dict[str, str] | None = None) -> DataFrame:
     """record_id, ref_id and distance for `cells` (record_id, value).
 
     NULL, blank and literally correct values give no row. ref_id is 0, distance NULL, where nothing fits.
     The values never leave their partition: every batch maps its distinct values once.
     """
     spark = cells.sparkSession
-    literal = spark.createDataFrame([(n,) for n in names.values()], "value string")
-    typed = cells.filter(F.length(F.regexp_replace("value", r"(?U)[\s\p{Z}]+", "")) > 0)
-    id_of = {n: i for i, n in names.items()}
-    counted = typed.join(F.broadcast(literal), "value").groupBy("value").count().collect()
-    frequency = {id_of[r["value"]]: r["count"] for r in counted}
-    shared = spark.sparkContext.broadcast(Dictionary(spellings_of(names, kinds, phrases or {}), frequency))
+    literal = spark.createDataFrame([(n,) for n in sorted(set(names.values()))], "value string")
+    typed = _typed(cells)
+    counted = {r["value"]: r["count"] for r in typed.join(F.broadcast(literal), "value").groupBy("value").count().collect()}
+    frequency = {i: counted.get(n, 0) for i, n in names.items()}
+    shared = spark.sparkContext.broadcast(Dictionary(spellings_of(names, kinds), frequency, WordList(names, glossary) if glossary else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, float]] = {}
@@ -224,36 +288,63 @@ def map_values(cells: DataFrame, names: dict[int, str], forms, kinds: frozenset[
     return typed.join(F.broadcast(literal), "value", "left_anti").mapInPandas(run, "record_id bigint, ref_id int, distance double")
 
 
-def map_values_joined(cells: DataFrame, names: DataFrame, forms) -> DataFrame:
-    """As `map_values`, for a list (ref_id, name) too long to broadcast: both sides meet on their deletes."""
-    longest = (names.agg(F.max(F.length("name"))).first()[0] or 0) + 2
-    delete_all = F.udf(lambda v: [[f, d] for f in forms(v) if len(f) <= longest for d in sorted(deletes(f, bound(f)))] if v else [], "array<array<string>>")
-    score = F.udf(lambda a, b: distance(a, b) if strict(a) == strict(b) else None, "double")
-    limit = F.udf(bound, "int")
-    typed = cells.filter(F.length(F.regexp_replace("value", r"(?U)[\s\p{Z}]+", "")) > 0).join(names.select(F.col("name").alias("value")).distinct(), "value", "left_anti")
+def map_values_joined(cells: DataFrame, names: DataFrame, forms, kinds: frozenset[str] = frozenset()) -> DataFrame:
+    """As `map_values` without a glossary, for a list (ref_id, name) too long to broadcast: both sides meet on their deletes."""
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(" ".join(words(letters(n))), i, True) for i, n in zip(pdf["ref_id"], pdf["name"])] + [(s, i, False) for i, n in zip(pdf["ref_id"], pdf["name"]) for s in shortened(n, kinds)]
+            yield pd.DataFrame(rows, columns=["spelling", "ref_id", "full"]).astype({"ref_id": "int32"})
+
+    def cut_spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(s, i, d) for s, i in zip(pdf["spelling"], pdf["ref_id"]) for d in deletes(s, bound(s))]
+            yield pd.DataFrame(rows, columns=["spelling", "ref_id", "d"]).astype({"ref_id": "int32"})
+
+    spelt = names.mapInPandas(spell, "spelling string, ref_id int, full boolean").groupBy("spelling").agg(F.min(F.when(F.col("full"), F.col("ref_id"))).alias("own"), F.min("ref_id").alias("least"), F.max("ref_id").alias("most"))
+    spelt = spelt.select("spelling", F.coalesce("own", F.when(F.col("least") == F.col("most"), F.col("least"))).alias("ref_id")).filter("ref_id IS NOT NULL")
+    longest = (spelt.agg(F.max(F.length("spelling"))).first()[0] or 0) + 2
+
+    def cut_typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(v, k, f, d) for v in pdf["value"] for k, f in enumerate(forms(v)) if len(f) <= longest for d in deletes(f, bound(f))]
+            yield pd.DataFrame(rows, columns=["value", "k", "form", "d"]).astype({"k": "int32"})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["distance"] = [distance(f, s) if strict(f) == strict(s) else float("inf") for f, s in zip(pdf["form"], pdf["spelling"])]
+            yield pdf.loc[pdf["distance"] <= pdf["form"].map(bound), ["value", "k", "ref_id", "distance"]]
+
+    typed = _typed(cells).join(names.select(F.col("name").alias("value")).distinct(), "value", "left_anti")
     frequency = cells.join(names.select("ref_id", F.col("name").alias("value")), "value").groupBy("ref_id").agg(F.count("*").alias("seen"))
-    left = typed.select("value").distinct().select("value", F.explode(delete_all("value")).alias("fd")).select("value", F.col("fd")[0].alias("form"), F.col("fd")[1].alias("d"))
-    right = names.select("ref_id", F.explode(delete_all("name")).alias("fd")).select("ref_id", F.col("fd")[0].alias("spelling"), F.col("fd")[1].alias("d"))
+    left = typed.select("value").distinct().mapInPandas(cut_typed, "value string, k int, form string, d string")
+    right = spelt.mapInPandas(cut_spellings, "spelling string, ref_id int, d string")
     best = (
-        left.join(right, "d").select("value", "form", "ref_id", "spelling").distinct()
-        .withColumn("distance", score("form", "spelling")).filter(F.col("distance") <= limit("form"))
+        left.join(right, "d").select("value", "k", "form", "ref_id", "spelling").distinct().mapInPandas(score, "value string, k int, ref_id int, distance double")
         .join(frequency, "ref_id", "left")
-        .groupBy("value").agg(F.min_by(F.struct("ref_id", "distance"), F.struct("distance", -F.coalesce("seen", F.lit(0)), "ref_id")).alias("hit"))
+        .groupBy("value").agg(F.min_by(F.struct("ref_id", "distance"), F.struct("distance", "k", -F.coalesce("seen", F.lit(0)), "ref_id")).alias("hit"))
     )
-    return typed.join(best, "value", "left").select("record_id", F.coalesce("hit.ref_id", F.lit(0)).cast("int").alias("ref_id"), "hit.distance")
+    # a value may be typed in a large share of all cells
+    return skew_join(typed.select("record_id", "value"), best, ["value"], "left").select("record_id", F.coalesce("hit.ref_id", F.lit(0)).cast("int").alias("ref_id"), "hit.distance")
 
 
-def mapped(cells: DataFrame, reference: DataFrame, id_col: str, name_col: str, forms, kinds: frozenset[str] = frozenset(), phrases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """`map_values` with the reference list of a table; a list beyond the limit takes the joined way."""
-    rows = reference.filter(F.col(name_col).isNotNull()).select(F.col(id_col).alias("ref_id"), F.col(name_col).alias("name"))
+def mapped(cells: DataFrame, reference: DataFrame, id_col: str, name_col: str, forms, kinds: frozenset[str] = frozenset(), glossary: dict[str, str] | None = None) -> DataFrame:
+    """`map_values` with the reference list of a table; a list beyond the limit takes the joined way, which gives the same.
+
+    A glossary is for lists of statuses and the like; with a longer list it is refused rather than left out.
+    """
+    rows = reference.filter(F.col(name_col).isNotNull()).select(F.col(id_col).cast("int").alias("ref_id"), F.col(name_col).alias("name"))
     some = rows.limit(MAX_BROADCAST_ENTRIES + 1).collect()
     if len(some) > MAX_BROADCAST_ENTRIES:
-        return map_values_joined(cells, rows, forms)
-    return map_values(cells, {r["ref_id"]: r["name"] for r in some}, forms, kinds, phrases)
+        if glossary:
+            raise ValueError(f"a glossary goes with lists of up to {MAX_BROADCAST_ENTRIES} entries")
+        return map_values_joined(cells, rows, forms, kinds)
+    return map_values(cells, {r["ref_id"]: r["name"] for r in some}, forms, kinds, glossary)
 
 
 def found_entries(blotter: DataFrame, place_ref: DataFrame, status_ref: DataFrame) -> DataFrame:
     """record_id, field and ref_id of every place and status cell that isn't literally an entry."""
-    places = mapped(blotter.select("record_id", F.col("location_purok").alias("value")), place_ref, "place_id", "place_name", place_forms, PLACE_KINDS)
-    states = mapped(blotter.select("record_id", F.col("status").alias("value")), status_ref, "status_id", "status_name", status_forms, phrases=STATUS_PHRASES)
+    typed = blotter.select("record_id", F.col("location_purok").alias("value"))
+    places = mapped(typed, place_ref, "place_id", "place_name", partial(place_forms, own_place=own_name(typed)), PLACE_KINDS)
+    states = mapped(blotter.select("record_id", F.col("status").alias("value")), status_ref, "status_id", "status_name", status_forms, glossary=STATUS_WORDS)
     return places.select("record_id", F.lit("location_purok").alias("field"), "ref_id").unionByName(states.select("record_id", F.lit("status").alias("field"), "ref_id"))

@@ -1,6 +1,9 @@
 """Parties, reference lists, copies and consensus."""
 
 import random
+from functools import partial
+
+import pytest
 
 from talasik.llm import consensus, formdups, mapping, names
 
@@ -21,13 +24,39 @@ def test_entries(frame):
     assert got == {(102, "status"): 1, (103, "status"): 2, (104, "status"): 0, (105, "status"): 4, (106, "status"): 3}
 
 
-def test_long_lists_give_the_same(frame):
-    cells = frame([(1, "Sitio Malinawam"), (2, "highway"), (3, "Purok 4"), (4, None), (5, "Tricycle Terminal Wset")], "record_id bigint, value string")
-    refs = frame(PLACES, "ref_id int, name string")
-    one = {(r.record_id, r.ref_id) for r in mapping.map_values(cells, dict(PLACES), mapping.place_forms).collect()}
-    two = {(r.record_id, r.ref_id) for r in mapping.map_values_joined(cells, refs, mapping.place_forms).collect()}
-    assert one == two == {(1, 15), (2, 0), (5, 37)}
-    assert mapping.map_values(cells.limit(0), dict(PLACES), mapping.place_forms).count() == 0
+def test_long_lists_give_the_same(frame, monkeypatch):
+    typed = ["Sitio Malinawam", "highway", "Purok 4", None, "Tricycle Terminal Wset", "Malinawan", "Compound, Makulay", "Makulay Coompound", "Hiraya Ph. 1", "Hiraya", "prk 4b, Brgy. Masigla", "Masigla Mkt", "Term. West", "Relocation", "x" * 5000, "Sitio Malinawan"]
+    cells = frame(list(enumerate(typed)), "record_id bigint, value string")
+    twice = [*PLACES, (50, "Sitio Malinawan")]
+    refs = frame(twice, "id int, name string")
+    got = []
+    for most in (100, 3):
+        monkeypatch.setattr(mapping, "MAX_BROADCAST_ENTRIES", most)
+        for own in ("", "masigla"):
+            got.append(sorted((r.record_id, r.ref_id, r.distance) for r in mapping.mapped(cells, refs, "id", "name", partial(mapping.place_forms, own_place=own), mapping.PLACE_KINDS).collect()))
+    assert got[:2] == got[2:] and {(r, i) for r, i, _ in got[1]} >= {(0, 15), (1, 0), (4, 37), (6, 28), (7, 28), (8, 23), (9, 0), (10, 6), (11, 34), (13, 0), (14, 0)}
+    assert len(got[0]) == 13 and mapping.map_values(cells.limit(0), dict(PLACES), mapping.place_forms).count() == 0
+    with pytest.raises(ValueError):
+        mapping.mapped(cells, refs, "id", "name", mapping.place_forms, glossary={"a": "b"})
+
+
+def test_own_barangay_is_learnt(frame):
+    typed = ["Purok 4, Brgy. Tahimik", "prk 4, barangay tahimik", "Sitio Malinawan Tahimik", "Purok 4, Brgy. Iba", "Brgy. Tahimik"]
+    blotter = frame([(i, t, None) for i, t in enumerate(typed)], "record_id bigint, location_purok string, status string")
+    got = {r.record_id: r.ref_id for r in mapping.found_entries(blotter, frame(PLACES, "place_id int, place_name string"), frame(STATES, "status_id int, status_name string")).collect()}
+    assert got == {0: 5, 1: 5, 2: 15, 3: 0, 4: 0}
+
+
+LISTED = dict(enumerate("Filed|Settled|For Hearing|Dismissed|Withdrawn|Referred to Police|Ongoing Mediation|Certified to File Action|Closed|Archived".split("|"), 1))
+
+
+@pytest.mark.parametrize("typed, meant", [
+    ("naka-file na", 1), ("sttld", 2), ("amicably settled", 2), ("4 hrng", 3), ("didinggin pa", 3), ("w/drawn", 5), ("ref. to pulis", 6), ("on-going med.", 7), ("may CFA na", 8), ("cert. to file action", 8),
+    ("file action", 8), ("case closed", 9), ("naka-arkibo", 10), ("pls check", 0), ("wala pa", 0), ("not indicated", 0), ("see page 2 of the old book", 0), ("c/o secretary", 0), ("?", 0),
+])
+def test_statuses_by_word(typed, meant):
+    d = mapping.Dictionary(mapping.spellings_of(LISTED, frozenset()), {}, mapping.WordList(LISTED, mapping.STATUS_WORDS))
+    assert d.best(mapping.status_forms(typed))[0] == meant
 
 
 COPIES = [
