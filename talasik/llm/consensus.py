@@ -11,16 +11,19 @@ shifts its weight by what such labels turn out to be worth.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import warnings
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talasik.operators.skew import broadcast_if_small, skew_join
 from talasik.session import cut
 
-ROUNDS = 15
+#: Rounds at most; a run that isn't stable by then says so. From STEADY on accuracies move by halves.
+ROUNDS, STEADY = 60, 12
 TOLERANCE = 1e-3
 #: Pseudo-labels at the mean accuracy that smooth an annotator's own.
 SMOOTHING = 8.0
@@ -28,8 +31,10 @@ SMOOTHING = 8.0
 LABEL_SMOOTHING = 4.0
 UNKNOWN = "?"
 SEP = "\u0001"
-#: Annotators and confidence words whose accuracies the driver holds; more than this is an error, not a cut.
-MAX_SOURCES = 2_000_000
+#: Up to so many accuracies are sent to the executors; more are joined to the votes.
+MAX_SHARED = 500_000
+#: Keys a task holds before it hands their sums on.
+HELD = 500_000
 
 
 def tidy(column: Column) -> Column:
@@ -72,76 +77,163 @@ def leader(total: dict[str, float], kinds: int) -> tuple[str, float]:
     return best, 1 / rest
 
 
-def _weights(state: dict, kinds: int):
-    who, how, said, mean = state["annotator"], state["sure"], state["said"], state["mean"]
-    base = odds(mean, kinds)
+#: What is measured of one label beside the others of its record.
+_MEASURED = "agreed double, chance double, span double"
 
-    def weight(annotator: str, label: str, sure: str) -> float:
-        shift = odds(how.get(sure, mean), kinds) - base if sure != "none" else 0.0
-        own = odds(said.get(annotator + SEP + label, who.get(annotator, mean)), kinds)
-        return max(own + shift, 0.0)
 
-    return weight
+def _compared(own: list[tuple[str, str, str, float]], kinds: int) -> Iterator[tuple[bool, float, float] | None]:
+    """Of each vote (annotator, label, sure, weight): whether the others' consensus agrees, the chance of that, and what is left of 1; None without others."""
+    total = scores([(label, w) for _, label, _, w in own])
+    said = Counter(x[1] for x in own)
+    for _, label, _, w in own:
+        others = dict(total)
+        others[label] -= w
+        if said[label] == 1:
+            del others[label]
+        if not others:
+            yield None
+            continue
+        best, sureness = leader(others, kinds)
+        chance = (1 - sureness) / max(kinds - 1, 1)
+        yield label == best, chance, sureness - chance
 
 
-def _measure(state: dict, kinds: int):
+def _measure(weight, kinds: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = _weights(state, kinds)
+        own_weight = weight()
         tally: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
         for pdf in batches:
             for votes in pdf["votes"]:
-                own = [(v["annotator"], v["label"], v["sure"], weight(v["annotator"], v["label"], v["sure"])) for v in votes]
-                total = scores([(label, w) for _, label, _, w in own])
-                for annotator, label, sure, w in own:
-                    others = dict(total)
-                    others[label] -= w
-                    if sum(x[1] == label for x in own) == 1:
-                        del others[label]
-                    if not others:
-                        continue
-                    best, sureness = leader(others, kinds)
-                    chance = (1 - sureness) / max(kinds - 1, 1)
-                    for key in (("annotator", annotator), ("sure", sure), ("said", annotator + SEP + label)):
-                        t = tally[key]
-                        t[0] += label == best
-                        t[1] += chance
-                        t[2] += sureness - chance
-                        t[3] += 1
+                own = [(v["annotator"], v["label"], v["sure"], own_weight(v)) for v in votes]
+                for (annotator, label, sure, _), m in zip(own, _compared(own, kinds)):
+                    if m is not None:
+                        for key in (("annotator", annotator), ("sure", sure), ("said", annotator + SEP + label)):
+                            t = tally[key]
+                            for i, x in enumerate((*m, 1)):
+                                t[i] += x
+            if len(tally) > HELD:
+                yield pd.DataFrame([(*k, *t) for k, t in tally.items()], columns=["kind", "name", "agreed", "chance", "span", "n"])
+                tally.clear()
         if tally:
             yield pd.DataFrame([(*k, *t) for k, t in tally.items()], columns=["kind", "name", "agreed", "chance", "span", "n"])
 
     return run
 
 
-def fit(records: DataFrame, kinds: int, rounds: int = ROUNDS) -> tuple[dict, int]:
-    """Accuracies by annotator and by confidence word, and the rounds taken. `records`: record_id, votes."""
-    state = {"annotator": {}, "sure": {}, "said": {}, "mean": 0.7, "n": {}}
-    for k in range(1, rounds + 1):
-        rows = (
-            records.mapInPandas(_measure(state, kinds), "kind string, name string, agreed double, chance double, span double, n double")
-            .groupBy("kind", "name").agg(*[F.sum(c).alias(c) for c in ("agreed", "chance", "span", "n")]).limit(MAX_SOURCES + 1).collect()
-        )
-        if len(rows) > MAX_SOURCES:
-            raise ValueError("more annotators than the driver may hold")
-        mine = [r for r in rows if r["kind"] == "annotator"]
-        if not mine:
-            return state, k
-        span = sum(r["span"] for r in mine)
-        mean = min(max(sum(r["agreed"] - r["chance"] for r in mine) / max(span, 1e-9), 0.05), 0.98)
-        new = {"annotator": {}, "sure": {}, "said": {}, "mean": mean, "n": {r["name"]: int(r["n"]) for r in mine}}
-        for r in sorted(rows, key=lambda r: r["kind"]):
-            per = r["span"] / r["n"]
-            own = r["kind"] == "said"
-            prior = new["annotator"][r["name"].split(SEP)[0]] if own else mean
-            pseudo = (LABEL_SMOOTHING if own else SMOOTHING) * per
-            # others without any weight (a span of nothing) say nothing about an annotator
-            known = r["span"] + pseudo
-            new[r["kind"]][r["name"]] = min(max((r["agreed"] - r["chance"] + pseudo * prior) / known, 0.02), 0.98) if known > 1e-9 else prior
-        moved = max(abs(a - state["annotator"].get(x, state["mean"])) for x, a in new["annotator"].items())
-        state = new
+class Accuracies:
+    """The accuracies of one round by (kind, name): `known` while they are few enough to be sent to every executor, else a `table`."""
+
+    def __init__(self, mean: float, known: dict[tuple[str, str], float] | None = None, table: DataFrame | None = None) -> None:
+        self.mean, self.known, self.table, self.shared = mean, known or {}, table, None
+
+    def weighed(self, records: DataFrame, kinds: int) -> tuple[DataFrame, object]:
+        """`records` (record_id, votes), and what gives a vote's weight on an executor.
+
+        Accuracies held in a table are joined to the votes, which then carry their own. Both ways give the same weights.
+        """
+        base = odds(self.mean, kinds)
+        mean = self.mean
+        if self.table is None:
+            shared = self.shared = records.sparkSession.sparkContext.broadcast(self.known)
+
+            def held():
+                known = shared.value
+                return lambda v: vote_weight(known.get(("said", v["annotator"] + SEP + v["label"]), known.get(("annotator", v["annotator"]), mean)), known.get(("sure", v["sure"]), mean), v["sure"], base, kinds)
+
+            return records, held
+        each = records.select("record_id", F.explode("votes").alias("v"))
+        for kind, key in (("annotator", F.col("v.annotator")), ("said", F.concat("v.annotator", F.lit(SEP), "v.label")), ("sure", F.col("v.sure"))):
+            side = self.table.filter(F.col("kind") == kind).select(F.col("name").alias(f"_{kind}_name"), F.col("accuracy").alias(f"_{kind}"))
+            each = skew_join(each.withColumn(f"_{kind}_name", key), side, [f"_{kind}_name"], "left")
+        told = F.struct("v.annotator", "v.label", "v.sure", F.coalesce("_said", "_annotator", F.lit(mean)).alias("own"), F.coalesce("_sure", F.lit(mean)).alias("how"))
+        return each.groupBy("record_id").agg(F.array_sort(F.collect_list(told)).alias("votes")), lambda: lambda v: vote_weight(v["own"], v["how"], v["sure"], base, kinds)
+
+    def drop(self) -> None:
+        if self.shared is not None:
+            self.shared.unpersist()
+
+
+def vote_weight(own: float, how: float, sure: str, base: float, kinds: int) -> float:
+    """Log-odds of the annotator's accuracy for the label, shifted by what labels so sure are worth; never against the label."""
+    return max(odds(own, kinds) + (odds(how, kinds) - base if sure != "none" else 0.0), 0.0)
+
+
+def _ratio(t, prior, pseudo: float) -> tuple:
+    """Numerator and denominator of a smoothed accuracy; of numbers or columns."""
+    return t["agreed"] - t["chance"] + pseudo * t["span"] / t["n"] * prior, t["span"] + pseudo * t["span"] / t["n"]
+
+
+def _smoothed(rows: list, mean: float) -> dict[tuple[str, str], float]:
+    """Accuracies by (kind, name): annotators and confidence words smoothed to the mean, labels said to their annotator's own."""
+    out: dict[tuple[str, str], float] = {}
+    for r in sorted(rows, key=lambda r: r["kind"]):
+        said = r["kind"] == "said"
+        prior = out["annotator", r["name"].split(SEP)[0]] if said else mean
+        hit, known = _ratio(r, prior, LABEL_SMOOTHING if said else SMOOTHING)
+        # others without any weight (a span of nothing) say nothing about an annotator
+        out[r["kind"], r["name"]] = min(max(hit / known, 0.02), 0.98) if known > 1e-9 else prior
+    return out
+
+
+def _smoothed_table(tallies: DataFrame, mean: float) -> DataFrame:
+    """As `_smoothed`, of a table: kind, name, n and accuracy."""
+
+    def towards(prior: Column, pseudo: float) -> Column:
+        hit, known = _ratio({c: F.col(c) for c in ("agreed", "chance", "span", "n")}, prior, pseudo)
+        return F.when(known > 1e-9, F.least(F.greatest(hit / known, F.lit(0.02)), F.lit(0.98))).otherwise(prior)
+
+    first = tallies.filter("kind <> 'said'").select("kind", "name", "n", towards(F.lit(mean), SMOOTHING).alias("accuracy"))
+    who = first.filter("kind = 'annotator'").select(F.col("name").alias("_who"), F.col("accuracy").alias("_prior"))
+    said = tallies.filter("kind = 'said'").join(who, F.substring_index("name", SEP, 1) == F.col("_who"))
+    return first.unionByName(said.select("kind", "name", "n", towards(F.col("_prior"), LABEL_SMOOTHING).alias("accuracy")))
+
+
+def _mean(agreed: float, chance: float, span: float) -> float:
+    return min(max((agreed - chance) / max(span, 1e-9), 0.05), 0.98)
+
+
+def fit(records: DataFrame, kinds: int) -> tuple[Accuracies, DataFrame, bool]:
+    """Accuracies, annotators with n and accuracy, and whether they became stable. `records`: record_id, votes.
+
+    From round STEADY on every accuracy moves half its way only, so that two consensuses that call each other forth
+    meet between. A run that is not stable after ROUNDS says so in a warning.
+    """
+    spark = records.sparkSession
+    state, stable, rated = Accuracies(0.7), False, []
+    for k in range(1, ROUNDS + 1):
+        votes, weight = state.weighed(records, kinds)
+        tallies = votes.mapInPandas(_measure(weight, kinds), f"kind string, name string, {_MEASURED}, n double").groupBy("kind", "name").agg(*[F.sum(c).alias(c) for c in ("agreed", "chance", "span", "n")])
+        if state.table is None:
+            rows = tallies.limit(MAX_SHARED + 1).collect()
+            mine = [r for r in rows if r["kind"] == "annotator"]
+            if not rows:
+                stable = True
+                break
+            if len(rows) <= MAX_SHARED:
+                new = _smoothed(rows, mean := _mean(*(sum(r[c] for r in mine) for c in ("agreed", "chance", "span"))))
+                kept = {x: (a + state.known.get(x, a)) / 2 for x, a in new.items()} if k >= STEADY else new
+                moved = max(abs(a - state.known.get(x, state.mean)) for x, a in kept.items() if x[0] == "annotator")
+                state.drop()
+                state, rated = Accuracies(mean, kept), [(r["name"], int(r["n"]), float(kept["annotator", r["name"]])) for r in mine]
+        if state.table is not None or len(rows) > MAX_SHARED:
+            tallies = cut(tallies)
+            whole = tallies.filter("kind = 'annotator'").agg(*[F.sum(c).alias(c) for c in ("agreed", "chance", "span")]).first()
+            new = _smoothed_table(tallies, mean := _mean(*whole)).withColumn("_before", F.lit(None).cast("double"))
+            if state.table is not None:
+                new = new.drop("_before").join(state.table.select("kind", "name", F.col("accuracy").alias("_before")), ["kind", "name"], "left")
+            kept = (F.col("accuracy") + F.coalesce("_before", "accuracy")) / 2 if k >= STEADY else F.col("accuracy")
+            new = cut(new.select("kind", "name", "n", kept.alias("accuracy"), F.abs(kept - F.coalesce("_before", F.lit(state.mean))).alias("moved")))
+            moved = new.filter("kind = 'annotator'").agg(F.max("moved")).first()[0]
+            state.drop()
+            state = Accuracies(mean, table=new)
         if moved < TOLERANCE:
+            stable = True
             break
-    return state, k
+    if not stable:
+        warnings.warn(f"accuracies still move after {ROUNDS} rounds", stacklevel=2)
+    if state.table is not None:
+        return state, state.table.filter("kind = 'annotator'").select(F.col("name").alias("annotator"), F.col("n").cast("bigint").alias("n_compared"), "accuracy"), stable
+    return state, spark.createDataFrame(sorted(rated), "annotator string, n_compared bigint, accuracy double"), stable
 
 
 def grouped(votes: DataFrame) -> DataFrame:
@@ -149,33 +241,33 @@ def grouped(votes: DataFrame) -> DataFrame:
     return votes.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("annotator", "label", "sure"))).alias("votes"))
 
 
-def consensus(votes: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(record_id, incident_type, n_labels, n_types, agreement, posterior) and (annotator, n_labels, accuracy).
+def consensus(votes: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(record_id, incident_type, n_labels, n_types, agreement, posterior) and (annotator, n_compared, accuracy).
 
-    agreement is the share of label pairs of a record that name the same type (NULL for one label).
-    A consensus outside `types` keeps its tidied spelling. Empty input gives empty results.
+    agreement is the share of label pairs of a record that name the same type (NULL for one label). `types` has
+    type_name; a consensus outside it keeps its tidied spelling. Empty input gives empty results.
     """
-    spark = votes.sparkSession
+    spelt = types.filter("type_name IS NOT NULL").groupBy(tidy(F.col("type_name")).alias("best")).agg(F.min("type_name").alias("type_name"))
     records = cut(grouped(votes))
-    kinds = max(len(types), 2)
-    state, _ = fit(records.filter(F.size("votes") > 1), kinds)
-    names = {" ".join(t.lower().split()): t for t in types}
+    kinds = max(spelt.count(), 2)
+    state, rated, _ = fit(records.filter(F.size("votes") > 1), kinds)
+    rows, weight = state.weighed(records, kinds)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = _weights(state, kinds)
+        own_weight = weight()
         for pdf in batches:
             out = []
             for rid, votes in zip(pdf["record_id"], pdf["votes"]):
                 labels = [v["label"] for v in votes]
-                best, sureness = leader(scores([(v["label"], weight(v["annotator"], v["label"], v["sure"])) for v in votes]), kinds)
+                best, sureness = leader(scores([(v["label"], own_weight(v)) for v in votes]), kinds)
                 n = len(labels)
-                pairs = sum(labels.count(x) * (labels.count(x) - 1) for x in set(labels))
-                out.append((rid, names.get(best, best), n, len(set(labels)), pairs / (n * (n - 1)) if n > 1 else None, sureness))
-            yield pd.DataFrame(out, columns=["record_id", "incident_type", "n_labels", "n_types", "agreement", "posterior"])
+                pairs = sum(c * (c - 1) for c in Counter(labels).values())
+                out.append((rid, best, n, len(set(labels)), pairs / (n * (n - 1)) if n > 1 else None, sureness))
+            yield pd.DataFrame(out, columns=["record_id", "best", "n_labels", "n_types", "agreement", "posterior"])
 
-    decided = records.mapInPandas(decide, "record_id bigint, incident_type string, n_labels int, n_types int, agreement double, posterior double")
-    rated = spark.createDataFrame([(a, n, float(state["annotator"][a])) for a, n in sorted(state["n"].items())], "annotator string, n_compared bigint, accuracy double")
-    return decided, rated
+    decided = rows.mapInPandas(decide, "record_id bigint, best string, n_labels int, n_types int, agreement double, posterior double")
+    named = decided.join(broadcast_if_small(spelt), "best", "left").select("record_id", F.coalesce("type_name", "best").alias("incident_type"), "n_labels", "n_types", "agreement", "posterior")
+    return named, rated
 
 
 def alpha(votes: DataFrame) -> DataFrame:
@@ -193,17 +285,12 @@ def alpha(votes: DataFrame) -> DataFrame:
     return observed.crossJoin(marginal).select("records", F.col("total").cast("bigint").alias("labels"), F.round(F.when((total > 1) & (chance > 0), 1 - wrong / chance), 9).alias("alpha"))
 
 
-def _inputs(blotter: DataFrame, encoder_label: DataFrame, type_ref: DataFrame) -> tuple[DataFrame, list[str]]:
-    types = [r["type_name"] for r in type_ref.select("type_name").filter("type_name IS NOT NULL").distinct().limit(10_000).collect()]
-    return votes_of(blotter, encoder_label), sorted(types)
-
-
 def found_types(blotter: DataFrame, encoder_label: DataFrame, type_ref: DataFrame) -> DataFrame:
     """record_id and consensus type of records with three labels or more that differ."""
-    decided, _ = consensus(*_inputs(blotter, encoder_label, type_ref))
+    decided, _ = consensus(votes_of(blotter, encoder_label), type_ref)
     return decided.filter("n_labels >= 3 AND n_types > 1").select("record_id", "incident_type")
 
 
 def reliability(blotter: DataFrame, encoder_label: DataFrame, type_ref: DataFrame) -> DataFrame:
     """annotator, labels compared with others' and estimated accuracy."""
-    return consensus(*_inputs(blotter, encoder_label, type_ref))[1]
+    return consensus(votes_of(blotter, encoder_label), type_ref)[1]

@@ -97,7 +97,7 @@ def test_copies_through_many_waves(frame, monkeypatch):
     assert sorted(map(tuple, formdups.found_copies(df).collect())) == [(1, 2), (9, 10), (9, 11)]
 
 
-def test_consensus_beats_the_majority(frame):
+def test_consensus_beats_the_majority(frame, monkeypatch):
     random.seed(4)
     types = ["Theft", "Robbery", "Noise", "Other"]
     good, swap = [f"g{i}" for i in range(6)], [f"s{i}" for i in range(3)]
@@ -121,6 +121,29 @@ def test_consensus_beats_the_majority(frame):
     assert again == got
 
 
+def test_joined_accuracies_are_the_same(frame, monkeypatch):
+    random.seed(8)
+    votes = frame([(r, a, random.choice("xxy") if a != "d" else "z", random.choice(["none", "high"])) for r in range(30) for a in "abcd"], "record_id bigint, annotator string, label string, sure string")
+    records = consensus.grouped(votes).cache()
+    monkeypatch.setattr(consensus, "ROUNDS", 4)
+    monkeypatch.setattr(consensus, "STEADY", 3)
+    monkeypatch.setattr(consensus, "TOLERANCE", 0.0)
+    got = []
+    for most, held in ((1000, 1000), (0, 3)):
+        monkeypatch.setattr(consensus, "MAX_SHARED", most)
+        monkeypatch.setattr(consensus, "HELD", held)
+        with pytest.warns(UserWarning):
+            state, rated, stable = consensus.fit(records, 3)
+        assert not stable and (state.table is None) == (most > 0)
+        got.append({r.annotator: (r.n_compared, round(r.accuracy, 9)) for r in rated.collect()})
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
+def test_consensus_becomes_stable(frame):
+    votes = frame([(r, a, "x" if (r + k) % 3 else "y", "none") for r in range(12) for k, a in enumerate("abcd")], "record_id bigint, annotator string, label string, sure string")
+    assert consensus.fit(consensus.grouped(votes), 3)[2]
+
+
 def test_last_label_counts(frame):
     labels = frame([(1, "e", "Theft", None, 1), (1, "e", "robbery ", None, 2), (1, "e", None, None, 3), (1, None, "Theft", None, 1), (2, "e", None, None, 1), (1, "e", "robbery ", None, 2)], "record_id bigint, encoder_code string, incident_type string, label_confidence string, s int")
     labels = labels.selectExpr("record_id", "encoder_code", "incident_type", "label_confidence", "timestamp_seconds(s) AS labelled_at")
