@@ -306,23 +306,37 @@ def segments(scorer: Scorer, texts: list[list[tuple[list[int], bool]]]) -> list[
     return out
 
 
-def _sample(df: DataFrame, key: str, text: str, label: str) -> list[tuple[str, str, int]]:
-    """The labelled rows with the smallest hashes: (text, language, hash)."""
-    named = df.select(F.col(text).alias("text"), declared(F.col(label)).alias("lang"), F.xxhash64(key).alias("h")).filter("lang IS NOT NULL AND length(text) > 0")
-    last = named.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-    rows = named.filter(F.col("h") <= last).collect() if last is not None else []
-    return [(r["text"], r["lang"], r["h"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))[:SAMPLE_ROWS]]
+def spread_over(items: list, most: int) -> list:
+    """At most so many of the items, at even distances from the first on."""
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
 
 
-def learn(narratives: DataFrame, documents: DataFrame, headers: Headers) -> Model | None:
-    """Model from the labels of both tables (narratives: record_id, text, lang); None without any label."""
+def _sample(df: DataFrame, key: str, text: str, label: str, forms: list[str]) -> list[tuple[int, str, str]]:
+    """(hash, language, words) of stretches of the SAMPLE_ROWS labelled rows with the smallest hashes of key and text.
+
+    Of each row ROW_STRETCHES stretches from all over its text are cut out where the row is, so what reaches the
+    driver has a bound whatever the texts.
+    """
+    named = df.select(F.col(text).alias("text"), declared(F.col(label)).alias("lang"), F.xxhash64(key, text).alias("h")).filter("lang IS NOT NULL AND length(text) > 0")
+
+    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        headers = Headers(forms)
+        for pdf in batches:
+            rows = [(h, lang, " ".join(w)) for h, lang, t in zip(pdf["h"], pdf["lang"], pdf["text"]) for w, _ in spread_over(stretches(story(t, headers)), ROW_STRETCHES) if len(w) > 2]
+            yield pd.DataFrame(rows, columns=["h", "lang", "words"])
+
+    rows = named.orderBy("h", "text", "lang").limit(SAMPLE_ROWS).mapInPandas(cut_out, "h bigint, lang string, words string")
+    return sorted((r["h"], r["lang"], r["words"]) for r in rows.collect())
+
+
+def learn(narratives: DataFrame, documents: DataFrame, forms: list[str]) -> Model | None:
+    """Model from the labels of both tables (narratives: record_id, text, lang); None without any label. `forms`: learnt headers."""
     said = narratives.select("text").unionByName(documents.select("text")).filter(F.length("text") > 0)
     idf = inverse_frequency(said)
-    rows = _sample(narratives, "record_id", "text", "lang") + _sample(documents, "doc_id", "text", "lang")
+    rows = _sample(narratives, "record_id", "text", "lang", forms) + _sample(documents, "doc_id", "text", "lang", forms)
     units, held = [], []
-    for text, lang, h in sorted(rows, key=lambda r: r[2]):
-        own = stretches(story(text, headers))[:ROW_STRETCHES]
-        (held if h % 5 == 0 else units).extend((words, LANGUAGES.index(lang)) for words, _ in own if len(words) > 2)
+    for h, lang, words in sorted(rows):
+        (held if h % 5 == 0 else units).append((words.split(), LANGUAGES.index(lang)))
     if not units:
         return None
     order = np.random.default_rng(5).permutation(len(units))
@@ -347,7 +361,7 @@ def identified(narratives: DataFrame, documents: DataFrame) -> DataFrame:
     """
     some = narratives.filter(F.length(F.regexp_replace("text", r"(?U)[\s\p{Z}\p{Cf}]+", "")) > 0)
     forms = learn_headers(some.select("text"))
-    model = learn(some, documents, Headers(forms))
+    model = learn(some, documents, forms)
     weights = None if model is None else (model.idf, model.weights, model.bias, model.temperature)
     shared = some.sparkSession.sparkContext.broadcast((forms, weights))
 

@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +35,16 @@ RATIO = 12
 #: The vocabulary holds words with at least this share of all words, so its size has a bound.
 VOCABULARY = 200_000
 VECTOR = 32
-#: Words at most this far apart are a pair; draws of noise a pair; steps of the ascent; words for a dense table.
-SPAN, NEGATIVES, STEPS, DENSE = 3, 5, 60, 2048
+#: Words at most this far apart are a pair; draws of noise a pair (few, so that small vocabularies keep cells).
+SPAN, NEGATIVES = 3, 1
+#: Factors beyond VECTOR and passes that make the factorisation exact enough.
+SPARE, PASSES = 8, 1
 #: Fields of a form, which are no furniture (fixed values).
 _FIELD = regex.compile(r"^\s*\p{L}[\p{L} /]{1,24}\s*[:=]\s*\S")
 _PAGE = r"(?:[\[(—–-]\s*)?(?:(?:p[a@4o][gh9b6][ei1lc]?[nmri]{0,2}[a@4o]?|pg|p)\.?\s*)?(?:b[l1i][g96]\.?\s*)?[\dlIoOSBZ]{1,4}(?:\s*(?:[o0]f|/)\s*[\dlIoOSBZ]{1,4})?(?:\s*[\])—–-])?"
 _PAGE_LINE = regex.compile(rf"(?i)^\s*{_PAGE}\s*$")
 _PAGE_BESIDE = regex.compile(rf"(?i)(?:\s{{2,}}{_PAGE}\s*$|^\s*{_PAGE}\s{{2,}})")
-#: No line of a scanned page is longer.
+#: Most lines of a scanned page are at most so long.
 PAGE_WIDTH = 100
 _DIGIT = re.compile(r"\d")
 _HASHED = str.maketrans("0123456789", "##########")
@@ -96,9 +97,9 @@ def _line_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame({"form": list(docs), "docs": list(docs.values()), "twice": [twice[k] for k in docs]})
 
     for pdf in batches:
-        for text in pdf["text"]:
+        for text, known in zip(pdf["text"], pdf["page"]):
             own = lines_of(text)
-            if not scanned(own):
+            if not scanned(own, known):
                 continue
             total += 1
             for form, n in Counter(f for f in map(header_form, own) if f).items():
@@ -112,8 +113,9 @@ def _line_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_headers(texts: DataFrame) -> list[str]:
-    """Running headers of all texts. At most 1 / HEADER_SHARE lines a text's share of forms can qualify."""
-    counts = texts.mapInPandas(_line_counts, "form string, docs bigint, twice bigint").groupBy("form").agg(F.sum("docs").alias("docs"), F.sum("twice").alias("twice"))
+    """Running headers of all texts (column text, and page if known). At most 1 / HEADER_SHARE lines a text's share of forms can qualify."""
+    told = texts.select("text", "page" if "page" in texts.columns else F.lit(False).alias("page"))
+    counts = told.mapInPandas(_line_counts, "form string, docs bigint, twice bigint").groupBy("form").agg(F.sum("docs").alias("docs"), F.sum("twice").alias("twice"))
     counts = cut(counts.filter(f"docs >= {HEADER_LEAST} OR form = ''"))
     total = counts.filter("form = ''").agg(F.sum("docs")).first()[0] or 0
     rows = counts.filter((F.col("form") != "") & (F.col("docs") >= max(HEADER_LEAST, total * HEADER_SHARE)) & (F.col("twice") >= HEADER_TWICE * F.col("docs"))).orderBy(F.desc("docs"), "form").collect()
@@ -158,7 +160,7 @@ _NUMBER = regex.compile(r"^(?:php|p|₱)?\s?[\d.,:/-]+(?:\.\d+)?(?:am|pm|st|nd|r
 
 def wordlike(w: str) -> bool:
     """Whether a core is a word rather than a number or amount."""
-    return bool(_WORDLIKE.search(w)) and not _NUMBER.match(w) and len(w) < 40
+    return bool(_WORDLIKE.search(w)) and not _NUMBER.match(w)
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,21 +191,24 @@ def glyph_keys(word: str) -> set[str]:
 
 
 def glyph_distance(true: str, seen: str) -> float:
-    """Number of glyph confusions that turn `true` into `seen`; inf if none do."""
+    """Number of glyph confusions that turn `true` into `seen`; inf if none do.
+
+    Only places in both that confusions can reach are kept, a few at a time, so long words take time by their length.
+    """
     n, m = len(true), len(seen)
-    best = [[math.inf] * (m + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for i in range(n):
-        for j in range(m):
-            here = best[i][j]
-            if here == math.inf:
-                continue
-            if true[i] == seen[j]:
-                best[i + 1][j + 1] = min(best[i + 1][j + 1], here)
+    reached: list[dict[int, float]] = [{0: 0.0}, {}, {}]
+    for i in range(n + 1):
+        here = reached.pop(0)
+        reached.append({})
+        if i == n:
+            return here.get(m, math.inf)
+        for j, cost in sorted(here.items()):
+            if j < m and true[i] == seen[j]:
+                reached[0][j + 1] = min(reached[0].get(j + 1, math.inf), cost)
             for h, k in ((1, 1), (1, 2), (2, 1)):
                 if i + h <= n and j + k <= m and (true[i : i + h], seen[j : j + k]) in _PAIRS:
-                    best[i + h][j + k] = min(best[i + h][j + k], here + 1)
-    return best[n][m]
+                    reached[h - 1][j + k] = min(reached[h - 1].get(j + k, math.inf), cost + 1)
+    return math.inf
 
 
 @dataclass
@@ -285,17 +290,25 @@ class Page:
     found: dict[tuple[int, int], str]
     fixed: dict[tuple[int, int], str]
     body: list[int]
+    scanned: bool = True
 
 
-def scanned(lines: list[str]) -> bool:
-    """Whether the text is laid out in lines of a page rather than typed in one go or into a form's fields."""
-    return len(lines) > 1 and not any(_FIELD.match(x) for x in lines[:2]) and max(map(len, lines)) <= PAGE_WIDTH
+def scanned(lines: list[str], page: bool = False) -> bool:
+    """Whether the text is laid out in lines of a page rather than typed in one go or into a form's fields.
+
+    Most lines of a page are at most PAGE_WIDTH long; single longer ones, such as two that were merged, make no difference.
+    `page`: the text is known to be one.
+    """
+    if len(lines) < 2 or page:
+        return len(lines) > 1
+    filled = sum(1 for x in lines if x.strip())
+    return not any(_FIELD.match(x) for x in lines[:2]) and 2 * sum(len(x) > PAGE_WIDTH for x in lines) < filled
 
 
-def read_page(text: str, headers: Headers, lexicon: Lexicon) -> Page:
+def read_page(text: str, headers: Headers, lexicon: Lexicon, known_page: bool = False) -> Page:
     lines = lines_of(text)
-    page = Page(lines, {}, {}, [])
-    if not scanned(lines):
+    page = Page(lines, {}, {}, [], scanned(lines, known_page))
+    if not page.scanned:
         page.body = list(range(len(lines)))
         return page
     if len(lines) > 1:
@@ -387,7 +400,7 @@ def cased(seen: str, meant: str) -> str:
 
 def reflow(page: Page, lexicon: Lexicon) -> str:
     """The running paragraphs: blank lines part them, furniture is left out, cut words are joined."""
-    if not scanned(page.lines):
+    if not page.scanned:
         return "\n".join(page.lines)
     paragraphs: list[list[str]] = [[]]
     carry = ""
@@ -420,7 +433,7 @@ def learn(texts: DataFrame) -> tuple[list[str], Lexicon]:
     counts = cut(texts.mapInPandas(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(3, -(-total // VOCABULARY))
-    frequent = counts.filter((F.col("n") >= floor) & (F.length("word") < 40) & F.col("word").rlike(r"^[\p{L}][\p{L}'’-]*$|[\p{L}].*[\d@]|[\d@].*[\p{L}]"))
+    frequent = counts.filter((F.col("n") >= floor) & F.col("word").rlike(r"^[\p{L}][\p{L}'’-]*$|[\p{L}].*[\d@]|[\d@].*[\p{L}]"))
     words = {r["word"]: r["n"] for r in frequent.collect()}
     # only words that can be a correction need a vector
     own = sorted(w for w, n in words.items() if n >= max(5, RATIO * floor // 3))
@@ -428,11 +441,12 @@ def learn(texts: DataFrame) -> tuple[list[str], Lexicon]:
 
 
 def _pair_counts(words: list[str]):
+    """How often two of the words stand within SPAN words of each other: x, y and n, each pair once a batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = len(words)
         ids = {w: i for i, w in enumerate(words)}
         raw: dict[str, int] = {}
-        total = np.zeros(v * v, dtype=np.int64)
         gap = [-1] * SPAN
         for pdf in batches:
             flat: list[int] = []
@@ -446,12 +460,29 @@ def _pair_counts(words: list[str]):
             if len(raw) > 300_000:
                 raw.clear()
             at = np.array(flat, dtype=np.int64)
+            keys = []
             for d in range(1, SPAN + 1):
                 x, y = at[:-d], at[d:]
                 both = (x >= 0) & (y >= 0)
-                total += np.bincount(x[both] * v + y[both], minlength=v * v)
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": hit, "n": total[hit]})
+                keys += [x[both] * v + y[both], y[both] * v + x[both]]
+            pair, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pd.DataFrame({"x": pair // v, "y": pair % v, "n": n})
+
+    return run
+
+
+def _times(shared, size: int):
+    """Row sums of the table (x, y, w) times the matrix `shared`, a part of them a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros_like(shared.value)
+        for pdf in batches:
+            x, order = pdf["x"].to_numpy(), np.argsort(pdf["x"].to_numpy(), kind="stable")
+            if len(order):
+                starts = np.flatnonzero(np.diff(x[order], prepend=-1))
+                total[x[order][starts]] += np.add.reduceat(shared.value[pdf["y"].to_numpy()[order]] * pdf["w"].to_numpy()[order][:, None], starts)
+        at = np.flatnonzero(np.abs(total).sum(axis=1))
+        yield pd.DataFrame({"x": at, "v": list(total[at].astype(np.float32))})
 
     return run
 
@@ -459,48 +490,55 @@ def _pair_counts(words: list[str]):
 def skip_gram(texts: DataFrame, words: list[str]) -> dict[str, np.ndarray]:
     """Unit vectors of `words`, learnt from all pairs of them within SPAN words of each other in `texts`.
 
-    The skip-gram objective with negative sampling depends on the pairs by their counts only. For up to DENSE
-    words the counts are a bounded table and the objective is climbed on it; longer lists are trained on the
-    texts by Spark's skip-gram.
+    Skip-gram with NEGATIVES draws of noise a pair has its optimum where a word's vector times a neighbour's is their
+    pointwise mutual information less log NEGATIVES, so the vectors are found as the leading factors of that table, of
+    its positive cells: a randomised factorisation, whose products with the table run where its rows are. The table
+    stays distributed; the driver holds VECTOR + SPARE numbers a word, and words are bounded by VOCABULARY.
     """
     if not words:
         return {}
-    if len(words) > DENSE:
-        said = texts.select(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", "")).alias("words"))
-        tasks = texts.sparkSession.sparkContext.defaultParallelism
-        model = Word2Vec(vectorSize=VECTOR, minCount=5, windowSize=SPAN, maxIter=1, numPartitions=tasks, seed=11, inputCol="words", outputCol="v").fit(said)
-        listed = texts.sparkSession.createDataFrame([(w,) for w in words], "word string")
-        rows = model.getVectors().join(F.broadcast(listed), "word").collect()
-        return {r["word"]: (x := r["vector"].toArray().astype(np.float32)) / (np.linalg.norm(x) or 1) for r in rows}
-    v = len(words)
-    rows = texts.mapInPandas(_pair_counts(words), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(v * v, dtype=np.float32)
-    seen[rows["pair"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float32)
-    seen = seen.reshape(v, v)
-    seen = seen + seen.T
-    total = max(float(seen.sum()), 1.0)
-    often = seen.sum(axis=1)
-    noise = often**0.75 / max(float((often**0.75).sum()), 1e-9)
-    drawn = NEGATIVES * often[:, None] * noise[None, :] / total * v
-    seen = seen / total * v
-    rng = np.random.default_rng(11)
-    sides = [rng.normal(0, 0.1, (v, VECTOR)).astype(np.float32) for _ in range(2)]
-    moments = [[np.zeros_like(s), np.zeros_like(s)] for s in sides]
-    for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-sides[0] @ sides[1].T))
-        slope = seen * (1 - p) - drawn * p
-        grads = (slope @ sides[1], slope.T @ sides[0])
-        for side, g, m in zip(sides, grads, moments):
-            m[0] = 0.9 * m[0] + 0.1 * g
-            m[1] = 0.999 * m[1] + 0.001 * g * g
-            side += 0.05 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    unit = sides[0] / np.maximum(np.linalg.norm(sides[0], axis=1, keepdims=True), 1e-9)
+    v, spark = len(words), texts.sparkSession
+    pairs = texts.select("text").mapInPandas(_pair_counts(words), "x bigint, y bigint, n bigint").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    pairs = cut(pairs)
+    often = np.zeros(v)
+    for r in pairs.groupBy("x").agg(F.sum("n").alias("n")).collect():
+        often[r["x"]] = r["n"]
+    total, noise = max(often.sum(), 1.0), often**0.75
+    noise /= max(noise.sum(), 1e-9)
+    held = spark.sparkContext.broadcast((often, noise))
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often, noise = held.value
+        for pdf in batches:
+            x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+            w = np.log(pdf["n"].to_numpy() / (often[x] * noise[y])) - math.log(NEGATIVES)
+            yield pd.DataFrame({"x": x, "y": y, "w": w})[w > 0]
+
+    table = cut(pairs.mapInPandas(cells, "x bigint, y bigint, w double"))
+    held.unpersist()
+
+    def product(matrix: np.ndarray, turned: bool = False) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(matrix)
+        rows = (table.select(F.col("y").alias("x"), F.col("x").alias("y"), "w") if turned else table).mapInPandas(_times(shared, v), "x bigint, v array<float>")
+        out = np.zeros_like(matrix)
+        for r in rows.groupBy("x").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(matrix.shape[1])]).alias("v")).collect():
+            out[r["x"]] = r["v"]
+        shared.unpersist()
+        return out
+
+    size = min(VECTOR + SPARE, v)
+    left = np.linalg.qr(product(np.random.default_rng(11).normal(size=(v, size))))[0]
+    for _ in range(PASSES):
+        left = np.linalg.qr(product(np.linalg.qr(product(left, True))[0]))[0]
+    u, s, _ = np.linalg.svd(product(left, True).T, full_matrices=False)
+    found = ((left @ u)[:, :VECTOR] * np.sqrt(s[:VECTOR])).astype(np.float32)
+    unit = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
     return {w: unit[i] for i, w in enumerate(words)}
 
 
 def _texts(blotter: DataFrame, calibration: DataFrame) -> DataFrame:
-    a = blotter.select(F.lit("scan_blotter").alias("source_table"), F.col("record_id").cast("string").alias("row_key"), F.col("narrative_summary").alias("text"))
-    b = calibration.select(F.lit("ocr_calibration").alias("source_table"), F.col("source_file").alias("row_key"), F.col("ocr_text").alias("text"))
+    a = blotter.select(F.lit("scan_blotter").alias("source_table"), F.col("record_id").cast("string").alias("row_key"), F.col("narrative_summary").alias("text"), F.lit(False).alias("page"))
+    b = calibration.select(F.lit("ocr_calibration").alias("source_table"), F.col("source_file").alias("row_key"), F.col("ocr_text").alias("text"), F.lit(True).alias("page"))
     return spread(a.unionByName(b).filter("text IS NOT NULL"))
 
 
@@ -518,8 +556,8 @@ def read_pages(texts: DataFrame, repair: bool = True) -> DataFrame:
         known, words = Headers(forms), Lexicon(counts, floor, vectors)
         for pdf in batches:
             repaired, found = [], []
-            for text in pdf["text"]:
-                page = read_page(text, known, words)
+            for text, is_page in zip(pdf["text"], pdf["page"]):
+                page = read_page(text, known, words, is_page)
                 repaired.append(reflow(page, words) if repair else None)
                 found.append([(i + 1, k, kind) for (i, k), kind in sorted(page.found.items())])
             yield pd.DataFrame({"source_table": pdf["source_table"], "row_key": pdf["row_key"], "repaired_text": repaired, "found": found})

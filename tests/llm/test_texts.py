@@ -137,10 +137,46 @@ def test_pages_of_rows(frame):
     assert scanrepair.found_noise(blotter.limit(0), pages.limit(0)).count() == 0
 
 
-def test_skip_gram_neighbours():
+def test_glyph_distances():
+    assert scanrepair.glyph_distance("nakita", "riakita") == 1 and scanrepair.glyph_distance("nakita", "bakita") == float("inf")
+    assert scanrepair.glyph_distance("madaling", "rnadalin9") == 2 and scanrepair.glyph_distance("", "") == 0 and scanrepair.glyph_distance("a", "") == float("inf")
+    assert scanrepair.glyph_distance("a" * 50_000, "a" * 49_999 + "@") == 1
+
+
+def test_skip_gram_neighbours(frame):
+    """Words used alike get vectors alike, against the same table factorised in one piece."""
     import numpy as np
 
-    assert np.isfinite(scanrepair.glyph_distance("nakita", "riakita")) and scanrepair.glyph_distance("nakita", "bakita") == float("inf")
+    texts = frame([(f"{a} {b} {c}",) for a in ("aso", "pusa") for b in ("kumain", "natulog", "tumakbo") for c in ("sala", "kusina")] * 5 + [(f"{a} {b}",) for a in ("piso", "salapi") for b in ("utang", "bayad")] * 5, "text string")
+    words = sorted({"aso", "pusa", "kumain", "natulog", "tumakbo", "sala", "kusina", "piso", "salapi", "utang", "bayad"})
+    got = scanrepair.skip_gram(texts, words)
+    assert got["aso"] @ got["pusa"] > 0.95 and got["piso"] @ got["salapi"] > 0.95 and got["aso"] @ got["piso"] < 0.3
+    pairs = np.zeros((len(words), len(words)))
+    for t in [r.text.split() for r in texts.collect()]:
+        for i in range(len(t)):
+            for j in range(max(0, i - scanrepair.SPAN), min(len(t), i + scanrepair.SPAN + 1)):
+                if i != j:
+                    pairs[words.index(t[i]), words.index(t[j])] += 1
+    often = pairs.sum(axis=1)
+    noise = often**0.75 / (often**0.75).sum()
+    with np.errstate(divide="ignore"):
+        table = np.maximum(np.log(pairs / (often[:, None] * noise[None, :])) - np.log(scanrepair.NEGATIVES), 0)
+    u, s, _ = np.linalg.svd(table)
+    want = u[:, : scanrepair.VECTOR] * np.sqrt(s[: scanrepair.VECTOR])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    mine = np.array([got[w] for w in words])
+    assert np.allclose(mine @ mine.T, want @ want.T, atol=1e-4)
+    assert scanrepair.skip_gram(texts, []) == {}
+
+
+def test_one_long_line_changes_nothing():
+    text = "hindi siy@ riakita\nhindi siya nakita\nsiya hindi\n[4]"
+    for extra in ("", "\n" + "hindi siya nakita " * 9):
+        page = scanrepair.read_page(text + extra, scanrepair.Headers([]), lexicon())
+        assert {(1, 2), (1, 3), (4, 0)} <= {(i + 1, k) for i, k in page.found}
+    assert scanrepair.read_page("PETSA: x\nhindi siy@ dito", scanrepair.Headers([]), lexicon()).found == {}
+    assert scanrepair.read_page("PETSA: x\nhindi siy@ dito", scanrepair.Headers([]), lexicon(), True).found == {(1, 2): "misread"}
+    assert scanrepair.read_page("hindi\n" + "x" * 50 + "riakita siy@", scanrepair.Headers([]), lexicon()).found[1, 2] == "misread"
 
 
 def test_lookalikes_in_other_scripts(frame):
