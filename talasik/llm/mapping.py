@@ -152,21 +152,35 @@ def deletes(form: str, most: int) -> set[str]:
 NEAR = frozenset({"ou", "ei", "ck", "fp", "bv", "il", "ao", "sz", "un"})
 
 
-def distance(a: str, b: str) -> float:
-    """Weighted Damerau-Levenshtein: near letters .6, doubled letters .5, neighbours swapped .8, all else 1."""
-    rows = [[float(j) for j in range(len(b) + 1)]]
-    for i, x in enumerate(a, 1):
-        row = [float(i)]
-        for j, y in enumerate(b, 1):
-            sub = 0.0 if x == y else 0.6 if "".join(sorted(x + y)) in NEAR else 1.0
-            drop = 0.5 if i > 1 and a[i - 2] == x else 1.0
-            add = 0.5 if j > 1 and b[j - 2] == y else 1.0
-            best = min(rows[-1][j - 1] + sub, rows[-1][j] + drop, row[-1] + add)
+def distance(a: str, b: str, most: float = float("inf")) -> float:
+    """Weighted Damerau-Levenshtein: near letters .6, doubled letters .5, neighbours swapped .8, all else 1.
+
+    Beyond `most` the result is inf; then only places that cheaper edits reach are looked at, so long words take time by their length.
+    """
+    n, m = len(a), len(b)
+    band = n + m if most == float("inf") else int(2 * most)
+    if abs(n - m) > band:
+        return float("inf")
+    rows: list[dict[int, float]] = [{j: float(j) for j in range(min(m, band) + 1)}]
+    inf = float("inf")
+    for i in range(1, n + 1):
+        x, row, last = a[i - 1], {}, rows[-1]
+        doubled = i > 1 and a[i - 2] == x
+        for j in range(max(0, i - band), min(m, i + band) + 1):
+            if not j:
+                row[0] = float(i)
+                continue
+            y = b[j - 1]
+            best = last.get(j - 1, inf) + (0.0 if x == y else 0.6 if x + y in NEAR or y + x in NEAR else 1.0)
+            best = min(best, last.get(j, inf) + (0.5 if doubled else 1.0), row.get(j - 1, inf) + (0.5 if j > 1 and b[j - 2] == y else 1.0))
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y:
-                best = min(best, rows[-2][j - 2] + 0.8)
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
+                best = min(best, rows[-2].get(j - 2, inf) + 0.8)
+            row[j] = best
+        if min(row.values()) > most and min(last.values()) > most:
+            return inf
+        rows = [last, row]
+    d = rows[-1].get(m, inf)
+    return d if d <= most else inf
 
 
 @dataclass
@@ -190,7 +204,7 @@ class Dictionary:
         if len(form) > self.longest + 2:
             return []  # longer than any spelling within the bound
         found = set().union(*(self.index.get(d, ()) for d in deletes(form, bound(form))))
-        return [(cost, s) for s in found if strict(s) == strict(form) and (cost := distance(form, s)) <= bound(form)]
+        return [(cost, s) for s in found if strict(s) == strict(form) and (cost := distance(form, s, bound(form))) <= bound(form)]
 
     def best(self, forms: tuple[str, ...]) -> tuple[int, float]:
         """(entry, distance) of the nearest spelling; ties go to the earlier form, the more frequent entry, the smaller id. (0, inf) for none."""

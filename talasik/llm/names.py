@@ -1,8 +1,9 @@
 """Spellings that name the same party (problem 1).
 
 Cells are stripped of contact details and titles. Each distinct spelling is a vector of character n-grams
-weighted by rarity; a sparse cosine join with prefix filtering proposes pairs, a check of the name's parts
-scores them, and exact average-linkage clustering, run as rounds of mutual best merges, groups them.
+weighted by rarity; a sparse cosine join with prefix filtering gives all pairs above a threshold, the cosine,
+adjusted by how well the name's parts agree, is their score, and exact average-linkage clustering, run as
+rounds of mutual best merges, groups them.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from talasik.llm.mapping import distance
 from talasik.llm.pii import find
 from talasik.session import cut, spread
 
-GRAM = 3
+GRAM = 4
 #: A word in this share of all words of names is a given name.
 GIVEN_SHARE = 0.0025
 #: Pairs below this cosine aren't looked at.
 COSINE = 0.2
 #: Clusters merge while the mean score of their pairs is at least this.
-LINKAGE = 0.5
-#: Longer words are no names; they are only compared for equality.
-LONGEST_WORD = 64
+LINKAGE = 0.45
+#: The root of the cosine that counts beside the parts: n-grams of short names suffer much from one slip.
+ROOT = 4
 
 #: Cells that name nobody (fixed values).
 NOBODY = frozenset(
@@ -42,8 +43,8 @@ TITLES = frozenset("mr mrs ms gng g mang aling kgwd kagawad kap kapitan bb dr ho
 SUFFIXES = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii", "iii": "iii"}
 #: Words of an organisation's kind and their abbreviations (fixed values).
 KINDS = {
-    "inc": "", "incorporated": "", "corp": "corporation", "corporation": "corporation", "co": "corporation", "company": "corporation", "school": "school", "sch": "school",
-    "elem": "elementary", "elementary": "elementary", "cooperative": "cooperative", "coop": "cooperative", "trading": "trading", "trdg": "trading", "store": "store",
+    "inc": "", "incorporated": "", "corp": "corporation", "corporation": "corporation", "co": "corporation", "company": "corporation", "school": "school", "sch": "school", "skul": "school",
+    "elem": "elementary", "elementary": "elementary", "cooperative": "cooperative", "coop": "cooperative", "trading": "trading", "trade": "trading", "trdg": "trading", "store": "store",
     "hardware": "hardware", "hdwe": "hardware", "services": "services", "svcs": "services", "service": "services", "water": "water", "lending": "lending", "association": "association",
     "assoc": "association", "assn": "association", "hoa": "homeowners association", "homeowners": "homeowners", "transport": "transport", "trans": "transport", "rice": "rice",
 }
@@ -125,6 +126,7 @@ def parse(text: str) -> Name:
     return Name(tuple(words), comma, suffix, nick, frozenset(kinds), frozenset(marks) - {"ng", "mga"})
 
 
+@lru_cache(maxsize=200_000)
 def same_word(a: str, b: str) -> float:
     """How likely two spelt-out words are one: 1 if equal, less for sound-alikes and typing errors, else 0."""
     if a == b:
@@ -132,14 +134,28 @@ def same_word(a: str, b: str) -> float:
     x, y = fold(a), fold(b)
     if x == y:
         return 0.95
-    n = min(len(x), len(y))
+    n = max(min(len(a), len(b)), min(len(x), len(y)))
     # two edits change at most four of the letters used
-    if n < 4 or n > LONGEST_WORD or abs(len(x) - len(y)) > 2 or len(set(x) ^ set(y)) > 4:
+    if n < 4 or min(abs(len(x) - len(y)), abs(len(a) - len(b))) > 2 or min(len(set(x) ^ set(y)), len(set(a) ^ set(b))) > 4:
         return 0.0
-    d = distance(x, y)
+    # folding hides slips that double a letter, and makes two of one that takes a letter from between two
+    d = min(distance(x, y, 2), distance(a, b, 2))
     return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.6 if d <= 2 and n >= 8 else 0.0
 
 
+#: Endings of Filipino pet names (fixed values).
+_PET = regex.compile(r"(.{2,}?)(?:ong|ing|oy|eng)$")
+_VOWELS = frozenset("aeiou")
+
+
+def abbreviates(short: str, name: str) -> bool:
+    """Whether up to four letters such as lds or vte stand for a name: its first letter and, in order, some of its others, with few vowels."""
+    if not 3 <= len(short) <= 4 or short[0] != name[0] or len(short) >= len(name) or sum(c in _VOWELS for c in short) > 1:
+        return False
+    rest = iter(name)
+    return all(c in rest for c in short) and (short[-1] == name[-1] or not _VOWELS & set(short))
+
+
 class Givens:
     """Given names of the corpus (words that go with many others) and its nicknames."""
 
@@ -147,31 +163,37 @@ class Givens:
         self.given = [g for g in given if len(g) > 3]
         self.known = set(given)
         self.nicks = {n: set(g) for n, g in nicks.items()}
-        self.likely: dict[str, bool] = {}
-        self.letters: dict[str, list[str]] = {}
+        self.meant: dict[str, frozenset[str]] = {}
 
-    def is_given(self, word: str) -> bool:
-        """Whether the word is a given name, also abbreviated, misspelt or as a nickname."""
-        hit = self.likely.get(word)
+    def lists(self) -> tuple[list[str], dict[str, list[str]]]:
+        return sorted(self.known), {n: sorted(g) for n, g in self.nicks.items()}
+
+    def means(self, word: str) -> frozenset[str]:
+        """The given names a word of two letters or more may be: itself, or one it abbreviates, misspells or is a pet name of."""
+        hit = self.meant.get(word)
         if hit is None:
-            hit = word in self.known or word in self.nicks or len(word) > 2 and any(g.startswith(word) or same_word(word, g) >= 0.8 for g in self.given)
-            if len(self.likely) > 300_000:
-                self.likely.clear()
-            self.likely[word] = hit
+            w = SHORT.get(word, word)
+            if w in self.known:
+                hit = frozenset({w})
+            else:
+                found = set(self.nicks.get(w, ())) | {g for n in self.nicks if len(n) > 3 and same_word(w, n) >= 0.8 for g in self.nicks[n]}
+                if len(w) > 2:
+                    pet = _PET.match(w)
+                    tail = w.replace("y", "i") if len(w) > 3 else "-"
+                    found |= {g for g in self.given if g.startswith(w) or same_word(w, g) >= 0.8 or abbreviates(w, g) or g.endswith(tail) or pet and len(w) > 4 and g.startswith(pet[1])}
+                hit = frozenset(found)
+            if len(self.meant) > 300_000:
+                self.meant.clear()
+            self.meant[word] = hit
         return hit
 
-    def lists(self) -> tuple[list[str], dict[str, list[str]]]:
-        return sorted(self.known), {n: sorted(g) for n, g in self.nicks.items()}
+    def is_given(self, word: str) -> bool:
+        """Whether the word is a given name, also abbreviated, misspelt or as a nickname."""
+        return word in self.known or word in self.nicks or len(word) > 2 and any(g.startswith(word) or same_word(word, g) >= 0.8 for g in self.means(word) if g not in self.nicks.get(word, ()))
 
     def initials(self, word: str) -> list[str]:
         """First letters of the given names the word may stand for."""
-        hit = self.letters.get(word)
-        if hit is None:
-            hit = sorted({g[0] for g in self.given if len(word) > 1 and self.same(word, g)} | {g[0] for g in self.nicks.get(word, ())} | ({SHORT[word][0]} if word in SHORT else set())) or [word[0]]
-            if len(self.letters) > 300_000:
-                self.letters.clear()
-            self.letters[word] = hit
-        return hit
+        return sorted({g[0] for g in self.means(word)} if len(word) > 1 else ()) or [word[0]]
 
     def same(self, a: str, b: str) -> float:
         """As `same_word`, with initials, abbreviations and nicknames."""
@@ -181,22 +203,14 @@ class Givens:
         if a == b:
             return 1.0
         if len(a) == 1:
-            return 0.7 if b[0] == a or any(g[0] == a for g in self.nicks.get(b, ())) else 0.0
+            return 0.7 if b[0] == a or any(g[0] == a for g in self.means(b)) else 0.0
         if a in self.known and b in self.known:
             return 0.0  # two given names, however alike
         if len(a) >= 3 and b.startswith(a):
             return 0.9
         if b in self.nicks.get(a, ()) or a in self.nicks.get(b, ()):
             return 0.9
-        if self.nicks.get(a, set()) & self.nicks.get(b, set()):
-            return 0.85
-        direct = same_word(a, b)
-        if direct or len(a) < 3:
-            return direct
-        if any(same_word(b, g) >= 0.8 or len(b) >= 3 and g.startswith(b) for g in self.nicks.get(a, ())) or any(same_word(a, g) >= 0.8 or len(a) >= 3 and g.startswith(a) for g in self.nicks.get(b, ())):
-            return 0.8
-        # consonants only, as in lds for lourdes
-        return 0.8 if len(a) == 3 and b[0] == a[0] and b[-1] == a[-1] and a[1] in b[1:-1] and not set(a) & set("aeiou") else 0.0
+        return same_word(a, b) or (0.8 if self.means(a) & self.means(b) else 0.0)
 
     def surname_at(self, name: Name) -> int:
         """Index of the surname: before a comma the first word, else the last long one that is no given name."""
@@ -226,7 +240,7 @@ def _rest(a: list[str], b: list[str], nick_a: str, nick_b: str, givens: Givens)
     """Agreement of what remains beside the surname: the given name must agree, middles must not conflict."""
     if not a or not b:
         return 0.0
-    first = max([givens.same(a[0], b[0])] + [0.9 * givens.same(n, w) for n, w in ((nick_a, b[0]), (nick_b, a[0])) if n and len(n) > 1 and len(a[0]) == 1 | len(b[0]) == 1])
+    first = max([givens.same(a[0], b[0])] + [0.9 * givens.same(n, w) for n, w in ((nick_a, b[0]), (nick_b, a[0])) if n and len(n) > 1 and (len(a[0]) == 1 or len(b[0]) == 1)])
     if not first:
         return 0.0
     a, b = a[1:], b[1:]
@@ -257,7 +271,8 @@ def alike_key(name: Name, givens: Givens) -> str | None:
 
 
 def features(text: str, givens: Givens) -> set[str]:
-    """Character n-grams of the surname, each with the initial a given name may have; of an organisation, of its words.
+    """Character n-grams of the cleaned name: those of the surname, each with the initial a given name may have, the
+    initials of its other words and its suffix; of an organisation, those of all its words.
 
     An abbreviation, nickname or misspelling counts as every given name it can stand for, so spellings of one
     person share their n-grams however the given name is written, and namesakes with other given names don't.
@@ -266,16 +281,17 @@ def features(text: str, givens: Givens) -> set[str]:
     if not name.words:
         return set()
     if name.organisation:
-        return {f"org:{g}" for w in name.words for g in _grams(w)} | {f"org:{k}" for k in name.kinds}
+        return {f"org:{g}" for w in name.words for g in _grams(w)} | {f"org:{k}" for k in name.kinds} | {f"mark:{m}" for m in name.marks}
     i = givens.surname_at(name)
     rest = [w for k, w in enumerate(name.words) if k != i]
     own = _grams(name.words[i])
-    return {f"{c}:{g}" for c in (givens.initials(rest[0]) if rest else ["_"]) for g in own}
+    return {f"{c}:{g}" for c in (givens.initials(rest[0]) if rest else ["_"]) for g in own} | {f"middle:{w[0]}" for w in rest[1:]} | ({f"suffix:{name.suffix}"} if name.suffix else set())
 
 
 def _grams(word: str) -> set[str]:
+    """Its n-grams without regard to the order within each, so that two letters swapped change few of them."""
     w = f" {fold(word)} "
-    return {w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}
+    return {"".join(sorted(w[i : i + GRAM])) for i in range(max(1, len(w) - GRAM + 1))}
 
 
 def _gram_rows(lists: tuple[list[str], dict[str, list[str]]]):
@@ -315,10 +331,14 @@ def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE) ->
     unit = cut(
         weighted.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
         .withColumn("before", F.coalesce(F.sum(F.col("u") * F.col("u")).over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .select("id", "gram", "df", F.col("u").cast("float").alias("u"), (1 - F.col("before") >= threshold * threshold).alias("joined"))
+        .withColumn("left", F.greatest(1 - F.col("before"), F.lit(0.0)))
+        .select("id", "gram", "df", F.col("u").cast("float").alias("u"), F.sqrt(F.greatest(F.col("left") - F.col("u") * F.col("u"), F.lit(0.0))).cast("float").alias("after"), (F.col("left") >= threshold * threshold).alias("joined"))
     )
-    prefix = unit.filter("joined AND df > 1").select("id", "gram")
-    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    prefix = unit.filter("joined AND df > 1").select("id", "gram", "u", "after")
+    # at the rarest n-gram two vectors share, the cosine is at most its own part and what the lengths of the rests allow
+    enough = F.col("x.u") * F.col("y.u") + F.col("x.after") * F.col("y.after") >= threshold - 1e-4
+    met = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & enough
+    pairs = prefix.alias("x").join(prefix.alias("y"), met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "u"))).alias("v"))
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
     return (
@@ -404,7 +424,7 @@ def party_clusters(cells: DataFrame) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Givens(*shared.value)
         for pdf in batches:
-            pdf["score"] = [score(parse(x), parse(y), own) for x, y in zip(pdf["na"], pdf["nb"])]
+            pdf["score"] = [score(parse(x), parse(y), own) * min(max(c, 0.0), 1.0) ** (1 / ROOT) for x, y, c in zip(pdf["na"], pdf["nb"], pdf["cosine"])]
             yield pdf.loc[pdf["score"] > 0, ["a", "b", "score"]]
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,7 +436,7 @@ def party_clusters(cells: DataFrame) -> DataFrame:
     keyed = cut(spread(names).mapInPandas(keys, "id bigint, name string, key string"))
     nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.count("*").alias("n")))
     pairs = cosine_pairs(nodes, givens)
-    spelt = pairs.join(nodes.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb")
+    spelt = pairs.join(nodes.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb", "cosine")
     # a pair is a few bytes but takes a while: small partitions must not be put together
     tasks = cells.sparkSession.sparkContext.defaultParallelism * 4
     links = cut(spelt.repartition(tasks, "a", "b").mapInPandas(check, "a bigint, b bigint, score double"))

@@ -24,7 +24,8 @@ def test_details_of_long_texts():
 def test_long_cells():
     d = mapping.Dictionary({"purok 4": 5})
     assert quick(d.best, mapping.place_forms(LONG)) == (0, float("inf")) and quick(d.best, mapping.place_forms("purok 4 " + MANY))[0] == 0
-    assert quick(names.same_word, LONG, LONG[:-1] + "b") == 0.0 and names.same_word(LONG, LONG) == 1.0
+    other = "".join(chr(97 + i * 7 % 26) for i in range(60_000))
+    assert quick(names.same_word, other, other[:-1] + "!") == 0.9 and names.same_word(LONG, LONG) == 1.0 and quick(names.same_word, other, other[::-1]) == 0.0
     assert quick(names.plain_name, MANY).startswith("nakita")
 
 

@@ -228,3 +228,17 @@ def test_party_of_many_spellings(frame):
     same = [f"{t} {n}" for t in sorted(names.TITLES)[:25] for n in ("Francisco V. Lapasedin", "Lapasedin, Francisco V")]
     got = {(r.name_a, r.name_b) for r in names.found_pairs(frame(filler + [(a, None) for a in same], "reporting_party string, respondent string")).collect()}
     assert got == {(a, b) for a in same for b in same if a < b}
+
+
+def test_given_names_meant():
+    g = names.Givens(["eduardo", "vicente", "victorina", "lourdes", "pablito", "ramon", "maria", "jose"], {"bening": ["beatriz"]})
+    for word, meant in {"edong": "eduardo", "vte": "vicente", "lds": "lourdes", "lito": "pablito", "rmn": "ramon", "viconte": "vicente", "ma": "maria", "eduard": "eduardo"}.items():
+        assert meant in g.means(word), word
+    assert g.same("vte", "viconte") >= 0.8 and g.same("jose", "maria") == 0.0 and not g.means("xu")
+    nick = names.score(names.parse('o. "ofing" lapasedin'), names.parse("ofelia lapasedin"), names.Givens(["ofelia"], {"ofing": ["ofelia"]}))
+    assert nick > 0 and names.score(names.parse('n. "ofelia" lapasedin'), names.parse("ofelia lapasedin"), names.Givens(["ofelia", "nestor"], {})) > 0
+
+
+@pytest.mark.parametrize("a, b", [("luludeg", "luudeg"), ("puuvagos", "puyuvagos"), ("gayyegafal", "gayegafal"), ("kosakong", "kosakonge")])
+def test_slips_beside_double_letters(a, b):
+    assert names.same_word(a, b) >= 0.75
