@@ -161,28 +161,45 @@ def distance(a: str, b: str, most: float = float("inf")) -> float:
     band = n + m if most == float("inf") else int(2 * most)
     if abs(n - m) > band:
         return float("inf")
-    rows: list[dict[int, float]] = [{j: float(j) for j in range(min(m, band) + 1)}]
     inf = float("inf")
+    wide = [inf] * (m + 2)
+    last, older = [float(j) if j <= band else inf for j in range(m + 1)], wide
     for i in range(1, n + 1):
-        x, row, last = a[i - 1], {}, rows[-1]
-        doubled = i > 1 and a[i - 2] == x
-        for j in range(max(0, i - band), min(m, i + band) + 1):
-            if not j:
-                row[0] = float(i)
-                continue
+        x = a[i - 1]
+        row = wide[: m + 1] if m <= 200 else _Sparse(inf)
+        lo, hi = max(1, i - band), min(m, i + band)
+        drop = 0.5 if i > 1 and a[i - 2] == x else 1.0
+        row[0] = float(i) if i <= band else inf
+        least = row[0]
+        for j in range(lo, hi + 1):
             y = b[j - 1]
-            best = last.get(j - 1, inf) + (0.0 if x == y else 0.6 if x + y in NEAR or y + x in NEAR else 1.0)
-            best = min(best, last.get(j, inf) + (0.5 if doubled else 1.0), row.get(j - 1, inf) + (0.5 if j > 1 and b[j - 2] == y else 1.0))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y:
-                best = min(best, rows[-2].get(j - 2, inf) + 0.8)
+            best = last[j - 1] if x == y else last[j - 1] + (0.6 if x + y in NEAR or y + x in NEAR else 1.0)
+            if (d := last[j] + drop) < best:
+                best = d
+            if (d := row[j - 1] + (0.5 if j > 1 and b[j - 2] == y else 1.0)) < best:
+                best = d
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and x != y and (d := older[j - 2] + 0.8) < best:
+                best = d
             row[j] = best
-        if min(row.values()) > most and min(last.values()) > most:
+            if best < least:
+                least = best
+        if least > most and before > most if i > 1 else False:
             return inf
-        rows = [last, row]
-    d = rows[-1].get(m, inf)
+        before, older, last = least, last, row
+    d = last[m]
     return d if d <= most else inf
 
 
+class _Sparse(dict):
+    """A row of which only the band is kept."""
+
+    def __init__(self, rest: float) -> None:
+        self.rest = rest
+
+    def __missing__(self, key: int) -> float:
+        return self.rest
+
+
 @dataclass
 class Dictionary:
     """Spellings of a reference list with their deletes."""

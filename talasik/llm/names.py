@@ -139,7 +139,9 @@ def same_word(a: str, b: str) -> float:
     if n < 4 or min(abs(len(x) - len(y)), abs(len(a) - len(b))) > 2 or min(len(set(x) ^ set(y)), len(set(a) ^ set(b))) > 4:
         return 0.0
     # folding hides slips that double a letter, and makes two of one that takes a letter from between two
-    d = min(distance(x, y, 2), distance(a, b, 2))
+    d = distance(x, y, 2)
+    if d > 1 and (x, y) != (a, b):
+        d = min(d, distance(a, b, 2))
     return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.6 if d <= 2 and n >= 8 else 0.0
 
 
@@ -164,6 +166,7 @@ class Givens:
         self.known = set(given)
         self.nicks = {n: set(g) for n, g in nicks.items()}
         self.meant: dict[str, frozenset[str]] = {}
+        self.likely: dict[str, bool] = {}
 
     def lists(self) -> tuple[list[str], dict[str, list[str]]]:
         return sorted(self.known), {n: sorted(g) for n, g in self.nicks.items()}
@@ -189,7 +192,13 @@ class Givens:
 
     def is_given(self, word: str) -> bool:
         """Whether the word is a given name, also abbreviated, misspelt or as a nickname."""
-        return word in self.known or word in self.nicks or len(word) > 2 and any(g.startswith(word) or same_word(word, g) >= 0.8 for g in self.means(word) if g not in self.nicks.get(word, ()))
+        hit = self.likely.get(word)
+        if hit is None:
+            hit = word in self.known or word in self.nicks or len(word) > 2 and any(g.startswith(word) or same_word(word, g) >= 0.8 for g in self.means(word))
+            if len(self.likely) > 300_000:
+                self.likely.clear()
+            self.likely[word] = hit
+        return hit
 
     def initials(self, word: str) -> list[str]:
         """First letters of the given names the word may stand for."""
