@@ -63,8 +63,12 @@ def tokens(column: Column) -> Column:
 
 
 def without_stops(words: Column) -> Column:
-    stops = F.array(*[F.lit(w) for w in sorted({*TAGALOG_STOPS, *ENGLISH_STOPS})])
-    return F.filter(words, lambda w: ~F.array_contains(stops, w))
+    return F.filter(words, lambda w: ~w.rlike(_any_of({*TAGALOG_STOPS, *ENGLISH_STOPS})))
+
+
+def _any_of(words) -> str:
+    """A pattern, compiled once, of one of the words and nothing else."""
+    return "^(?:" + "|".join(sorted(words)) + ")$"
 
 
 def clean(column: Column) -> Column:
@@ -75,8 +79,8 @@ def clean(column: Column) -> Column:
 def code_switch(column: Column, least: int = 2) -> Column:
     """mixed, tagalog, english or other by hits of each list of stop words."""
     words = tokens(column)
-    tl = F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, TAGALOG_STOPS)), w)))
-    en = F.size(F.filter(words, lambda w: F.array_contains(F.array(*map(F.lit, ENGLISH_STOPS)), w)))
+    tl = F.size(F.filter(words, lambda w: w.rlike(_any_of(TAGALOG_STOPS))))
+    en = F.size(F.filter(words, lambda w: w.rlike(_any_of(ENGLISH_STOPS))))
     return F.when((tl >= least) & (en >= least), "mixed").when(tl >= least, "tagalog").when(en >= least, "english").otherwise("other")
 
 

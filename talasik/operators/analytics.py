@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talasik.operators.evaluation import bounded_axis
+
 
 def blank(name: str) -> Column:
     """NULL for the empty string."""
@@ -81,7 +83,7 @@ def dense_tiers(df: DataFrame, rows: Column, columns: Column, high: int = 10, mi
     The grid is of the distinct values on the axes, small beside the data.
     """
     cells = cross_tab(df, rows, columns)
-    grid = cells.select("row").distinct().crossJoin(F.broadcast(cells.select("col").distinct()))
+    grid = bounded_axis(cells.select("row").distinct()).crossJoin(F.broadcast(bounded_axis(cells.select("col").distinct())))
     n = F.coalesce("n", F.lit(0))
     return grid.join(cells, ["row", "col"], "left").select("row", "col", n.alias("n"), F.when(n >= high, "high").when(n >= middle, "mid").when(n == 0, "zero").otherwise("none").alias("tier"))
 
@@ -99,9 +101,8 @@ def hotspots(df: DataFrame, place: str, category: str) -> DataFrame:
         F.sum("n").cast("bigint").alias("n_rows"),
         F.min_by("category", F.when(F.col("category").isNotNull(), F.struct(-F.col("n"), F.col("category")))).alias("top"),
     )
-    most = F.max("n_rows").over(Window.partitionBy())
-    ratio = F.col("n_rows") / most
-    return by_place.select(
+    ratio = F.col("n_rows") / F.col("_most")
+    return by_place.crossJoin(F.broadcast(by_place.agg(F.max("n_rows").alias("_most")))).select(
         "place",
         "n_rows",
         F.round(ratio * 100, 1).alias("pct_of_max"),
@@ -133,10 +134,3 @@ def risk(df: DataFrame, day: str, category: str, stable_when_short: bool = False
 def page(df: DataFrame, order: list[Column], number: int, size: int = 25) -> DataFrame:
     """Page `number` (from 1) of the rows in order; the order needs a tie-break to be repeatable."""
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
-
-
-def first_of_each(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order, found by aggregation rather than a sort of each group."""
-    others = [c for c in df.columns if c not in key]
-    picked = df.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))
-    return picked.select(*key, *[F.col("_row")[c].alias(c) for c in others]).select(*df.columns)

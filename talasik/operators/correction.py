@@ -5,16 +5,24 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talasik.operators.skew import broadcast_if_small
-
-#: Letters a scanner takes for each other, cheaper to exchange (fixed values).
-CONFUSED = frozenset({"0o", "1i", "1l", "5s", "8b", "6g", "il", "mn", "uv", "ce", "gq", "hn"})
+from talasik.session import cut
+
+#: Capitals read for written ones, (read, written): exchanged at half the cost of other letters (fixed values).
+CONFUSED = frozenset(
+    "SG AG MN NR OA PD CL EG CG IA DA UN HN WN UO LK TA DG RK TI OE HA RA RN EO GA LG UR GE KA MA BD AT RB IO JT EA OG YW".split()
+)
+#: First letters that mark a verb's aspect; one is never exchanged for another (fixed values).
+ASPECT = frozenset("MNP")
+#: Words of a lexicon that are held at a time, and candidates a token is compared with.
+BLOCK_WORDS, CANDIDATES = 100_000, 5
 CLOSE, SURE = 0.70, 0.86
 _WORDS = regex.compile(r"[\p{L}\d]+")
 
@@ -25,50 +33,102 @@ def lexicon(df: DataFrame, text: str, least: int = 2) -> DataFrame:
     return words.groupBy("token").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
 
 
-def similarity(word: str, candidate: str) -> float:
-    """1 less the weighted edit distance over the longer length; confused letters cost half."""
-    a, b = word.lower(), candidate.lower()
-    last = [float(j) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
+def similarity(read: str, written: str) -> float:
+    """1 less the weighted edit distance over the longer length; capitals that are read for others cost half."""
+    last = [float(j) for j in range(len(written) + 1)]
+    for i, x in enumerate(read, 1):
         row = [float(i)]
-        for j, y in enumerate(b, 1):
-            swap = 0.0 if x == y else 0.5 if "".join(sorted(x + y)) in CONFUSED else 1.0
+        for j, y in enumerate(written, 1):
+            swap = 0.0 if x == y else 0.5 if x + y in CONFUSED else 1.0
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + swap))
         last = row
-    return 1 - last[-1] / max(len(a), len(b), 1)
+    return 1 - last[-1] / max(len(read), len(written), 1)
+
+
+def suspicious(token: Column) -> Column:
+    """Three characters or more, less than half of them digits."""
+    return (F.length(token) > 2) & (F.length(F.regexp_replace(token, r"\P{Nd}", "")) * 2 < F.length(token))
 
 
-def suspicious(word: str, known: dict[str, int]) -> bool:
-    return len(word) > 2 and word not in known and sum(c.isdigit() for c in word) * 2 < len(word)
+class Words:
+    """Part of a lexicon, by length."""
 
+    def __init__(self, known: dict[str, int]) -> None:
+        self.known = known
+        self.by_length: dict[int, list[str]] = {}
+        for w in known:
+            self.by_length.setdefault(len(w), []).append(w)
 
-def correct_word(word: str, known: dict[str, int], by_length: dict[int, list[str]]) -> str | None:
-    """The lexicon's word for a suspicious one, if one is close enough; ties go to the more frequent."""
-    if not suspicious(word, known):
-        return None
-    pool = [c for n in range(len(word) - 2, len(word) + 3) for c in by_length.get(n, ())]
-    best = [(round(similarity(word, c), 6), known[c], c) for c in difflib.get_close_matches(word, pool, n=5, cutoff=CLOSE)]
-    best = [b for b in best if b[0] >= SURE]
-    return max(best)[2] if best else None
+    def near(self, token: str) -> list[tuple[float, str]]:
+        """The CANDIDATES most alike of at least CLOSE, with how alike they are."""
+        n = len(token)
+        # two strings of lengths n and m are at most 2 min(n, m) / (n + m) alike
+        pool = [w for m, own in self.by_length.items() if 2 * min(n, m) >= CLOSE * (n + m) for w in own]
+        return [(difflib.SequenceMatcher(None, w, token).ratio(), w) for w in difflib.get_close_matches(token, pool, n=CANDIDATES, cutoff=CLOSE)]
 
 
 def corrections(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """token and correction of every distinct suspicious token of the text. Each token is looked up once, however often it occurs."""
-    tokens = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"([\p{L}\d]{3,})"), F.lit(1)))).alias("token")).distinct()
-    unknown = tokens.join(broadcast_if_small(words.select("token")), "token", "left_anti")
-    known = {r["token"]: r["freq"] for r in words.orderBy(F.desc("freq"), "token").collect()}
-    shared = df.sparkSession.sparkContext.broadcast(known)
+    """token and correction of every distinct suspicious token of the text that `words` (token, freq) doesn't have.
+
+    Of the CANDIDATES words most alike, one that is SURE enough is taken, the surest, then the most frequent; one that
+    changes the first letter of an aspect into that of another is not. Each token is looked up once, however often it
+    occurs, against the lexicon in blocks of about BLOCK_WORDS words, whose candidates are put together.
+    """
+    tokens = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"([\p{L}\d]{3,})"), F.lit(1)))).alias("token")).distinct().filter(suspicious(F.col("token")))
+    unknown = cut(tokens.join(words.select("token"), "token", "left_anti"))
+    blocks = max(1, -(-words.count() // BLOCK_WORDS))
+    placed = words.withColumn("_block", F.pmod(F.xxhash64("token"), F.lit(blocks)))
+
+    def search(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = Words(shared.value)
+            for pdf in batches:
+                rows = [(t, w, alike, similarity(t, w), own.known[w]) for t in pdf["token"] for alike, w in own.near(t)]
+                yield pd.DataFrame(rows, columns=["token", "word", "alike", "sure", "freq"])
+
+        return run
+
+    found = []
+    for b in range(blocks):
+        known = {r["token"]: r["freq"] for r in placed.filter(F.col("_block") == b).collect()}
+        found.append(unknown.mapInPandas(search(df.sparkSession.sparkContext.broadcast(known)), "token string, word string, alike double, sure double, freq bigint"))
+    own = Window.partitionBy("token").orderBy(F.desc("alike"), F.desc("word"))
+    near = reduce(DataFrame.unionByName, found).withColumn("_k", F.row_number().over(own)).filter(F.col("_k") <= CANDIDATES)
+    first, meant = F.substring("token", 1, 1), F.substring("word", 1, 1)
+    aspect = (first != meant) & first.isin(*ASPECT) & meant.isin(*ASPECT)
+    return near.filter((F.col("sure") >= SURE) & ~aspect).groupBy("token").agg(F.max_by("word", F.struct(F.round("sure", 9), "freq", "word")).alias("correction"))
+
+
+def corrector_account(df: DataFrame, read: str, gold: str, fixes: DataFrame) -> DataFrame:
+    """One row: how many aligned tokens were right before and after `fixes` (token, correction), how many changes fixed, damaged, stayed wrong or have no word to be held against, and the precision.
+
+    Words are aligned by their order. A token in a stretch of another length is held against the words of that stretch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, by_length = shared.value, {}
-        for w in own:
-            by_length.setdefault(len(w), []).append(w)
         for pdf in batches:
-            found = [(t, c) for t in pdf["token"] if (c := correct_word(t, own, by_length))]
-            if found:
-                yield pd.DataFrame(found, columns=["token", "correction"])
-
-    return unknown.mapInPandas(run, "token string, correction string")
+            rows: list[tuple] = []
+            for a, b in zip(pdf[read], pdf[gold]):
+                x, y = _WORDS.findall((a or "").upper()), _WORDS.findall((b or "").upper())
+                for op, i, j, k, n in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                    if j - i == n - k:
+                        rows += [(s, [t], True) for s, t in zip(x[i:j], y[k:n])]
+                    else:
+                        rows += [(s, sorted(set(y[k:n])), False) for s in x[i:j]]
+            yield pd.DataFrame(rows, columns=["token", "meant", "aligned"])
+
+    told = df.filter(F.col(read).isNotNull() & F.col(gold).isNotNull()).select(read, gold).mapInPandas(run, "token string, meant array<string>, aligned boolean")
+    counted = told.groupBy("token", "meant", "aligned").agg(F.count("*").alias("n")).join(broadcast_if_small(fixes), "token", "left")
+    after = F.coalesce("correction", "token")
+    was, is_ = F.array_contains("meant", F.col("token")), F.array_contains("meant", after)
+    changed = after != F.col("token")
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("bigint")
+    out = counted.agg(
+        of(F.col("aligned")).alias("tokens"), of(F.col("aligned") & was).alias("right_before"), of(F.col("aligned") & is_).alias("right_after"), of(changed & is_).alias("fixed"), of(changed & ~is_ & was).alias("damage"),
+        of(changed & ~is_ & ~was & F.col("aligned")).alias("wrong"), of(changed & ~is_ & ~was & ~F.col("aligned")).alias("unverified"),
+    )
+    judged = F.col("fixed") + F.col("damage") + F.col("wrong")
+    return out.withColumn("precision", F.when(judged > 0, F.round(F.col("fixed") / judged, 9)).otherwise(0.0))
 
 
 def edits(before: str, after: str) -> list[tuple[int, int, str, str]]:
@@ -136,18 +196,34 @@ def confusions(df: DataFrame, read: str, gold: str, least: int = 2) -> DataFrame
 
 
 def corrupted(df: DataFrame, key: str, text: str, rate: float, seed: int) -> DataFrame:
-    """key and text with about `rate` of the characters misread; the same seed and key give the same text."""
+    """key and text with about `rate` of the characters spoilt as a scanner does; the same seed and key give the same text.
+
+    Of the spoilt letters most are read as others, some are lost or parted from the rest of the word; a spoilt space joins two words.
+    """
     import random
 
     kind = dict(df.dtypes)[key]
-    swaps = {a: b for pair in sorted(CONFUSED) for a, b in (pair, pair[::-1])}
+    reads: dict[str, list[str]] = {}
+    for read, written in sorted(CONFUSED):
+        reads.setdefault(written, []).append(read)
+
+    def spoil(c: str, draw: random.Random) -> str:
+        if draw.random() >= rate:
+            return c
+        if c == " ":
+            return ""
+        how = draw.random()
+        if how < 0.8:
+            other = draw.choice(reads.get(c.upper(), [c.upper()]))
+            return other if c.isupper() else other.lower()
+        return "" if how < 0.9 else c + " "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k, t in zip(pdf[key], pdf[text]):
                 draw = random.Random(f"{seed}/{k}")
-                out.append(None if t is None else "".join(swaps.get(c.lower(), c) if draw.random() < rate else c for c in t))
+                out.append(None if t is None else "".join(spoil(c, draw) for c in t))
             yield pd.DataFrame({key: pdf[key], text: pd.Series(out, dtype=object)})
 
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, {text} string")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talasik.operators.skew import broadcast_if_small
+
 #: Two-sided 95 % quantile of the normal distribution.
 Z = 1.959963984540054
 
@@ -92,11 +95,22 @@ def averages(classes: DataFrame) -> DataFrame:
     return rows.agg(*[F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[F.round(F.sum(F.col(c) * F.col("_w")), 6).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")])
 
 
+#: A dense grid has at most so many values on an axis; more is an error, not a cut.
+MOST_VALUES = 5_000
+
+
+def bounded_axis(values: DataFrame) -> DataFrame:
+    """The distinct values of an axis; a grid of too many would square them."""
+    if values.limit(MOST_VALUES + 1).count() > MOST_VALUES:
+        raise ValueError(f"a dense grid needs at most {MOST_VALUES} values on an axis")
+    return values
+
+
 def confusion(df: DataFrame, gold: str, predicted: str, fill: str) -> DataFrame:
     """Dense matrix: gold, predicted and n for every pair of classes; a missing prediction counts as `fill`."""
     cells = df.filter(F.col(gold).isNotNull()).groupBy(F.col(gold).alias("gold"), F.coalesce(F.col(predicted), F.lit(fill)).alias("predicted")).agg(F.count("*").alias("n"))
     classes = cells.select(F.col("gold").alias("c")).union(cells.select("predicted")).distinct()
-    grid = classes.select(F.col("c").alias("gold")).crossJoin(F.broadcast(classes.select(F.col("c").alias("predicted"))))
+    grid = classes.select(F.col("c").alias("gold")).crossJoin(broadcast_if_small(bounded_axis(classes).select(F.col("c").alias("predicted"))))
     return grid.join(cells, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -106,19 +120,57 @@ def calibration(df: DataFrame, confidence: str, right: Column, bins: int = 5) ->
     return df.filter(F.col(confidence).between(0, 1)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(confidence), 9).alias("confidence"), F.round(F.avg(F.when(right, 1.0).otherwise(0.0)), 9).alias("accuracy"))
 
 
-def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
+def _placed(points: DataFrame, value: str, counted: list[str], blocks: int) -> DataFrame:
+    """`points` with _before_<c>: the sum of each counted column over all larger values, ranges of values being summed apart.
+
+    Values are cut into ranges at quantiles; the totals of the ranges, `blocks` rows, are added up first.
+    """
+    cuts = points.approxQuantile(value, [k / blocks for k in range(1, blocks)], 0.001) if blocks > 1 else []
+    at = F.array_size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    ranged = points.withColumn("_range", at)
+    sums = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{c}") for c in counted])
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # at most `blocks` rows
+    sums = sums.select("_range", *[F.coalesce(F.sum(f"_all_{c}").over(above), F.lit(0)).alias(f"_above_{c}") for c in counted])
+    own = Window.partitionBy("_range").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(sums), "_range").select(value, *counted, *[(F.col(f"_above_{c}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(f"_before_{c}") for c in counted])
+
+
+def auc(df: DataFrame, score: str, positive: Column, blocks: int = 64) -> DataFrame:
     """One row: area under the ROC curve by trapezoids over distinct scores, with the numbers of each kind.
 
-    Scores are aggregated before the running sums; ties share a point. NULL without both kinds.
+    Scores are aggregated before the running sums, which are taken in `blocks` ranges; ties share a point. NULL without both kinds.
     """
     points = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("tp"), F.count_if(~positive).alias("fp"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = points.select(score, "tp", "fp", F.sum("tp").over(down).alias("ctp"))
-    area = F.sum(F.col("fp") * (F.col("ctp") - F.col("tp") / 2))
+    run = _placed(points.withColumn(score, F.col(score).cast("double")), score, ["tp"], blocks).join(points.select(F.col(score).cast("double").alias(score), "fp"), score)
+    area = F.sum(F.col("fp") * (F.col("_before_tp") + F.col("tp") / 2))
     out = run.agg(area.alias("area"), F.sum("tp").cast("bigint").alias("positives"), F.sum("fp").cast("bigint").alias("negatives"))
     return out.select(F.round(F.col("area") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0)), 9).alias("auc"), "positives", "negatives")
 
 
+def one_against_rest(df: DataFrame, label: str, scores: dict[str, str], blocks: int = 64) -> DataFrame:
+    """class, auc and positives of every class (a score column each), of all cells together (micro), and their mean (macro).
+
+    Classes without rows, or that all rows are of, have no area and don't count in the mean. NULL labels are no rows.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    each = [auc(rows.select(F.col(c).alias("_s"), (F.col(label) == k).alias("_y")), "_s", F.col("_y"), blocks).select(F.lit(k).alias("class"), "auc", "positives") for k, c in scores.items()]
+    cells = rows.select(F.explode(F.array(*[F.struct(F.col(c).cast("double").alias("s"), (F.col(label) == k).alias("y")) for k, c in scores.items()])).alias("x")).select("x.*")
+    micro = auc(cells, "s", F.col("y"), blocks).select(F.lit("(micro)").alias("class"), "auc", "positives")
+    classes = reduce(DataFrame.unionByName, each)
+    macro = classes.agg(F.lit("(macro)").alias("class"), F.round(F.avg("auc"), 9).alias("auc"), F.sum("positives").cast("bigint").alias("positives"))
+    return classes.unionByName(micro).unionByName(macro)
+
+
+def roc_points(df: DataFrame, score: str, positive: Column, most: int = 250, blocks: int = 64) -> DataFrame:
+    """threshold, tpr and fpr of at most about `most` points of the ROC curve, evenly along the scores; all of them if they are fewer."""
+    points = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(positive).alias("tp"), F.count_if(~positive).alias("fp"), F.lit(1).alias("one"))
+    run = _placed(points, "threshold", ["tp", "fp", "one"], blocks)
+    total = points.agg(F.sum("tp").alias("p"), F.sum("fp").alias("q"), F.count("*").alias("k"))
+    step = F.greatest(F.ceil(F.col("k") / most), F.lit(1))
+    kept = run.crossJoin(F.broadcast(total)).filter((F.col("_before_one") % step == 0) | (F.col("_before_one") == F.col("k") - 1))
+    return kept.select("threshold", F.round((F.col("_before_tp") + F.col("tp")) / F.nullif("p", F.lit(0)), 9).alias("tpr"), F.round((F.col("_before_fp") + F.col("fp")) / F.nullif("q", F.lit(0)), 9).alias("fpr"))
+
+
 def agreement(df: DataFrame, a: str, b: str, gold: str) -> DataFrame:
     """agree, n and how many of a are right; two missing answers don't agree."""
     same = F.coalesce(F.col(a) == F.col(b), F.lit(False))
@@ -132,9 +184,32 @@ def field_scores(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return rows.groupBy("field").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("said") == F.col("gold"), 1.0).otherwise(0.0)), 9).alias("accuracy"))
 
 
-def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact interpolated median and 95th percentile, and the largest value."""
-    return df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.round(F.percentile(value, F.lit(0.5)), 9).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 9).alias("p95"), F.max(value).alias("most"))
+def percentiles(df: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """by, p50, p95 (of the shares given) and the largest value, exactly, between the two values beside each place.
+
+    Values are counted before they are put in order, and those of a group are ordered in ranges, so a group that holds
+    most of the rows is in no single buffer.
+    """
+    names = [f"p{round(s * 100)}" for s in shares]
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = rows.approxQuantile("_v", [k / 64 for k in range(1, 64)], 0.001)
+    at = F.array_size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("_v"))) if cuts else F.lit(0)
+    ranged = rows.withColumn("_range", at)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_all"))
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_range").alias("_at"), F.coalesce(F.sum("_all").over(below), F.lit(0)).alias("_below"), F.sum("_all").over(Window.partitionBy(*by)).alias("_total"))
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)], F.col("_range") == F.col("_at"))
+    own = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_below") + F.coalesce(F.sum("_n").over(own), F.lit(0))
+    placed = ranged.join(sums, same).withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_n") - 1)
+    out = []
+    for name, share in zip(names, shares):
+        spot = (F.col("_total") - 1) * F.lit(share)
+        of = lambda k: F.max(F.when((F.col("_first") <= k) & (k <= F.col("_last")), F.col("_v")))
+        low, high = of(F.floor(spot)), of(F.ceil(spot))
+        part = F.max(spot - F.floor(spot))
+        out.append(F.round(low + (high - low) * part, 9).alias(name))
+    return placed.groupBy(*by).agg(*out, F.max("_v").alias("most"))
 
 
 def brier(df: DataFrame, probabilities: str, truth: str) -> DataFrame:
@@ -162,10 +237,29 @@ def bootstrap(df: DataFrame, value: str, resamples: int = 10_000, seed: int = 20
     return counted.groupBy().applyInPandas(draw, "mean double, low double, high double")
 
 
+def paired_bootstrap(df: DataFrame, a: str, b: str, resamples: int = 10_000, seed: int = 20261010) -> DataFrame:
+    """difference, low and high (95 % percentile interval) of two models' accuracy, the rows being drawn for both at once.
+
+    Drawing n rows gives multinomial numbers of the four outcomes, so only these four are counted, at any size.
+    """
+    x, y = F.coalesce(F.col(a).cast("int"), F.lit(0)), F.coalesce(F.col(b).cast("int"), F.lit(0))
+    counted = df.agg(F.count_if((x == 1) & (y == 0)).alias("only_a"), F.count_if((x == 0) & (y == 1)).alias("only_b"), F.count("*").alias("n"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        only_a, only_b, n = (int(pdf[c].iloc[0]) for c in ("only_a", "only_b", "n"))
+        if not n:
+            return pd.DataFrame({"difference": [None], "low": [None], "high": [None]})
+        drawn = np.random.default_rng(seed).multinomial(n, [only_a / n, only_b / n, 1 - (only_a + only_b) / n], resamples)
+        low, high = np.percentile((drawn[:, 0] - drawn[:, 1]) / n, [2.5, 97.5])
+        return pd.DataFrame({"difference": [(only_a - only_b) / n], "low": [low], "high": [high]})
+
+    return counted.groupBy().applyInPandas(draw, "difference double, low double, high double")
+
+
 def fold_rare(df: DataFrame, label: str, least: int, other: str) -> DataFrame:
     """`df` with labels of fewer than `least` rows replaced. The frequent labels are joined, no group is gathered."""
     kept = df.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(F.col(label).alias("_kept"))
-    return df.join(F.broadcast(kept), F.col(label) == F.col("_kept"), "left").withColumn(label, F.when(F.col(label).isNotNull(), F.coalesce("_kept", F.lit(other)))).drop("_kept")
+    return df.join(broadcast_if_small(kept), F.col(label) == F.col("_kept"), "left").withColumn(label, F.when(F.col(label).isNotNull(), F.coalesce("_kept", F.lit(other)))).drop("_kept")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, share: float = 0.2, seed: int = 7) -> DataFrame:
@@ -175,13 +269,13 @@ def stratified_split(df: DataFrame, key: str, stratum: str, share: float = 0.2,
     """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     held = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < share * 10_000
-    return df.join(F.broadcast(sizes), stratum, "left").withColumn("split", F.when(held & (F.col("_n") > 1), "holdout").otherwise("dev")).drop("_n")
+    return df.join(broadcast_if_small(sizes), stratum, "left").withColumn("split", F.when(held & (F.col("_n") > 1), "holdout").otherwise("dev")).drop("_n")
 
 
 def group_probabilities(df: DataFrame, key: str, probabilities: str, members: DataFrame) -> DataFrame:
     """key, group and the sum of the probabilities of the group's types; `members` has index (0-based) and group."""
     cells = df.select(key, F.posexplode(probabilities).alias("index", "_p"))
-    return cells.join(F.broadcast(members), "index").groupBy(key, "group").agg(F.sum("_p").alias("p"))
+    return cells.join(broadcast_if_small(members), "index").groupBy(key, "group").agg(F.sum("_p").alias("p"))
 
 
 def token_account(df: DataFrame, key: str, said: str, gold: str) -> DataFrame:

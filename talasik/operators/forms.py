@@ -21,58 +21,126 @@ LINES = (
     (True, "PANGALAN NG BARANGAY DESK OFFICER / IMBESTIGADOR", "desk_officer"),
     (True, "KATAYUAN", "status"),
 )
-STORY, ACTION = "E. SALAYSAY", "AKSYONG GINAWA"
+STORY, ACTION, SIGNED = "E. SALAYSAY", "AKSYONG GINAWA", "LAGDA NG SUMULAT NG SALAYSAY"
 HEADING, RULE, BLANK = "BLOTTER FORM", "=" * 50, "(not stated on page)"
+#: The older form, read but no longer rendered: heading, labels, and the headings of its two blocks of prose (fixed values).
+OLD_HEADING, OLD_STORY, OLD_ACTION = "BARANGAY BLOTTER ENTRY", "NARRATION OF FACTS", "ACTION TAKEN"
+OLD_LINES = (("DATE OF INCIDENT", "date"), ("TIME OF INCIDENT", "time"), ("PLACE OF INCIDENT", "location_purok"), ("COMPLAINANT", "reporting_party"), ("RESPONDENT", "respondent"), ("STATUS", "status"))
 SLOTS = tuple(s for _, _, s in LINES if s) + ("incident_summary", "action_taken")
 
 
+def _widths() -> dict[int, int]:
+    """Width of every line's label: consecutive lines of a kind line up their colons."""
+    out, group = {}, []
+    for i, (opens, label, slot) in enumerate((*LINES, (True, "", None))):
+        inside = slot and not opens or label in TOP
+        if group and (not inside or (label in TOP) != (LINES[group[0]][1] in TOP)):
+            wide = max(len(LINES[k][1]) for k in group)
+            out |= dict.fromkeys(group, wide)
+            group = []
+        if inside:
+            group.append(i)
+    return out
+
+
+#: Labels at the head of the form (fixed values).
+TOP = ("NO.", "PETSA NG PAGBLOTTER")
+
+
 def rendered(slots: dict[str, Column]) -> Column:
     """One form as text; blank slots read '(not stated on page)'."""
     value = lambda s: F.coalesce(F.nullif(F.trim(slots.get(s, F.lit(None).cast("string"))), F.lit("")), F.lit(BLANK))
+    wide = _widths()
     out: list[Column] = [F.lit(f"{HEADING}\n{RULE}")]
-    for opens, label, slot in LINES:
-        if label.startswith("LAGDA"):
-            out += [F.lit(f"\n{STORY}\n"), value("incident_summary"), F.lit("\n")]
-        out.append(F.lit(f"\n{'' if opens else '   '}{label}"))
+    for i, (opens, label, slot) in enumerate(LINES):
+        if label == SIGNED:
+            out += [F.lit(f"\n\n{STORY}\n"), value("incident_summary")]
+        if label == "KATAYUAN":
+            out.append(F.lit(f"\n\n{RULE}"))
+        parted = opens and label not in (*TOP, "KATAYUAN")
+        head = label if opens and label not in TOP else label.ljust(wide.get(i, 0))
+        out.append(F.lit(f"\n{chr(10) if parted else ''}{'' if opens else '   '}{head}"))
         if slot:
             out += [F.lit(" : "), value(slot)]
     return F.concat(*out, F.lit(f"\n\n{ACTION}\n"), value("action_taken"))
 
 
-def _value(text: str) -> str:
-    text = regex.sub(r"(?m)^\s*=+\s*$", "", text).strip()
-    return "" if text == BLANK else text
+class _Layout:
+    """What a line may be in one of the forms: a slot's label within its section, or the heading of a block of prose."""
+
+    def __init__(self, story: str, action: str, after_story: str | None, fields: list[tuple[str, str, str]], sections: frozenset[str]) -> None:
+        self.blocks = {story: "incident_summary", action: "action_taken"}
+        self.after_story, self.fields, self.sections = after_story, {(section, label): slot for section, label, slot in fields}, sections
+
+
+def _layouts() -> dict[str, _Layout]:
+    fields, section = [], ""
+    for opens, label, slot in LINES:
+        section = label if opens else section
+        if slot:
+            fields.append((section, label, slot))
+    new = _Layout(STORY, ACTION, SIGNED, fields, frozenset(label for opens, label, _ in LINES if opens))
+    return {HEADING: new, OLD_HEADING: _Layout(OLD_STORY, OLD_ACTION, None, [(label, label, slot) for label, slot in OLD_LINES], frozenset(label for label, _ in OLD_LINES))}
+
+
+_LAYOUTS = _layouts()
+
+
+def _told(value: str) -> str:
+    """A slot's value without rules of = and white space around it; '' for what wasn't stated."""
+    kept = "\n".join(x for x in value.split("\n") if not x.strip() or x.strip("= \t\r")).strip()
+    return "" if kept == BLANK else kept
 
 
 def read_forms(text: str | None) -> list[dict[str, str]]:
-    """Every form in the text as slots; text without a heading has none. Prose is cut out first, so it may hold labels."""
-    out = []
-    for body in regex.split(rf"(?mi)^\s*{HEADING}\s*$", text or "")[1:]:
-        slots = dict.fromkeys(SLOTS, "")
-        action = regex.search(rf"(?mi)^\s*{ACTION}\s*:?\s*$", body)
-        if action:
-            slots["action_taken"], body = _value(body[action.end() :]), body[: action.start()]
-        story = regex.search(rf"(?mi)^\s*{regex.escape(STORY)}\s*:?\s*$", body)
-        if story:
-            end = regex.compile(r"(?mi)^\s*LAGDA NG SUMULAT NG SALAYSAY\s*:?\s*$").search(body, story.end())
-            stop = end.start() if end else len(body)
-            slots["incident_summary"], body = _value(body[story.end() : stop]), body[: story.start()] + body[stop:]
-        section = ""
-        openers = {label for opens, label, _ in LINES if opens}
-        places = {}
-        now = ""
-        for opens, label, slot in LINES:
-            now = label if opens else now
-            places[now, label] = slot
-        for line in body.splitlines():
+    """Every form in the text, new or old, as slots; text without a heading has none.
+
+    Lines are read once. A block of prose goes on to the heading that ends it, whatever labels it holds: the story to
+    the signature or the action taken, the action to the end of the form.
+    """
+    forms: list[dict[str, str]] = []
+    layout, section, block, prose = None, "", "", {}
+    for line in (text or "").splitlines():
+        bare = line.strip().upper()
+        head = bare.removesuffix(":").rstrip()
+        if bare in _LAYOUTS:
+            layout, section, block, prose = _LAYOUTS[bare], "", "", {}
+            forms.append(dict.fromkeys(SLOTS, "") | {"_prose": prose})
+        elif layout is None:
+            continue
+        elif head in layout.blocks and layout.blocks[head] not in prose and block != "action_taken":
+            block = layout.blocks[head]
+            prose[block] = []
+        elif block == "incident_summary" and head == layout.after_story:
+            block, section = "", head
+        elif block:
+            prose[block].append(line)
+        else:
             label, colon, value = line.partition(":")
             label = label.strip().upper()
-            section = label if label in openers else section
-            slot = places.get((section, label))
+            section = label if label in layout.sections else section
+            slot = layout.fields.get((section, label))
             if colon and slot:
-                slots[slot] = _value(value)
-        out.append(slots)
-    return out
+                forms[-1][slot] = _told(value)
+    for form in forms:
+        for slot, lines in form.pop("_prose").items():
+            form[slot] = _told("\n".join(lines))
+    return forms
+
+
+def first_form(text: Column) -> Column:
+    """Slots of the first form in the text as a struct; NULL without one."""
+
+    @F.pandas_udf(", ".join(f"{s} string" for s in (*SLOTS, "is_form")))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [(read_forms(t) if t and _MAY_HOLD.search(t) else []) for t in texts]
+        return pd.DataFrame([{**(r[0] if r else dict.fromkeys(SLOTS)), "is_form": "y" if r else None} for r in rows], columns=[*SLOTS, "is_form"])
+
+    form = run(text)
+    return F.when(form["is_form"].isNotNull(), form)
+
+
+_MAY_HOLD = regex.compile(rf"(?mi)^\s*(?:{HEADING}|{OLD_HEADING})\s*$")
 
 
 def parsed(df: DataFrame, key: str, text: str) -> DataFrame:

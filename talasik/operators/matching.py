@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talasik.operators.skew import broadcast_if_small, skew_join
+from talasik.operators.skew import broadcast_if_small
 
 
 def lookup(df: DataFrame, key: str, dimension: DataFrame, dimension_key: str, defaults: dict[str, str]) -> DataFrame:
@@ -23,15 +27,59 @@ def keyword_categories(column: Column, taxonomy: list[tuple[str, list[str]]], fa
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(fallback)), F.try_element_at(found, F.lit(2))
 
 
+def pooled(gold: DataFrame, split: DataFrame, predictions: dict[str, DataFrame], key: str, groups: DataFrame | None = None) -> DataFrame:
+    """key, split, gold_type and, of every model, its type and whether that is right; with `groups` (type, group) also by group.
+
+    Fails unless keys are unique everywhere, every gold row has a split and each model has exactly the gold's keys. A
+    missing prediction is wrong.
+    """
+    def checked(df: DataFrame, name: str, against: DataFrame | None) -> None:
+        n, own = df.agg(F.count("*"), F.countDistinct(key)).first()
+        if n != own:
+            raise ValueError(f"{name}: {key} is not unique")
+        if against is not None and (not same_set(df.select(key), against.select(key)).first()["equal"]):
+            raise ValueError(f"{name}: other rows than the gold's")
+
+    checked(gold, "gold", None)
+    checked(split, "split", None)
+    if gold.join(split, key, "left_anti").limit(1).count():
+        raise ValueError("gold rows without a split")
+    out = gold.select(key, "gold_type").join(split.select(key, "split"), key)
+    group = broadcast_if_small(groups.select(F.col("type").alias("_type"), F.col("group").alias("_group"))) if groups is not None else None
+
+    def grouped(df: DataFrame, of: str, name: str) -> DataFrame:
+        return df if group is None else df.join(group, F.col(of) == F.col("_type"), "left").withColumnRenamed("_group", name).drop("_type")
+
+    out = grouped(out, "gold_type", "gold_group")
+    for name, df in predictions.items():
+        checked(df, name, gold)
+        out = out.join(df.select(key, F.col("pred_type").alias(f"{name}_type")), key).withColumn(f"{name}_right", F.coalesce(F.col(f"{name}_type") == F.col("gold_type"), F.lit(False)))
+        if group is not None:
+            out = grouped(out, f"{name}_type", f"{name}_group").withColumn(f"{name}_group_right", F.coalesce(F.col(f"{name}_group") == F.col("gold_group"), F.lit(False)))
+    return out
+
+
 def longest_inside(df: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """(key, entry) of the longest entry that stands in the text as whole words, ties to the first by name; NULL if none.
 
-    `entries` (entry) is a dimension: it is folded into one array literal beside each row, so no rows multiply.
+    Runs of words of the text meet the entries' words in an equi-join; what meets is looked at in the text as written.
     """
-    names = sorted({r["entry"] for r in entries.filter("entry <> ''").collect()}, key=lambda e: (-len(e), e))
-    low = F.lower(F.col(text))
-    tests = [F.when(F.contains(low, F.lit(n.lower())) & low.rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{n.lower()}\E(?![\p{{L}}\p{{N}}_])"), F.lit(n)) for n in names]
-    return df.select(key, (F.coalesce(*tests) if tests else F.lit(None).cast("string")).alias("entry"))
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
+    listed = entries.filter("entry <> ''").select("entry").distinct().withColumn("_run", F.array_join(words(F.col("entry")), " "))
+    longest = listed.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 0
+    if not longest:
+        return df.select(key, F.lit(None).cast("string").alias("entry"))
+    met = df.select(key, F.lower(text).alias("_low"), F.explode(F.array_distinct(runs(words(F.col(text)), longest))).alias("_run")).join(broadcast_if_small(listed), "_run")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower("entry"), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    best = met.filter(F.contains("_low", F.lower("entry")) & F.rlike("_low", whole)).groupBy(key).agg(F.min_by("entry", F.struct(-F.length("entry"), F.col("entry"))).alias("entry"))
+    return df.select(key).join(best, key, "left")
+
+
+def runs(words: Column, longest: int) -> Column:
+    """Every run of one to `longest` consecutive words, joined by spaces."""
+    none = F.array().cast("array<string>")
+    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(none)
+    return F.flatten(F.array(*[of(n) for n in range(1, longest + 1)]))
 
 
 def drift(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -59,19 +107,40 @@ def unseen(df: DataFrame, history: DataFrame, key: str) -> DataFrame:
 
 
 def replays(df: DataFrame, key: list[str], ts: str, order: str, seconds: int = 60) -> DataFrame:
-    """`df` with replay: whether the key occurred within the last `seconds` before this row.
+    """`df` with replay: whether a row of the key that is no replay itself stands within the last `seconds` before this one.
 
-    Keys are cut into time buckets, so that no key's rows meet in one task: a row looks at the one before it in its
-    own bucket and at the last row of the bucket before.
+    A replay isn't kept, so it doesn't put off the next row that is. Rows without a key or time are none. What a row is
+    depends on the rows before it back to the last gap of more than `seconds`, so rows are spread by key and the start
+    of their stretch and read in order, one at a time; starts are found in buckets of time, in which no key's rows all meet.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap, columns = max(seconds, 0) * 1_000_000, df.columns
     size = F.lit(max(seconds, 1) * 1_000_000 * 64)
-    rows = df.withColumn("_t", micros).withColumn("_bucket", F.floor(micros / size))
+    whole = F.col(ts).isNotNull()
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    rows = df.filter(whole).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_bucket", F.floor(F.col("_t") / size))
     own = Window.partitionBy(*key, "_bucket").orderBy("_t", order)
     last = rows.groupBy(*key, "_bucket").agg(F.max("_t").alias("_last")).withColumn("_bucket", F.col("_bucket") + 1)
-    seen = rows.withColumn("_before", F.lag("_t").over(own)).join(last, [*key, "_bucket"], "left")
-    before = F.coalesce("_before", "_last")
-    return seen.withColumn("replay", F.coalesce(F.col("_t") - before <= seconds * 1_000_000, F.lit(False))).drop("_t", "_bucket", "_before", "_last")
+    before = F.coalesce(F.lag("_t").over(own), F.col("_last"))
+    begun = rows.join(last, [*key, "_bucket"], "left").withColumn("_begin", F.when(before.isNull() | (F.col("_t") - before > gap), F.col("_t"))).drop("_last")
+    # the start of a stretch that began in an earlier bucket
+    opened = begun.groupBy(*key, "_bucket").agg(F.max("_begin").alias("_open"))
+    opened = opened.select(*key, "_bucket", F.last("_open", True).over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    placed = begun.withColumn("_begin", F.max("_begin").over(own.rowsBetween(Window.unboundedPreceding, 0))).join(opened, [*key, "_bucket"]).withColumn("_begin", F.coalesce("_begin", "_carried"))
+    ordered = placed.select(*df.columns, F.xxhash64(*key, "_begin").alias("_stretch"), "_t").repartition("_stretch").sortWithinPartitions("_stretch", *key, "_t", order)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, 0
+        for pdf in batches:
+            out = []
+            for k, t in zip(zip(pdf["_stretch"], *[pdf[c] for c in key]), pdf["_t"]):
+                out.append(k == now and t - kept <= gap)
+                if not out[-1]:
+                    now, kept = k, t
+            yield pdf[columns].assign(replay=out)
+
+    marked = ordered.mapInPandas(mark, T.StructType([*df.schema.fields, T.StructField("replay", T.BooleanType())]))
+    return marked.unionByName(df.filter(~whole).withColumn("replay", F.lit(False)))
 
 
 def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -81,15 +150,11 @@ def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
     return gone.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
-def enrich_skewed(df: DataFrame, dimension: DataFrame, on: list[str]) -> DataFrame:
-    """Left join of rows whose keys may be very unevenly spread with one row per key."""
-    return skew_join(df, dimension, on, "left")
-
-
-def upsert(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The table with changed rows replaced and new ones added; of several changes of a key the last by all columns counts."""
+def upsert(df: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The table with changed rows replaced and new ones added; of several changes of a key that with the largest `order` counts, then the last by all columns."""
     others = [c for c in df.columns if c != key]
-    latest = changes.groupBy(key).agg(F.max(F.struct(*others)).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns)
+    rank = F.struct(*([order] if order else []), *others)
+    latest = changes.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*df.columns)
     return df.join(latest.select(key), key, "left_anti").select(*df.columns).unionByName(latest)
 
 
@@ -118,8 +183,6 @@ def reading_order(boxes: DataFrame, page: str) -> DataFrame:
     A box joins the line above it if its middle lies within half a height of that line's running middle. The lines
     of a page depend on one another, so a page is read in one task; pages are small and many.
     """
-    import pandas as pd
-
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.assign(_m=pdf["y"] + pdf["height"] / 2).sort_values(["_m", "x"], kind="stable")
         lines, middle, count, no = [], None, 0, 0

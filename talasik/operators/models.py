@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talasik.functions.dates import month_of, period_of, weekday_of
 from talasik.functions.text import ENGLISH_STOPS, TAGALOG_STOPS, tokens
 from talasik.operators.evaluation import averages, per_class
+from talasik.operators.skew import broadcast_if_small
 
 
 def structured(df: DataFrame, day: str = "incident_date", time: str = "incident_time", place: str = "location_purok") -> DataFrame:
@@ -44,7 +45,7 @@ def prepared(df: DataFrame, text: str, label: str) -> DataFrame:
     sizes = rows.groupBy("label_text").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     weights = sizes.crossJoin(F.broadcast(total)).select("label_text", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return rows.join(F.broadcast(weights), "label_text", "left")
+    return rows.join(broadcast_if_small(weights), "label_text", "left")
 
 
 def candidates(trees: int = 200, seed: int = 42) -> dict[str, Estimator]:
@@ -53,11 +54,11 @@ def candidates(trees: int = 200, seed: int = 42) -> dict[str, Estimator]:
     return {
         "naive_bayes": NaiveBayes(**common), "logistic": LogisticRegression(weightCol="weight", maxIter=50, **common),
         "svm": OneVsRest(classifier=LinearSVC(maxIter=30), weightCol="weight", **common), "tree": DecisionTreeClassifier(weightCol="weight", seed=seed, **common),
-        "forest": RandomForestClassifier(weightCol="weight", numTrees=trees, seed=seed, **common), "boosted": OneVsRest(classifier=GBTClassifier(maxIter=20, maxDepth=4, seed=seed), **common),
+        "forest": RandomForestClassifier(weightCol="weight", numTrees=trees, seed=seed, **common), "boosted": OneVsRest(classifier=GBTClassifier(maxIter=100, maxDepth=4, seed=seed), **common),
     }
 
 
-def train_and_compare(train: DataFrame, test: DataFrame, text: str, label: str, names: tuple[str, ...] = ("naive_bayes", "logistic", "forest")) -> tuple[PipelineModel, DataFrame]:
+def train_and_compare(train: DataFrame, test: DataFrame, text: str, label: str, names: tuple[str, ...] = ("naive_bayes", "logistic", "svm", "tree", "forest", "boosted")) -> tuple[PipelineModel, DataFrame]:
     """Best pipeline by macro F1 (the first of equals) and (model, macro_f1, weighted_f1) of all."""
     spark = train.sparkSession
     rows, held = prepared(train, text, label).cache(), prepared(test, text, label).cache()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 import os
 
 import pandas as pd
@@ -20,14 +21,16 @@ PREFIX = "v1:"
 def names_in(remarks: Column) -> Column:
     """Names after labels such as 'Complainant:', up to four words each; none for NULL.
 
-    Lists split at commas, slashes, ampersands and 'and'; what stands in parentheses is dropped.
+    Remarks are clauses parted by semicolons; a clause that begins with a label lists names. What stands in parentheses
+    is no part of one.
     """
-    listed = F.regexp_extract_all(remarks, F.lit(rf"(?i)(?:{'|'.join(LABELS)})\s*:\s*([^;]+)"), F.lit(1))
-    parts = F.flatten(F.transform(listed, lambda x: F.split(x, r"(?i),| and | & |/")))
-    bare = F.transform(parts, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\(.*?\)", "")), r"^\.+|\.+$", ""))
-    count = lambda x: F.size(F.split(x, r"\s+"))
-    good = lambda x: (x != "") & (count(x) <= 4) & ((count(x) > 1) | ((F.length(x) > 2) & ~F.lower(x).isin(*NOT_NAMES)))
-    return F.coalesce(F.filter(bare, good), F.array().cast("array<string>"))
+    clauses = F.split(F.regexp_replace(remarks, r"\([^)]*\)", ""), ";")
+    labelled = F.filter(clauses, lambda c: F.contains(c, F.lit(":")) & F.lower(F.regexp_extract(c, r"([^\s:,]+)\s*:", 1)).isin(*LABELS))
+    listed = F.transform(labelled, lambda c: F.regexp_replace(F.substring_index(c, ":", -1), r"(?i)\s(?:and|&)\s|/", ","))
+    parts = F.transform(F.split(F.array_join(listed, ","), ","), lambda x: F.btrim(F.btrim(x), F.lit(".")))
+    words = lambda x: F.size(F.split(x, r"\s+"))
+    name = lambda x: words(x).between(2, 4) | ((words(x) == 1) & (F.length(x) > 2) & ~F.lower(x).isin(*NOT_NAMES))
+    return F.coalesce(F.filter(parts, name), F.array().cast("array<string>"))
 
 
 def _mask(text: str | None, names: list[str] | None, placeholder: str) -> str | None:
@@ -59,12 +62,23 @@ def key_from_environment(name: str = "TALASIK_KEY") -> bytes:
 
 
 def digest(text: Column, key: bytes) -> Column:
-    """HMAC-SHA256 in hex of the stripped, lower-case text, natively; NULL for blanks."""
-    block = key.ljust(64, b"\0")
-    inner, outer = (bytes(b ^ x for b in block).hex() for x in (0x36, 0x5C))
-    message = F.encode(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), "UTF-8")
-    first = F.unhex(F.sha2(F.concat(F.unhex(F.lit(inner)), message), 256))
-    return F.when(F.length(F.trim(text)) > 0, F.sha2(F.concat(F.unhex(F.lit(outer)), first), 256))
+    """HMAC-SHA256 in hex of the stripped, lower-case text; NULL for blanks. The key is no part of the plan."""
+
+    @F.pandas_udf("string")
+    def keyed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: hmac.new(key, v.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
+
+    return keyed(F.when(F.length(F.trim(text)) > 0, F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))))
+
+
+def _secret(text: Column, key: bytes) -> Column:
+    """The key beside every row, made on the executor: as a literal it would be in plans and event logs."""
+
+    @F.pandas_udf("binary")
+    def held(values: pd.Series) -> pd.Series:
+        return pd.Series([key] * len(values), dtype=object)
+
+    return held(text)
 
 
 def encrypted(text: Column, key: bytes, column: str) -> Column:
@@ -72,13 +86,13 @@ def encrypted(text: Column, key: bytes, column: str) -> Column:
 
     `text` must be a column: a literal would be folded and share one nonce between rows.
     """
-    sealed = F.aes_encrypt(text, F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(column.encode()))
+    sealed = F.aes_encrypt(text, _secret(text, key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(column.encode()))
     return F.when(text.startswith(PREFIX), text).otherwise(F.concat(F.lit(PREFIX), F.base64(sealed)))
 
 
 def decrypted(text: Column, key: bytes, column: str) -> Column:
     """The inverse; text without the mark passes, a wrong key, column or byte raises."""
-    opened = F.aes_decrypt(F.unbase64(F.substring(text, len(PREFIX) + 1, 1 << 30)), F.unhex(F.lit(key.hex())), F.lit("GCM"), F.lit("DEFAULT"), F.lit(column.encode()))
+    opened = F.aes_decrypt(F.unbase64(F.substring(text, len(PREFIX) + 1, 1 << 30)), _secret(text, key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(column.encode()))
     return F.when(text.startswith(PREFIX), opened.cast("string")).otherwise(text)
 
 
@@ -90,9 +104,9 @@ _LINE = regex.compile(rf"(?m)^(\s*({'|'.join(map(regex.escape, NAME_LINES + CONT
 
 def _names(value: str) -> list[str]:
     """As `names_in`, of one value that stands after a label."""
-    parts = regex.split(r"(?i),| and | & |/", value.split(";")[0])
-    bare = [regex.sub(r"^\.+|\.+$", "", regex.sub(r"\(.*?\)", "", p).strip()) for p in parts]
-    return [b for b in bare if b and len(b.split()) <= 4 and (len(b.split()) > 1 or len(b) > 2 and b.lower() not in NOT_NAMES)]
+    listed = regex.sub(r"(?i)\s(?:and|&)\s|/", ",", regex.sub(r"\([^)]*\)", "", value.split(";")[0]))
+    parts = [p.strip().strip(".") for p in listed.split(",")]
+    return [p for p in parts if 2 <= len(p.split()) <= 4 or len(p.split()) == 1 and len(p) > 2 and p.lower() not in NOT_NAMES]
 
 
 def _redact(text: str | None, blank: str, placeholder: str) -> str:

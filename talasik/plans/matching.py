@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talasik.operators import matching as M
+from talasik.operators.skew import broadcast_if_small
 from talasik.session import table
 
 QUERIES, SQL = {}, {}
@@ -16,7 +17,7 @@ def _add(name, query, sql=None):
         SQL[name] = sql
 
 
-#: Keywords of incident types in three languages, most specific first (fixed values).
+#: Keywords of incident types in three languages, most specific first; an input of the operator.
 KEYWORDS = [
     ("Robbery", ["robbery", "hold-up", "pinasok ng hindi"]), ("Theft", ["theft", "nakaw", "stolen", "kinuha ng"]), ("Physical Injury", ["physical injury", "sinaktan", "struck on the arm"]),
     ("Oral Defamation", ["slander", "minura", "insulting words"]), ("Noise Complaint", ["noise", "ingay", "videoke"]), ("Animal-Related Incident", ["aso", "hayop", "dog bit"]),
@@ -56,14 +57,17 @@ def _import_stats(s, d):
 _add("import_stats", _import_stats, """
 WITH r AS (SELECT record_id, nullif(trim(narrative_summary), '') AS n, readability FROM scan_blotter), k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(n)) ORDER BY record_id) AS k FROM r)
 SELECT CASE WHEN n IS NULL THEN 'skipped_blank' WHEN k > 1 THEN 'skipped_existing' WHEN readability = 'unreadable' THEN 'saved_excluded' ELSE 'saved' END AS disposition, count(*) AS n FROM k GROUP BY 1""")
-_add("replay_guard", lambda s, d: M.replays(table(s, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id", 3600).filter("replay").select("event_id"), """
-SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) WHERE gap <= 3600000000""")
+_add("replay_guard", lambda s, d: M.replays(table(s, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id", 60).filter("replay").select("event_id"), """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+kept AS (SELECT user_id, event_type, k, ts FROM e WHERE k = 1 UNION ALL
+  SELECT s.user_id, s.event_type, min(e.k) AS k, min(e.ts) AS ts FROM kept s JOIN e ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.k > s.k AND e.ts > s.ts + INTERVAL 60 SECOND GROUP BY s.user_id, s.event_type, s.k)
+SELECT event_id FROM e ANTI JOIN kept USING (user_id, event_type, k)""")
 _add("unseen_records", lambda s, d: M.unseen(table(s, d, "scan_blotter").select("record_id"), table(s, d, "encoder_label"), "record_id"), "SELECT record_id FROM scan_blotter WHERE record_id NOT IN (SELECT record_id FROM encoder_label WHERE record_id IS NOT NULL)")
 _add("union_dev_holdout", lambda s, d: table(s, d, "scan_blotter").filter("fold = 'train'").select("record_id", "fold").unionByName(table(s, d, "scan_blotter").filter("fold = 'test'").select("record_id", "fold")), "SELECT record_id, fold FROM scan_blotter WHERE fold IN ('train', 'test')")
 _add("set_equality", lambda s, d: M.same_set(table(s, d, "scan_blotter").filter("encoded_by IS NOT NULL").select("encoded_by"), table(s, d, "encoder").select(F.col("encoder_code").alias("encoded_by"))), """
 WITH a AS (SELECT DISTINCT encoded_by FROM scan_blotter WHERE encoded_by IS NOT NULL), b AS (SELECT DISTINCT encoder_code FROM encoder)
 SELECT count(*) FILTER (b.encoder_code IS NULL) AS only_left, count(*) FILTER (a.encoded_by IS NULL) AS only_right, count(*) FILTER (b.encoder_code IS NULL) = 0 AND count(*) FILTER (a.encoded_by IS NULL) = 0 AS equal FROM a FULL JOIN b ON encoded_by = encoder_code""")
-_add("labels_unknown", lambda s, d: table(s, d, "scan_blotter").select(F.lower(F.trim("incident_type")).alias("label")).filter("label IS NOT NULL").distinct().join(F.broadcast(table(s, d, "incident_type_ref").select(F.lower("type_name").alias("label"))), "label", "left_anti"), """
+_add("labels_unknown", lambda s, d: table(s, d, "scan_blotter").select(F.lower(F.trim("incident_type")).alias("label")).filter("label IS NOT NULL").distinct().join(broadcast_if_small(table(s, d, "incident_type_ref").select(F.lower("type_name").alias("label"))), "label", "left_anti"), """
 SELECT DISTINCT lower(trim(incident_type)) AS label FROM scan_blotter WHERE incident_type IS NOT NULL AND lower(trim(incident_type)) NOT IN (SELECT lower(type_name) FROM incident_type_ref)""")
 _add("latest_label", lambda s, d: table(s, d, "encoder_label").groupBy("record_id", "encoder_code").agg(F.max_by("incident_type", F.struct("labelled_at", "incident_type")).alias("incident_type")), """
 SELECT record_id, encoder_code, incident_type FROM (SELECT *, row_number() OVER (PARTITION BY record_id, encoder_code ORDER BY labelled_at DESC, incident_type DESC) AS k FROM encoder_label) WHERE k = 1""")

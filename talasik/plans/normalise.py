@@ -33,8 +33,10 @@ SELECT record_id, CASE WHEN regexp_matches(x, '^\d{2}:\d{2}$') THEN x
 WHEN regexp_matches(x, '(?i)^(\d{1,2}):(\d{2})\s*(AM|PM)?$') THEN lpad(CAST(CASE WHEN half = 'PM' AND h <> 12 THEN h + 12 WHEN half = 'AM' AND h = 12 THEN 0 ELSE h END AS VARCHAR), 2, '0') || ':' || regexp_extract(x, ':(\d{2})', 1)
 WHEN regexp_matches(x, '^\d{4}$') THEN x[1:2] || ':' || x[3:4] END AS time FROM p""")
 _add("normalise_batch", lambda s, d: _blotter(s, d, "batch_number").select("record_id", F.nullif(F.upper(T.strip(F.col("batch_number"))), F.lit("")).alias("batch")), "SELECT record_id, nullif(upper(trim(batch_number)), '') AS batch FROM scan_blotter")
-_ZONE_SQL = r"""regexp_extract({x}, '(?i)(?:purok|\bprk\.?|\bp-)\s*#?\s*(\d+|[ivx]{{1,4}}(?:[^a-z]|$))', 1)"""
-_add("zone_numbers", lambda s, d: _blotter(s, d, "location_purok").select("record_id", P.zone_number(F.col("location_purok")).alias("zone")))
+_ROMAN = "MAP {" + ", ".join(f"'{r}': '{i}'" for i, r in enumerate(P.ROMAN, 1)) + "}"
+_ZONE = r"""list_filter(list_transform(regexp_extract_all(upper({x}), '(?:PUROK|\bPRK\b\.?|\bP-)[\s#]*([0-9A-Z]+(?:\s+[A-Z]\b)?)', 1),
+ lambda z: 'Purok ' || coalesce(nullif(regexp_extract(z, '^(\d+)\s*[A-Z]?$', 1), ''), """ + _ROMAN.replace("{", "{{").replace("}", "}}") + r"""[regexp_extract(z, '^([IVX]+)(?:\s+[A-Z])?$', 1)]) || regexp_extract(z, '^(?:\d+\s*|[IVX]+\s+)([A-Z])$', 1)), lambda z: z IS NOT NULL)[1]"""
+_add("zone_numbers", lambda s, d: _blotter(s, d, "location_purok").select("record_id", P.zone_number(F.col("location_purok")).alias("zone")), f"SELECT record_id, {_ZONE.format(x='location_purok')} AS zone FROM scan_blotter")
 _add("zone_or_segment", lambda s, d: _blotter(s, d, "location_purok").select("record_id", P.zone_or_segment(F.col("location_purok")).alias("place")))
 _add("place_keys", lambda s, d: table(s, d, "place_ref").select("place_id", P.place_key(F.col("place_name")).alias("key")), r"""
 SELECT place_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(place_name), '[^\p{L}\p{N}]+', ' ', 'g'), '\bstreet\b', 'st', 'g'), '\bavenue\b', 'ave', 'g'), '\bsubdivision\b', 'subd', 'g'), '\bbarangay\b', 'brgy', 'g'), '\bcompound\b', 'comp', 'g')) AS key FROM place_ref""")

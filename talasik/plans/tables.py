@@ -18,7 +18,7 @@ def _add(name, query, sql=None):
         SQL[name] = sql
 
 
-_add("upserted", lambda s, d: M.upsert(table(s, d, "encoder").select("user_id", "encoder_code", "desk"), table(s, d, "encoder").filter("user_id % 2 = 0").select(F.when(F.col("user_id") == 102, 999).otherwise(F.col("user_id")).cast("bigint").alias("user_id"), "encoder_code", F.lit("Desk 9").alias("desk")), "user_id"), """
+_add("upserted", lambda s, d: M.upsert(table(s, d, "encoder").select("user_id", "encoder_code", "desk"), table(s, d, "encoder").filter("user_id % 2 = 0").select(F.when(F.col("user_id") == 102, 999).otherwise(F.col("user_id")).cast("bigint").alias("user_id"), "encoder_code", F.lit("Desk 9").alias("desk")), "user_id", "encoder_code"), """
 WITH c AS (SELECT CASE WHEN user_id = 102 THEN 999 ELSE user_id END AS user_id, encoder_code, 'Desk 9' AS desk FROM encoder WHERE user_id % 2 = 0)
 SELECT user_id, encoder_code, desk FROM encoder WHERE user_id NOT IN (SELECT user_id FROM c) UNION ALL SELECT * FROM c""")
 _add("fixed_up", lambda s, d: M.fixed_up(table(s, d, "scan_blotter").select("record_id", "status"), table(s, d, "scan_blotter").filter("record_id % 7 = 0").select("record_id", F.when(F.col("record_id") % 2 == 0, "none").otherwise("Settled").alias("status")), "record_id", ["status"]), """

@@ -48,7 +48,7 @@ SELECT record_id, CAST(1 AS INT) AS entry_no, coalesce(trim(incident_date), '')
 coalesce(trim(action_taken), '') AS action_taken, coalesce(replace(trim(action_taken), 'e', 'E'), '') AS incident_summary FROM scan_blotter""")
 _add("word_lexicon", lambda s, d: C.lexicon(table(s, d, "incident_record"), "narrative"), r"""
 SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(upper(narrative), '([\p{L}\d]{2,})', 1)) AS token FROM incident_record) GROUP BY token HAVING count(*) >= 2""")
-_add("lexicon_corrections", lambda s, d: C.corrections(table(s, d, "ocr_calibration"), "ocr_text", C.lexicon(table(s, d, "incident_record"), "narrative", 5)))
+_add("lexicon_corrections", lambda s, d: C.corrections(table(s, d, "ocr_calibration"), "ocr_text", C.lexicon(table(s, d, "incident_record"), "narrative")))
 _GOLD = lambda s, d: table(s, d, "ocr_calibration").filter("gold_text IS NOT NULL AND ocr_text IS NOT NULL")
 _add("glyph_confusions", lambda s, d: C.confusions(_GOLD(s, d), "ocr_text", "gold_text"))
 _add("rewrite_fidelity", lambda s, d: _GOLD(s, d).select("source_file", C.fidelity("gold_text", "ocr_text").alias("f")).select("source_file", "f.*"))

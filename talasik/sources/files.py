@@ -12,7 +12,7 @@ from talasik.functions.text import strip
 
 #: Header names that mean one column (fixed values).
 ALIASES = {
-    "date": "incident_date", "time": "incident_time", "location": "location_purok", "location_purok": "location_purok", "purok": "location_purok", "complainant": "reporting_party",
+    "date": "incident_date", "time": "incident_time", "date_of_incident": "incident_date", "time_of_incident": "incident_time", "place_of_incident": "location_purok", "source_file": "source_file_page", "location": "location_purok", "location_purok": "location_purok", "purok": "location_purok", "complainant": "reporting_party",
     "narrative": "narrative_summary", "narration": "narrative_summary", "incident_summary": "narrative_summary", "narrative_summary": "narrative_summary", "incident_type_primary": "incident_type",
     "batch": "batch_number", "encoder": "encoded_by", "include_in_ml": "include_in_ml",
 }

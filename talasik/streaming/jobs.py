@@ -14,10 +14,11 @@ from talasik.operators.matching import unseen
 
 
 def without_replays(stream: DataFrame, key: list[str], ts: str, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """Rows with no row of the key within `seconds` before them, as `replays` marks them; state goes once the watermark has passed.
+    """Rows that are no replay of one let through, as `replays` marks them; state goes once the watermark has passed.
 
-    A key's state is the spans its rows cover, so it stays small however often the key comes. A row that comes after
-    one later than itself by up to `seconds` is a replay too. Rows later than `late` are dropped, rows without a time pass.
+    A key's state is the times of the rows let through that later ones may still be held against, so it stays small
+    however often the key comes. Rows are judged in the order they come, those of a batch by time. Rows later than
+    `late` are dropped, rows without a time pass.
     """
     gap = seconds * 1_000_000
     stamped = stream.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -29,26 +30,25 @@ def without_replays(stream: DataFrame, key: list[str], ts: str, seconds: int = 6
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
-        spans = [list(x) for x in zip(*state.get)] if state.exists else []
-        fresh, ends = [], []
+        kept = list(state.get[0]) if state.exists else []
+        fresh = []
         for t in rows["_t"].tolist():
             if t != t or t is None:
                 fresh.append(True)
                 continue
-            t = int(t)
-            near = [x for x in spans if x[0] - gap <= t <= x[1] + gap]
-            fresh.append(not near)
-            spans = [x for x in spans if x not in near] + [[min([t, *(x[0] for x in near)]), max([t, *(x[1] for x in near)])]]
+            fresh.append(not any(0 <= t - x <= gap for x in kept))
+            if fresh[-1]:
+                kept.append(int(t))
         mark = state.getCurrentWatermarkMs()
-        spans = sorted(x for x in spans if (x[1] + gap) // 1000 >= mark)
-        if spans:
-            state.update(tuple(map(list, zip(*spans))))
-            state.setTimeoutTimestamp(max(mark, (max(x[1] for x in spans) + gap) // 1000) + 1)
+        kept = sorted(x for x in kept if (x + gap) // 1000 >= mark)
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max(mark, (kept[-1] + gap) // 1000) + 1)
         elif state.exists:
             state.remove()
         yield rows[fresh][columns]
 
-    return timed.groupBy(*key).applyInPandasWithState(run, stamped.schema, "lo array<bigint>, hi array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy(*key).applyInPandasWithState(run, stamped.schema, "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trend(stream: DataFrame, ts: str, unit: str = "month") -> DataFrame:

@@ -132,7 +132,7 @@ def test_corrections(spark):
     words = spark.createDataFrame([("PUROK", 9), ("PUNO", 5), ("NAKAKITA", 5)], "token string, freq bigint")
     df = spark.createDataFrame([("PUR0K at NAKAKlTA, KASAGUTAN",), (None,)], WORDS)
     got = {r.token: r.correction for r in correction.corrections(df, "x", words).collect()}
-    assert got == {"PUR0K": "PUROK", "NAKAKLTA": "NAKAKITA"} or got == {"PUR0K": "PUROK"}
+    assert got == {"NAKAKLTA": "NAKAKITA"}  # L is read for I; a digit is no letter's double, so PUR0K isn't sure enough
 
 
 def test_fidelity_and_recall(spark):
@@ -189,6 +189,6 @@ def test_redacted_form(spark):
     slots = {"reporting_party": "Ana Cruz", "respondent": "Ben Diaz Jr.", "complainant_contact": "0917 555 1234", "complainant_address": "12 Mabini", "incident_summary": "Si ANA CRUZ at si Diaz, tawag sa 0917 555 1234. Umalis si Ben.", "action_taken": "Kinausap"}
     df = spark.range(1).select(privacy.redact_names(forms.rendered({k: F.lit(v) for k, v in slots.items()})).alias("t"), privacy.redact_names(F.lit(None).cast("string")).alias("none"), privacy.redact_names(F.lit("COMPLAINANT: Ana Cruz\nNARRATIVE: Cruz came")).alias("old"))
     got = df.first()
-    assert "Si [REDACTED] at si [REDACTED], tawag sa [REDACTED]. Umalis si [REDACTED]." in got.t and "TIRAHAN : [REDACTED]" in got.t and "Kinausap" in got.t
+    assert "Si [REDACTED] at si [REDACTED], tawag sa [REDACTED]. Umalis si [REDACTED]." in got.t and "TIRAHAN     : [REDACTED]" in got.t and "Kinausap" in got.t
     assert not any(x in got.t for x in ("Ana", "Cruz", "Ben", "Diaz", "0917", "Mabini"))
     assert (got.none, got.old) == ("", "COMPLAINANT: [REDACTED]\nNARRATIVE: [REDACTED] came")
