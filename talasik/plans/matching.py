@@ -35,8 +35,9 @@ def _keywords(s, d):
 _HITS = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{k}')" for k in ks) + f" THEN '{n}' END" for n, ks in KEYWORDS) + "], lambda x: x IS NOT NULL)"
 _add("keyword_category", _keywords, f"SELECT doc_id, coalesce({_HITS}[1], 'Others / Miscellaneous') AS \"first\", {_HITS}[2] AS second FROM documents")
 _add("longest_containment", lambda s, d: M.longest_inside(table(s, d, "scan_blotter"), "record_id", "narrative_summary", table(s, d, "place_ref").select(F.col("place_name").alias("entry"))), r"""
-WITH h AS (SELECT record_id, place_name AS entry, row_number() OVER (PARTITION BY record_id ORDER BY length(place_name) DESC, place_name) AS k FROM scan_blotter JOIN place_ref
-ON contains(lower(narrative_summary), lower(place_name)) AND regexp_matches(lower(narrative_summary), '(^|[^\p{L}\p{N}_])' || regexp_replace(lower(place_name), '([.()])', '\\\1', 'g') || '($|[^\p{L}\p{N}_])'))
+WITH w AS (SELECT record_id, lower(narrative_summary) AS low, ' ' || regexp_replace(lower(narrative_summary), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ' AS words FROM scan_blotter),
+p AS (SELECT DISTINCT place_name, lower(place_name) AS low, ' ' || trim(regexp_replace(lower(place_name), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ' AS words FROM place_ref),
+h AS (SELECT record_id, place_name AS entry, row_number() OVER (PARTITION BY record_id ORDER BY length(place_name) DESC, place_name) AS k FROM w JOIN p ON contains(w.words, p.words) AND contains(w.low, p.low))
 SELECT b.record_id, entry FROM scan_blotter b LEFT JOIN h ON h.record_id = b.record_id AND k = 1""")
 _add("reference_drift", lambda s, d: M.drift(table(s, d, "nation"), table(s, d, "nation").filter("n_nationkey <> 3").withColumn("n_name", F.when(F.col("n_nationkey") == 7, F.lit("ELSEWHERE")).otherwise(F.col("n_name"))), "n_nationkey", ["n_name", "n_regionkey"]), """
 WITH b AS (SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 'ELSEWHERE' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 3),
