@@ -70,7 +70,7 @@ def longest_inside(df: DataFrame, key: str, text: str, entries: DataFrame) -> Da
     if not longest:
         return df.select(key, F.lit(None).cast("string").alias("entry"))
     split = df.select(key, F.lower(text).alias("_low"), words(F.col(text)).alias("_words"))  # once a row, not once a run
-    met = split.select(key, "_low", F.explode(F.array_distinct(runs(F.col("_words"), longest))).alias("_run")).join(broadcast_if_small(listed), "_run")
+    met = split.select(key, "_low", F.explode(runs(F.col("_words"), longest)).alias("_run")).join(broadcast_if_small(listed), "_run")
     whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower("entry"), F.lit(r"\E(?![\p{L}\p{N}_])"))
     best = met.filter(F.contains("_low", F.lower("entry")) & F.rlike("_low", whole)).groupBy(key).agg(F.min_by("entry", F.struct(-F.length("entry"), F.col("entry"))).alias("entry"))
     return df.select(key).join(best, key, "left")
