@@ -62,15 +62,13 @@ def pooled(gold: DataFrame, split: DataFrame, predictions: dict[str, DataFrame],
 def longest_inside(df: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """(key, entry) of the longest entry that stands in the text as whole words, ties to the first by name; NULL if none.
 
-    Runs of words of the text meet the entries' words in an equi-join; what meets is looked at in the text as written.
+    Words of the text meet the entries in an equi-join on the word of an entry that the fewest entries have; what meets
+    is looked at in the text as written.
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
-    listed = entries.filter("entry <> ''").select("entry").distinct().withColumn("_run", F.array_join(words(F.col("entry")), " "))
-    longest = listed.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 0
-    if not longest:
-        return df.select(key, F.lit(None).cast("string").alias("entry"))
-    split = df.select(key, F.lower(text).alias("_low"), words(F.col(text)).alias("_words"))  # once a row, not once a run
-    met = split.select(key, "_low", F.explode(runs(F.col("_words"), longest)).alias("_run")).join(broadcast_if_small(listed), "_run")
+    told = entries.filter("entry <> ''").select("entry").distinct().select("entry", F.explode(words(F.col("entry"))).alias("_word"))
+    listed = told.join(told.groupBy("_word").agg(F.count("*").alias("_n")), "_word").groupBy("entry").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    met = df.select(key, F.lower(text).alias("_low"), F.explode(words(F.col(text))).alias("_word")).join(broadcast_if_small(listed), "_word")
     whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.lower("entry"), F.lit(r"\E(?![\p{L}\p{N}_])"))
     best = met.filter(F.contains("_low", F.lower("entry")) & F.rlike("_low", whole)).groupBy(key).agg(F.min_by("entry", F.struct(-F.length("entry"), F.col("entry"))).alias("entry"))
     return df.select(key).join(best, key, "left")
