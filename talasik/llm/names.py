@@ -1,7 +1,8 @@
 """Spellings that name the same party (problem 1).
 
 Cells are stripped of contact details and titles. Each distinct spelling is a vector of character n-grams
-weighted by rarity; a sparse cosine join with prefix filtering gives all pairs above a threshold, the cosine,
+weighted by rarity; a sparse cosine join with prefix filtering gives all pairs above a threshold, of which those
+whose surnames lie too far apart to score are left out before anything of them is shuffled. The cosine,
 adjusted by how well the name's parts agree, is their score, and exact average-linkage clustering, run as
 rounds of mutual best merges, groups them.
 """
@@ -16,7 +17,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talasik.llm.mapping import distance
@@ -279,6 +280,38 @@ def alike_key(name: Name, givens: Givens) -> str | None:
     return "|".join(["p", name.words[i], " ".join(w for k, w in enumerate(name.words) if k != i), name.suffix, name.nick])
 
 
+def alike_parts(name: Name, givens: Givens) -> tuple[str, str]:
+    """(side, word): spellings score above 0 only if their sides are equal and `same_word` of their words is above 0.
+
+    Empty for those that `alike_key` gives None for: they match nothing.
+    """
+    if name.organisation and name.words:
+        return "|".join(["o", name.suffix, " ".join(sorted(name.marks)), str(len(name.words))]), name.words[0]
+    if len(name.words) < 2:
+        return "", ""
+    return f"p|{name.suffix}", name.words[givens.surname_at(name)]
+
+
+def letters(word: str) -> int:
+    """Its letters as bits; two words differ in at least as many letters as in bits."""
+    return sum(1 << b for b in {ord(c) % 63 for c in word})
+
+
+def may_be_same(x: str, y: str) -> Column:
+    """False only where `same_word` is 0, of the words (word, folded, letters, folded_letters) of the sides x and y of a join.
+
+    Edits that cost up to 1 are at most two insertions, deletions and replacements, those up to 2 at most four.
+    """
+    both = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    (a, b), (p, q) = both("word"), both("folded")
+    size = lambda c, d: F.least(F.length(c), F.length(d))
+    apart = F.least(F.abs(F.length(a) - F.length(b)), F.abs(F.length(p) - F.length(q)))
+    others = F.least(*[F.bit_count(c.bitwiseXOR(d)) for c, d in (both("letters"), both("folded_letters"))])
+    near = lambda most: (F.levenshtein(p, q, most) >= 0) | (F.levenshtein(a, b, most) >= 0)
+    n = F.greatest(size(a, b), size(p, q))
+    return (others <= 4) & (apart <= 2) & ((p == q) | ((n >= 4) & (n < 8) & near(2)) | ((n >= 8) & near(4)))
+
+
 def features(text: str, givens: Givens) -> set[str]:
     """Character n-grams of the cleaned name: those of the surname, each with the initial a given name may have, the
     initials of its other words and its suffix; of an organisation, those of all its words.
@@ -322,10 +355,11 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("bigint"))
 
 
-def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE) -> DataFrame:
+def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE, parts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, cosine), a < b, of `names` (id, name) whose n-gram vectors reach the threshold; none is missed.
 
-    With a column n a row counts as n names.
+    With a column n a row counts as n names. With `parts` (id, side, word, folded, letters, folded_letters) pairs
+    that surely score 0 are left out: those of different sides or with words that can't be the same, and ids without a row there.
 
     Of each vector only its rarest n-grams are joined, as many as leave a rest whose length is below the
     threshold: two vectors that reach it share one of these. The full cosine is computed for those pairs.
@@ -347,6 +381,9 @@ def cosine_pairs(names: DataFrame, givens: Givens, threshold: float = COSINE) ->
     # at the rarest n-gram two vectors share, the cosine is at most its own part and what the lengths of the rests allow
     enough = F.col("x.u") * F.col("y.u") + F.col("x.after") * F.col("y.after") >= threshold - 1e-4
     met = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & enough
+    if parts is not None:
+        prefix = prefix.join(parts, "id")
+        met = (F.col("x.side") == F.col("y.side")) & met & may_be_same("x", "y")
     pairs = prefix.alias("x").join(prefix.alias("y"), met).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     vectors = unit.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "u"))).alias("v"))
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
@@ -440,11 +477,16 @@ def party_clusters(cells: DataFrame) -> DataFrame:
         own = Givens(*shared.value)
         for pdf in batches:
             pdf["key"] = [alike_key(parse(n), own) or f"={n}" for n in pdf["name"]]
+            pdf["side"], pdf["word"] = zip(*[alike_parts(parse(n), own) for n in pdf["name"]]) if len(pdf) else ([], [])
+            pdf["folded"] = [fold(w) for w in pdf["word"]]
+            for c, of in (("letters", "word"), ("folded_letters", "folded")):
+                pdf[c] = pd.Series([letters(w) for w in pdf[of]], index=pdf.index, dtype="int64")
             yield pdf
 
-    keyed = cut(spread(names).mapInPandas(keys, "id bigint, name string, key string"))
-    nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.count("*").alias("n")))
-    pairs = cosine_pairs(nodes, givens)
+    part = {"side": "string", "word": "string", "folded": "string", "letters": "bigint", "folded_letters": "bigint"}
+    keyed = cut(spread(names).mapInPandas(keys, "id bigint, name string, key string, " + ", ".join(f"{c} {t}" for c, t in part.items())))
+    nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min_by(F.struct("name", *part), "id").alias("of"), F.count("*").alias("n")).select("key", "id", "n", "of.*"))
+    pairs = cosine_pairs(nodes, givens, parts=nodes.filter("side <> ''").select("id", *part))
     spelt = pairs.join(nodes.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb", "cosine")
     # a pair is a few bytes but takes a while: small partitions must not be put together
     tasks = cells.sparkSession.sparkContext.defaultParallelism * 4

@@ -198,6 +198,43 @@ def test_cosine_join_misses_no_pair(frame):
     assert set(want) <= set(got) and all(abs(got[p] - v) < 1e-4 for p, v in want.items())
 
 
+def _parts(rows, givens):
+    for i, t in rows:
+        side, word = names.alike_parts(names.parse(t), givens)
+        folded = names.fold(word)
+        yield i, side, word, folded, names.letters(word), names.letters(folded)
+
+
+PARTS = "id bigint, side string, word string, folded string, letters bigint, folded_letters bigint"
+
+
+def test_words_that_can_be_same_are_let_through(frame):
+    random.seed(5)
+    letters = "abcdegiklnorsuvyzñ'"
+    pairs = [("puuvagos", "puyuvagos"), ("luludeg", "luudeg"), ("aabb", "ab"), ("gamma", "gama"), ("o", "o")]
+    for _ in range(3000):
+        a = b = "".join(random.choice(letters) for _ in range(random.randint(2, 14)))
+        for _ in range(random.randint(0, 4)):
+            k, c = random.randrange(len(b) + 1), random.choice(letters)
+            b = random.choice([b[:k] + c + b[k:], b[:k] + b[k + 1 :] or "a", b[:k] + b[k - 1 : k] + b[k:], b[:k] + b[k + 1 : k + 2] + b[k : k + 1] + b[k + 2 :]])
+        pairs.append((a, b))
+    side = lambda e: [(i, w, names.fold(w), names.letters(w), names.letters(names.fold(w))) for i, w in enumerate(p[e] for p in pairs)]
+    columns = "id bigint, word string, folded string, letters bigint, folded_letters bigint"
+    got = {r.id for r in frame(side(0), columns).alias("x").join(frame(side(1), columns).alias("y"), "id").filter(names.may_be_same("x", "y")).select("id").collect()}
+    same = {i for i, (a, b) in enumerate(pairs) if names.same_word(a, b) > 0}
+    assert len(same) > 500 and same <= got and len(got) < len(pairs) * 0.95
+
+
+def test_pairs_that_cannot_score_leave_the_join(frame):
+    givens = names.Givens(["maria"], {})
+    rows = list(enumerate(["maria bagongalan", "maria bagongalam", "maria dinagong", "maria bagongalan jr", "bagongalan store", "maria", "maria bagong"]))
+    named = frame(rows, "id bigint, name string")
+    every = {(r.a, r.b) for r in names.cosine_pairs(named, givens, 0.01).collect()}
+    kept = {(r.a, r.b) for r in names.cosine_pairs(named, givens, 0.01, frame(list(_parts(rows, givens)), PARTS)).collect()}
+    scored = {(i, j) for i, a in rows for j, b in rows if i < j and names.score(names.parse(a), names.parse(b), givens) > 0}
+    assert kept == scored == {(0, 1)} and kept < every
+
+
 def test_parties(frame):
     given = ["Maria", "Jose", "Francisco", "Ofelia", "Nestor"]
     filler = [(f"{g} {s}", None) for g in given for s in ("Bagong", "Wokulat", "Rimasug", "Dofelak", "Tungolas", "Peyarat", "Sikumol", "Vanidor")]
