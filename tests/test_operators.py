@@ -70,6 +70,24 @@ def test_published_statistics(spark):
     assert [round(r.holm, 9) for r in evaluation.holm(p, "p", "h").orderBy("h").collect()] == [0.06, 0.04, 0.06, 0.06]
 
 
+@pytest.mark.parametrize("n", [1, 2, 15, 40, 999, 4001])
+def test_tails_of_many_trials_are_those_of_few(n, monkeypatch):
+    from_top = sorted({m for m in (0, 1, 2, n // 10, n // 3, n // 2 - 20, n // 2 - 1, n // 2) if 0 <= m <= n // 2})
+    whole = [sum(math.comb(n, i) for i in range(m + 1)) / 2**n for m in from_top]
+    assert [evaluation.half_tail(n, m) for m in from_top] == whole
+    monkeypatch.setattr(evaluation, "WHOLE_TRIALS", 0)
+    for m, w in zip(from_top, whole):
+        assert math.isclose(evaluation.half_tail(n, m), w, rel_tol=1e-11, abs_tol=1e-300), m
+
+
+def test_mcnemar_of_millions_of_pairs(spark):
+    pairs = spark.createDataFrame([(1_999_000, 2_001_000), (2_000_000, 2_000_000), (0, 3_000_000), (100_000, 100_001)], "b bigint, c bigint")
+    p, same, none, near = [r[0] for r in pairs.select(evaluation.mcnemar_exact("b", "c")).collect()]
+    # at this size the normal tail with continuity correction is right to about one in n
+    assert math.isclose(p, math.erfc((2_000 - 1) / math.sqrt(4_000_000) / math.sqrt(2)), rel_tol=1e-5)
+    assert (same, none) == (1.0, 0.0) and math.isclose(near, 1.0, rel_tol=1e-12)
+
+
 def test_auc_and_calibration(spark):
     df = spark.createDataFrame([(0.9, True), (0.8, False), (0.8, True), (0.1, False)], "s double, y boolean")
     assert evaluation.auc(df, "s", F.col("y")).first()["auc"] == pytest.approx(0.875)
