@@ -22,6 +22,22 @@ def test_canonical_forms(frame):
     assert canonical.found_kinds(frame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_kinds_found_are_those_of_the_sql(frame):
+    import duckdb
+
+    from talasik.llm.sql import SQL
+
+    # without a twin, of two letters, not attested, and none at all
+    texts = ["zЖz", "5 kΩ", "5 ΜG", "привeт", "Вершина 10 Ω", "thе bаhаy", "a-Жb", "zа\u200bz", "ｂａｈａｙ", "x\u0301\u0416", "", None, "plain"]
+    df = frame(list(enumerate(texts)), "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = sorted((r.doc_id, r.kind) for r in canonical.found_kinds(df).collect())
+    assert got == sorted(con.execute(SQL["p10_found"]).fetchall())
+    assert [i for i, k in got if k == "lookalike"] == [0, 1, 2, 3, 5, 6, 7, 9]
+
+
 def kinds(text, party=False):
     return [(s.kind, text[s.start : s.end]) for s in pii.find(text, party)]
 
