@@ -146,6 +146,30 @@ def same_word(a: str, b: str) -> float:
     return 0.9 if d <= 1 and n > 4 else 0.8 if d <= 1 else 0.75 if d <= 1.6 and n >= 8 else 0.6 if d <= 2 and n >= 8 else 0.0
 
 
+def letters(word: str) -> int:
+    """Its letters as bits; two words differ in at least as many letters as in bits."""
+    return sum(1 << b for b in {ord(c) % 63 for c in word})
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What tells cheaply that a word is far from others: its letters and length, as written and folded."""
+
+    word: str
+    ways: tuple[tuple[int, int], tuple[int, int]]
+
+    @classmethod
+    def of(cls, word: str) -> Shape:
+        return cls(word, tuple((letters(w), len(w)) for w in (word, fold(word))))
+
+    def like(self, other: Shape) -> bool:
+        """Whether `same_word` is at least 0.8: one edit changes at most two letters and, if it doubles some, the length by two."""
+        (a, n), (b, m) = self.ways
+        (c, k), (d, l) = other.ways
+        near = ((a ^ c).bit_count() <= 2 and -2 <= n - k <= 2) or ((b ^ d).bit_count() <= 2 and -2 <= m - l <= 2)
+        return near and same_word(self.word, other.word) >= 0.8
+
+
 #: Endings of Filipino pet names (fixed values).
 _PET = regex.compile(r"(.{2,}?)(?:ong|ing|oy|eng)$")
 _VOWELS = frozenset("aeiou")
@@ -163,15 +187,21 @@ class Givens:
     """Given names of the corpus (words that go with many others) and its nicknames."""
 
     def __init__(self, given: list[str], nicks: dict[str, list[str]]) -> None:
-        self.given = [g for g in given if len(g) > 3]
+        self.given = [Shape.of(g) for g in given if len(g) > 3]
         self.known = set(given)
         self.nicks = {n: set(g) for n, g in nicks.items()}
+        self.pets = [Shape.of(n) for n in nicks if len(n) > 3]
         self.meant: dict[str, frozenset[str]] = {}
         self.likely: dict[str, bool] = {}
 
     def lists(self) -> tuple[list[str], dict[str, list[str]]]:
         return sorted(self.known), {n: sorted(g) for n, g in self.nicks.items()}
 
+    @staticmethod
+    def of(lists: tuple[list[str], dict[str, list[str]]]) -> Givens:
+        """Those of `lists`; the tasks of a worker share one, with what it has looked up."""
+        return _givens(tuple(lists[0]), tuple((n, tuple(g)) for n, g in lists[1].items()))
+
     def means(self, word: str) -> frozenset[str]:
         """The given names a word of two letters or more may be: itself, or one it abbreviates, misspells or is a pet name of."""
         hit = self.meant.get(word)
@@ -180,11 +210,13 @@ class Givens:
             if w in self.known:
                 hit = frozenset({w})
             else:
-                found = set(self.nicks.get(w, ())) | {g for n in self.nicks if len(n) > 3 and same_word(w, n) >= 0.8 for g in self.nicks[n]}
+                own = Shape.of(w)
+                found = set(self.nicks.get(w, ())) | {g for n in self.pets if own.like(n) for g in self.nicks[n.word]}
                 if len(w) > 2:
-                    pet = _PET.match(w)
+                    pet = _PET.match(w) if len(w) > 4 else None
                     tail = w.replace("y", "i") if len(w) > 3 else "-"
-                    found |= {g for g in self.given if g.startswith(w) or same_word(w, g) >= 0.8 or abbreviates(w, g) or g.endswith(tail) or pet and len(w) > 4 and g.startswith(pet[1])}
+                    starts = (w, pet[1]) if pet else w
+                    found |= {s.word for s in self.given if s.word.startswith(starts) or s.word.endswith(tail) or own.like(s) or len(w) < 5 and abbreviates(w, s.word)}
                 hit = frozenset(found)
             if len(self.meant) > 300_000:
                 self.meant.clear()
@@ -231,6 +263,11 @@ class Givens:
         return (own or long_ or [len(name.words) - 1])[-1]
 
 
+@lru_cache(maxsize=2)
+def _givens(given: tuple[str, ...], nicks: tuple[tuple[str, tuple[str, ...]], ...]) -> Givens:
+    return Givens(list(given), {n: list(g) for n, g in nicks})
+
+
 def score(a: Name, b: Name, givens: Givens) -> float:
     """0 to 1: how likely two spellings name one party."""
     if not a.words or not b.words or a.organisation != b.organisation or a.suffix != b.suffix:
@@ -292,24 +329,19 @@ def alike_parts(name: Name, givens: Givens) -> tuple[str, str]:
     return f"p|{name.suffix}", name.words[givens.surname_at(name)]
 
 
-def letters(word: str) -> int:
-    """Its letters as bits; two words differ in at least as many letters as in bits."""
-    return sum(1 << b for b in {ord(c) % 63 for c in word})
-
-
 def may_be_same(x: str, y: str) -> Column:
     """False only where `same_word` is 0, of the words (word, folded, letters, folded_letters) of the sides x and y of a join.
 
-    Edits that cost up to 1 are at most two insertions, deletions and replacements, those up to 2 at most four.
+    Edits that cost up to 1 are at most two insertions, deletions and replacements and change at most two of the letters used, those up to 2 are at most four.
     """
     both = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
     (a, b), (p, q) = both("word"), both("folded")
     size = lambda c, d: F.least(F.length(c), F.length(d))
     apart = F.least(F.abs(F.length(a) - F.length(b)), F.abs(F.length(p) - F.length(q)))
     others = F.least(*[F.bit_count(c.bitwiseXOR(d)) for c, d in (both("letters"), both("folded_letters"))])
-    near = lambda most: (F.levenshtein(p, q, most) >= 0) | (F.levenshtein(a, b, most) >= 0)
+    near = lambda most: (F.levenshtein(p, q, most) >= 0) | (((a != p) | (b != q)) & (F.levenshtein(a, b, most) >= 0))
     n = F.greatest(size(a, b), size(p, q))
-    return (others <= 4) & (apart <= 2) & ((p == q) | ((n >= 4) & (n < 8) & near(2)) | ((n >= 8) & near(4)))
+    return (others <= 4) & (apart <= 2) & ((p == q) | ((n >= 4) & (n < 8) & (others <= 2) & near(2)) | ((n >= 8) & near(4)))
 
 
 def features(text: str, givens: Givens) -> set[str]:
@@ -338,7 +370,7 @@ def _grams(word: str) -> set[str]:
 
 def _gram_rows(lists: tuple[list[str], dict[str, list[str]]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        givens = Givens(*lists)
+        givens = Givens.of(lists)
         for pdf in batches:
             ids, sizes, grams = [], [], []
             for i, n, name in zip(pdf["id"], pdf["n"], pdf["name"]):
@@ -468,13 +500,15 @@ def party_clusters(cells: DataFrame) -> DataFrame:
     shared = cells.sparkSession.sparkContext.broadcast(givens.lists())
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Givens(*shared.value)
+        own = Givens.of(shared.value)
         for pdf in batches:
-            pdf["score"] = [score(parse(x), parse(y), own) * min(max(c, 0.0), 1.0) ** (1 / ROOT) for x, y, c in zip(pdf["na"], pdf["nb"], pdf["cosine"])]
+            # most pairs end at the words that must be the same
+            pdf = pdf[[same_word(x, y) > 0 for x, y in zip(pdf["wa"], pdf["wb"])]].copy()
+            pdf["score"] = pd.Series([score(parse(x), parse(y), own) * min(max(c, 0.0), 1.0) ** (1 / ROOT) for x, y, c in zip(pdf["na"], pdf["nb"], pdf["cosine"])], index=pdf.index, dtype="float64")
             yield pdf.loc[pdf["score"] > 0, ["a", "b", "score"]]
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Givens(*shared.value)
+        own = Givens.of(shared.value)
         for pdf in batches:
             pdf["key"] = [alike_key(parse(n), own) or f"={n}" for n in pdf["name"]]
             pdf["side"], pdf["word"] = zip(*[alike_parts(parse(n), own) for n in pdf["name"]]) if len(pdf) else ([], [])
@@ -487,7 +521,8 @@ def party_clusters(cells: DataFrame) -> DataFrame:
     keyed = cut(spread(names).mapInPandas(keys, "id bigint, name string, key string, " + ", ".join(f"{c} {t}" for c, t in part.items())))
     nodes = cut(keyed.groupBy("key").agg(F.min("id").alias("id"), F.min_by(F.struct("name", *part), "id").alias("of"), F.count("*").alias("n")).select("key", "id", "n", "of.*"))
     pairs = cosine_pairs(nodes, givens, parts=nodes.filter("side <> ''").select("id", *part))
-    spelt = pairs.join(nodes.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b").select("a", "b", "na", "nb", "cosine")
+    of = lambda end: nodes.select(F.col("id").alias(end), F.col("name").alias(f"n{end}"), F.col("word").alias(f"w{end}"))
+    spelt = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "wa", "wb", "cosine")
     # a pair is a few bytes but takes a while: small partitions must not be put together
     tasks = cells.sparkSession.sparkContext.defaultParallelism * 4
     links = cut(spelt.repartition(tasks, "a", "b").mapInPandas(check, "a bigint, b bigint, score double"))

@@ -223,6 +223,13 @@ def test_words_that_can_be_same_are_let_through(frame):
     got = {r.id for r in frame(side(0), columns).alias("x").join(frame(side(1), columns).alias("y"), "id").filter(names.may_be_same("x", "y")).select("id").collect()}
     same = {i for i, (a, b) in enumerate(pairs) if names.same_word(a, b) > 0}
     assert len(same) > 500 and same <= got and len(got) < len(pairs) * 0.95
+    assert [names.Shape.of(a).like(names.Shape.of(b)) for a, b in pairs] == [names.same_word(a, b) >= 0.8 for a, b in pairs]
+
+
+def test_tasks_share_what_was_looked_up():
+    lists = names.Givens(["maria", "jose"], {"pepe": ["jose"]}).lists()
+    one, two = names.Givens.of(lists), names.Givens.of((list(lists[0]), dict(lists[1])))
+    assert one is two and one.means("pepe") == {"jose"} and names.Givens.of((["maria"], {})).means("pepe") == frozenset()
 
 
 def test_pairs_that_cannot_score_leave_the_join(frame):
